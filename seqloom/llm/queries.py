@@ -9,6 +9,7 @@ from seqloom.llm.components import connected_groups
 from seqloom.llm.digest import certify, digest_values, merge_digests, percentiles
 from seqloom.llm.nearest import nearest_in_time
 from seqloom.llm.runs import code_events, collapse_runs
+from seqloom.llm.tokens import encode_corpus
 from seqloom.session import materialize, table
 
 
@@ -78,7 +79,12 @@ def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("true_domain", "measure", "scope", "day", "n", *(F.get("estimates", F.lit(i)).alias(f"p{round(q * 100):02d}") for i, q in enumerate(QUANTILES)), "rank_error")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_percentiles": p6_percentiles}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of each document's text."""
+    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_percentiles": p6_percentiles, "p7_ids": p7_ids}
 
 _BARE = "regexp_replace(lower({0}), '\\.$', '')"
 
