@@ -229,14 +229,14 @@ def _broadcasts(spark: SparkSession, vocabulary: str | None):
 
 
 def _encode(df: DataFrame, doc_id: str, text: str, vocabulary: str | None, counts_only: bool, chunk_chars: int) -> tuple[DataFrame, DataFrame]:
-    """The chunks, and (chunk, place, out) for each word of each chunk's dictionary."""
+    """The chunks, and (part, place, out) for each word of each chunk's dictionary."""
     merges, classes = _broadcasts(df.sparkSession, vocabulary)
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     chunks = materialize(rows.mapInArrow(_chunker(classes, chunk_chars), "chunk bigint, ids array<bigint>, counts array<int>, codes binary, words array<binary>"))
-    places = chunks.select("chunk", F.posexplode("words").alias("place", "word"))
+    places = chunks.select(F.col("chunk").alias("part"), F.posexplode("words").alias("place", "word"))
     kind = "int" if counts_only else "array<int>"
     words = places.select("word").distinct().mapInArrow(_replayer(merges, counts_only), f"word binary, out {kind}")
-    return chunks.select("chunk", "ids", "counts", "codes"), places.join(words, "word").select("chunk", "place", "out")
+    return chunks.select("chunk", "ids", "counts", "codes"), places.join(words, "word").select("part", "place", "out")
 
 
 def encode_corpus(df: DataFrame, doc_id: str, text: str, *, vocabulary: str | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -251,7 +251,7 @@ def encode_corpus(df: DataFrame, doc_id: str, text: str, *, vocabulary: str | No
     word is hot.
     """
     chunks, found = _encode(df, doc_id, text, vocabulary, False, chunk_chars)
-    out = chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_decode, "doc_id bigint, ids array<int>")
+    out = chunks.groupBy("chunk").cogroup(found.groupBy("part")).applyInArrow(_decode, "doc_id bigint, ids array<int>")
     return out.select(F.col("doc_id").alias(doc_id), "ids")
 
 
@@ -279,7 +279,7 @@ def _decode(chunk: pa.Table, found: pa.Table) -> pa.Table:
 def count_tokens(df: DataFrame, doc_id: str, text: str, *, vocabulary: str | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """doc_id and n_tokens: the sizes of encode_corpus's lists, without making them."""
     chunks, found = _encode(df, doc_id, text, vocabulary, True, chunk_chars)
-    out = chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_count, "doc_id bigint, n_tokens bigint")
+    out = chunks.groupBy("chunk").cogroup(found.groupBy("part")).applyInArrow(_count, "doc_id bigint, n_tokens bigint")
     return out.select(F.col("doc_id").alias(doc_id), "n_tokens")
 
 
