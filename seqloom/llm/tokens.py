@@ -189,54 +189,76 @@ def _chunker(classes, chunk_chars: int):
                 texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
                 words, counts = split_words(texts, table)
                 coded = words.dictionary_encode()
-                row = {"chunk": number, "ids": batch.column(0).slice(a, b - a).to_pylist(), "counts": counts.tolist(), "codes": coded.indices.to_numpy().tobytes(), "words": coded.dictionary.to_pylist()}
+                row = {"chunk": number, "ids": batch.column(0).slice(a, b - a).to_pylist(), "counts": counts.tolist(), "codes": coded.indices.to_numpy().astype(_width(len(coded.dictionary))).tobytes(), "words": coded.dictionary.to_pylist()}
                 yield pa.RecordBatch.from_pylist([row], schema=_CHUNKS)
                 number += 1
 
     return chunk
 
 
+def _width(n_words: int) -> type:
+    return np.uint16 if n_words <= 1 << 16 else np.uint32
+
+
 _CHUNKS = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("codes", pa.binary()), ("words", pa.list_(pa.binary()))])
 
 
+_FOUND = pa.schema([("part", pa.int64()), ("places", pa.binary()), ("sizes", pa.binary()), ("out", pa.binary())])
+
+
 def _replayer(merges, counts_only: bool):
-    def run(words: list[pa.Array]) -> pa.RecordBatch:
-        w = pa.concat_arrays(words)
-        w = w if w.offset == 0 else pa.concat_arrays([w, w.slice(0, 0)])
+    """(part, place, word) rows to one row a part: its places, their numbers of ids and, unless only counted, the ids."""
+
+    def run(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        coded = t["word"].chunk(0).dictionary_encode()
+        w, code = coded.dictionary, coded.indices.to_numpy()
         offsets = np.frombuffer(w.buffers()[1], np.int32)[w.offset : w.offset + len(w) + 1].astype(np.int64)
-        data = np.frombuffer(w.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if w.buffers()[2] else np.empty(0, np.uint8)
-        ids, at = replay(data, offsets - offsets[0], merges.value)
-        out = pa.array(np.diff(at).astype(np.int32)) if counts_only else pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
-        return pa.RecordBatch.from_arrays([w, out], names=["word", "out"])
+        ids, at = replay(np.frombuffer(w.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0], merges.value)
+        part = t["part"].to_numpy()
+        order = np.argsort(part, kind="stable")
+        part, place, code = part[order], t["place"].to_numpy()[order].astype(np.int32), code[order]
+        sizes = np.diff(at)[code]
+        flat = None if counts_only else ids[_ranges(at[:-1][code], sizes)].astype(np.uint32 if len(merges.value.made) > 65_000 else np.uint16)
+        cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+        ends = np.r_[0, np.cumsum(sizes)]
+        rows = [(int(part[a]), place[a:b].tobytes(), sizes[a:b].astype(np.int32).tobytes(), None if counts_only else flat[ends[a] : ends[b]].tobytes()) for a, b in zip(cut, cut[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _FOUND)], schema=_FOUND)
 
     def replay_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for b in batches:
-            held.append(b.column(0))
+            held.append(b)
             n += b.num_rows
             if n >= REPLAY_WORDS:
-                yield from pa.Table.from_batches([run(held)]).to_batches(max_chunksize=20_000)
+                yield run(held)
                 held, n = [], 0
         if n:
-            yield from pa.Table.from_batches([run(held)]).to_batches(max_chunksize=20_000)
+            yield run(held)
 
     return replay_all
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start[i] ... start[i] + size[i] - 1 of all i, one after the other."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
+
+
 def _broadcasts(spark: SparkSession, vocabulary: str | None):
     """The merges and the classes: a vocabulary's size and 1.1 MB, whatever the data."""
     return spark.sparkContext.broadcast(Merges(vocabulary or default_vocabulary())), spark.sparkContext.broadcast(char_classes())
 
 
 def _encode(df: DataFrame, doc_id: str, text: str, vocabulary: str | None, counts_only: bool, chunk_chars: int) -> tuple[DataFrame, DataFrame]:
-    """The chunks, and (part, place, out) for each word of each chunk's dictionary."""
+    """The chunks, and for each of them rows with the encoded words of its dictionary."""
     merges, classes = _broadcasts(df.sparkSession, vocabulary)
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     chunks = materialize(rows.mapInArrow(_chunker(classes, chunk_chars), "chunk bigint, ids array<bigint>, counts array<int>, codes binary, words array<binary>"))
     places = chunks.select(F.col("chunk").alias("part"), F.posexplode("words").alias("place", "word"))
-    kind = "int" if counts_only else "array<int>"
-    words = places.select("word").distinct().mapInArrow(_replayer(merges, counts_only), f"word binary, out {kind}")
-    return chunks.select("chunk", "ids", "counts", "codes"), places.join(words, "word").select("part", "place", "out")
+    # all places of a word meet in one task, which encodes it once; a word has one place a chunk at most
+    found = places.repartition("word").mapInArrow(_replayer(merges, counts_only), "part bigint, places binary, sizes binary, out binary")
+    return chunks.select("chunk", "ids", "counts", "codes", F.size("words").alias("n_words")), found
 
 
 def encode_corpus(df: DataFrame, doc_id: str, text: str, *, vocabulary: str | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -245,37 +267,42 @@ def encode_corpus(df: DataFrame, doc_id: str, text: str, *, vocabulary: str | No
     Null and empty texts give an empty list; strings of special tokens are ordinary text; a row given twice
     comes out twice; other columns are ignored. vocabulary: path of a byte-level BPE file, byte_bpe_50k by default.
 
-    Texts are cut into words, in chunks that keep each distinct word once. The distinct words of the whole
-    corpus are gathered with partial aggregation, and each is encoded once: all merges are replayed in rank order over an inverted
-    index of pairs. The ids return to the chunks by a join on the word; a frequent word meets each chunk once, so no
-    word is hot.
+    Texts are cut into words, in chunks that keep each distinct word once. One shuffle brings all places
+    of a word in the corpus together; there all merges are replayed in rank order over an inverted index of
+    pairs, once for each distinct word. A second one brings the ids back to the chunks. A frequent word has one place a
+    chunk, so no word is hot.
     """
     chunks, found = _encode(df, doc_id, text, vocabulary, False, chunk_chars)
     out = chunks.groupBy("chunk").cogroup(found.groupBy("part")).applyInArrow(_decode, "doc_id bigint, ids array<int>")
     return out.select(F.col("doc_id").alias(doc_id), "ids")
 
 
-def _place(found: pa.Table) -> pa.Table:
-    return found.take(pc.sort_indices(found["place"])).combine_chunks()
-
-
 def _decode(chunk: pa.Table, found: pa.Table) -> pa.Table:
     parts = []
-    if found.num_rows:
-        lists = _place(found)["out"].chunk(0)
-        flat, at = lists.flatten().to_numpy(), np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())].astype(np.int64)
-    for ids, counts, codes in zip(chunk["ids"].to_pylist(), chunk["counts"].to_pylist(), chunk["codes"].to_pylist()):
-        code = np.frombuffer(codes, np.int32)
-        out, sizes = np.empty(0, np.int32), np.zeros(0, np.int64)
-        if len(code):
-            sizes = (at[1:] - at[:-1])[code]
-            ends = np.cumsum(sizes)
-            out = flat[np.arange(ends[-1]) + np.repeat(at[:-1][code] - ends + sizes, sizes)]
-        ends = np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(np.array(counts, np.int64))]]
+    for ids, counts, code, sizes, flat in _chunk_codes(chunk, found):
+        at = np.r_[0, np.cumsum(sizes)]
+        out = flat[_ranges(at[:-1][code], sizes[code])]
+        ends = np.r_[0, np.cumsum(sizes[code])][np.r_[0, np.cumsum(counts)]]
         parts.append(pa.table({"doc_id": pa.array(ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out.astype(np.int32)))}))
     return pa.concat_tables(parts) if parts else pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
 
 
+def _chunk_codes(chunk: pa.Table, found: pa.Table) -> Iterator[tuple]:
+    """Of a chunk: document ids, words a document, the words' codes, ids a code, and the ids of all codes."""
+    for row in chunk.to_pylist():
+        join = lambda c, kind: np.frombuffer(b"".join(x or b"" for x in found[c].to_pylist()), kind)
+        place, given = join("places", np.int32), join("sizes", np.int32)
+        sizes = np.zeros(row["n_words"], np.int64)
+        sizes[place] = given
+        out = join("out", np.uint8)
+        if len(out):
+            out = out.view(np.uint16 if len(out) == 2 * given.sum() else np.uint32)
+            order = np.argsort(place)
+            at = np.r_[0, np.cumsum(given.astype(np.int64))]
+            out = out[_ranges(at[:-1][order], given[order].astype(np.int64))]
+        yield row["ids"], np.array(row["counts"], np.int64), np.frombuffer(row["codes"], _width(row["n_words"])).astype(np.int64), sizes, out
+
+
 def count_tokens(df: DataFrame, doc_id: str, text: str, *, vocabulary: str | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """doc_id and n_tokens: the sizes of encode_corpus's lists, without making them."""
     chunks, found = _encode(df, doc_id, text, vocabulary, True, chunk_chars)
@@ -285,9 +312,7 @@ def count_tokens(df: DataFrame, doc_id: str, text: str, *, vocabulary: str | Non
 
 def _count(chunk: pa.Table, found: pa.Table) -> pa.Table:
     parts = []
-    sizes = _place(found)["out"].to_numpy() if found.num_rows else np.empty(0, np.int32)
-    for ids, counts, codes in zip(chunk["ids"].to_pylist(), chunk["counts"].to_pylist(), chunk["codes"].to_pylist()):
-        total = np.r_[0, np.cumsum(sizes[np.frombuffer(codes, np.int32)].astype(np.int64))]
-        ends = np.r_[0, np.cumsum(np.array(counts, np.int64))]
+    for ids, counts, code, sizes, _ in _chunk_codes(chunk, found):
+        total, ends = np.r_[0, np.cumsum(sizes[code])], np.r_[0, np.cumsum(counts)]
         parts.append(pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(total[ends[1:]] - total[ends[:-1]])}))
     return pa.concat_tables(parts) if parts else pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64())})
