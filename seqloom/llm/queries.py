@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.components import connected_groups
 from seqloom.llm.digest import certify, digest_values, merge_digests, percentiles
+from seqloom.llm.mixing import mix_sources
 from seqloom.llm.nearest import nearest_in_time
+from seqloom.llm.quality import label_documents, learn_rules, not_prose, quality_statistics, text_statistics
 from seqloom.llm.runs import code_events, collapse_runs
-from seqloom.llm.tokens import encode_corpus
+from seqloom.llm.tokens import count_tokens, encode_corpus
 from seqloom.session import materialize, table
 
 
@@ -84,7 +86,49 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_percentiles": p6_percentiles, "p7_ids": p7_ids}
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Notebooks by doc_id, sized in tokens of byte_bpe_50k; of signs and markup the more, the smaller the weight."""
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    clean = lambda c: F.lower(F.btrim(c, F.lit(" \t\r\n")))
+    stats = text_statistics(F.col("text"))
+    weight = F.greatest(F.lit(0.05), 1 - F.coalesce(F.try_divide(stats["n_signs"], stats["n_solid"]), F.lit(1.0)))
+    items = docs.groupBy("doc_id").agg(F.max(clean("source")).alias("source"), F.max(weight).alias("weight"))
+    sizes = count_tokens(docs, "doc_id", "text").groupBy("doc_id").agg(F.max("n_tokens").alias("size"))
+    targets = table(spark, sf_dir, "mix_targets").withColumn("source", clean("source"))
+    return mix_sources(items.join(sizes, "doc_id").withColumnRenamed("doc_id", "id"), targets)
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notebooks chosen for the mixture and how often each is used."""
+    chosen, _ = _mixture(spark, sf_dir)
+    return chosen.select(F.col("id").alias("doc_id"), "source", F.col("size").alias("n_tokens"), "n_copies")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of all tokens that each source was to have and has."""
+    return _mixture(spark, sf_dir)[1]
+
+
+def _statistics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    # the list of common words is a fixed table
+    common = [r.word for r in table(spark, sf_dir, "common_words").select("word").where("word IS NOT NULL").distinct().collect()]
+    return quality_statistics(table(spark, sf_dir, "documents"), "doc_id", "text", common), common
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notebooks of which running prose is less than half, by rules learned from labelled ones."""
+    stats, common = _statistics(spark, sf_dir)
+    stats = materialize(stats)
+    labels = label_documents(table(spark, sf_dir, "documents"), "doc_id", "text", "cells", common)
+    return not_prose(stats, learn_rules(stats, labels, "doc_id")).select("doc_id").distinct()
+
+
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of every notebook's text."""
+    return _statistics(spark, sf_dir)[0]
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_percentiles": p6_percentiles, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
 
 _BARE = "regexp_replace(lower({0}), '\\.$', '')"
 
