@@ -56,7 +56,7 @@ def quality_statistics(df: DataFrame, doc_id: str, text: str, common: list[str])
     ratio = lambda a, b: F.expr(f"try_divide({a}, {b})")
     return rows.select(
         F.col("id").alias(doc_id), "n_words", ratio("n_solid", "n_words").alias("mean_word_length"), ratio("n_signs", "n_solid").alias("symbol_ratio"),
-        ratio("n_punct_lines", "n_lines").alias("punct_line_share"), ratio("n_common", "n_words").alias("common_word_share"), F.least(F.lit(1.0), ratio("n_prose", "n_solid")).alias("prose_share"),
+        ratio("n_punct_lines", "n_lines").alias("punct_line_share"), ratio("n_common", "n_words").alias("common_word_share"), ratio("least(n_prose, n_solid)", "n_solid").alias("prose_share"),
     )
 
 
