@@ -25,7 +25,7 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("shard_rows", [1, 3, 7, 1000])
+@pytest.mark.parametrize("shard_rows", [1, 7])
 @pytest.mark.parametrize("span,longest", [(60, 4), (400, 9), (300, 200), (5000, 3)])
 def test_random(spark, shard_rows, span, longest):
     rng = random.Random(span * 31 + longest)
