@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-FLAGSHIP = "p2_found"
-_MODULES = ["problems"]
+FLAGSHIP = "seq_build_log2"
+_MODULES = ["problems", "sequences"]
 
 
 def _merged(name: str) -> dict:
