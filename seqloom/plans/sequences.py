@@ -58,7 +58,11 @@ def seq_tail_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ngram_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each sequence the mean corpus-wide probability of its elements, pairs and triples."""
     s = labelled(spark, sf_dir)
-    grams = F.explode(F.flatten(F.array(*(F.transform(E.ngrams(F.col("elems"), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), F.array_join(E.codes(g), " ").alias("gram"))) for n in (1, 2, 3)))))
+
+    def named(n: int):
+        return F.transform(E.ngrams(F.col("elems"), n), lambda g: F.struct(F.lit(n).alias("n"), F.array_join(E.codes(g), " ").alias("gram")))
+
+    grams = F.explode(F.flatten(F.array(*map(named, (1, 2, 3)))))
     rows = s.select("seq_id", grams.alias("g")).groupBy("seq_id", "g.n", "g.gram").agg(F.count("*").alias("c"))
     freq = rows.groupBy("n", "gram").agg(F.sum("c").alias("f"))
     total = freq.groupBy("n").agg(F.sum("f").alias("total"))
