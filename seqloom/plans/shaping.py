@@ -1,0 +1,135 @@
+"""Queries of traffic shaping, of task tables and of streams over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seqloom.operators import queue as Q
+from seqloom.operators import shaping as H
+from seqloom.plans.timeline import ORACLES as TIMELINE_SQL
+from seqloom.plans.timeline import _L, lookups
+from seqloom.session import materialize, table
+from seqloom.streaming import streams as R
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups(spark, sf_dir).where("trace_id IS NOT NULL AND t IS NOT NULL AND response_size IS NOT NULL")
+
+
+def constant_rate_p0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All traces at one message each 20 ms, with one dummy a pause."""
+    return H.constant_rate(_answers(spark, sf_dir), "trace_id", "t", "response_size", "query_no", rate=20_000)
+
+
+def constant_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages and dummies of each trace at each of four settings of rate and probability."""
+    rows = materialize(_answers(spark, sf_dir))
+    out = None
+    for rate in (12_000, 50_000):
+        for p in (0.4, 0.8):
+            d = H.constant_rate(rows, "trace_id", "t", "response_size", "query_no", rate=rate, p=p)
+            d = d.groupBy("trace").agg(F.count_if(~F.col("is_dummy")).alias("messages"), F.count_if(F.col("is_dummy")).alias("dummies"), (F.max(F.when(~F.col("is_dummy"), F.col("time"))) - F.min("time")).alias("time_us"))
+            d = d.withColumn("rate", F.lit(rate)).withColumn("p", F.lit(p))
+            out = d if out is None else out.unionByName(d)
+    return out
+
+
+def adaptive_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages and dummies of each trace under adaptive padding by the corpus's own histogram of pauses."""
+    rows = materialize(_answers(spark, sf_dir))
+    from pyspark.sql import Window
+
+    gap = F.col("t") - F.lag("t").over(Window.partitionBy("trace_id").orderBy("t", "query_no"))
+    # binary buckets of 64-bit numbers: 64 rows at most
+    hist = rows.select(gap.alias("gap")).where("gap > 0").groupBy((F.length(F.bin("gap")) - 1).alias("bits")).agg(F.count("*").alias("n")).collect()
+    pauses = sorted((1 << r.bits, r.n) for r in hist)
+    d = H.adaptive_padding(rows, "trace_id", "t", "response_size", "query_no", pauses=pauses)
+    return d.groupBy("trace").agg(F.count_if(~F.col("is_dummy")).alias("messages"), F.count_if(F.col("is_dummy")).alias("dummies"))
+
+
+def queue_pop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first order of each customer by priority, then key."""
+    return Q.pop(table(spark, sf_dir, "orders"), ["o_custkey"], [F.col("o_orderpriority"), F.col("o_orderkey")], ["o_orderkey", "o_orderpriority"])
+
+
+def queue_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose line numbers leave none out."""
+    return Q.complete_groups(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linenumber")
+
+
+def queue_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each line that an order's greatest line number calls for, with rising priorities over all orders."""
+    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("size"))
+    return Q.expand(g, ["l_orderkey"], "size").select("l_orderkey", "member", "priority")
+
+
+def queue_next_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each customer the number its next order would have, 0 without orders."""
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    n = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("next_no"))
+    return c.join(n, "c_custkey", "left").fillna(0, ["next_no"])
+
+
+def queue_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """400 customers in a repeatable random order, each with its orders counted."""
+    c = Q.sample(table(spark, sf_dir, "customer"), "c_custkey", 400).select("c_custkey")
+    return table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left_semi").groupBy("o_custkey").agg(F.count("*").alias("orders"))
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # as a pattern, the path may be one file as well as a folder of files
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events per type and six hours, from a stream."""
+    e = _stream(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    w = R.windowed_counts(e, "at", ["event_type"], "6 hours")
+    out = R.run_to_end(w.select("event_type", F.unix_micros("window.start").alias("from_us"), "n"), mode="complete")
+    return out
+
+
+def stream_throttled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as throttled, from a stream whose repeated rows are dropped within a month."""
+    q = _stream(spark, sf_dir, "matched_queries").withColumn("at", F.col("logged_at"))
+    q = R.recent_distinct(q, "at", ["query_no"], "31 days").select("trace_id", F.unix_micros("end_time").alias("t"), F.col("query_no").alias("id"))
+    out = R.run_to_end(R.throttle_stream(q, "trace_id", 10_000))
+    t = lookups(spark, sf_dir).select(F.col("query_no").alias("id"), "t")
+    return out.join(t, "id").select(F.col("id").alias("query_no"), (F.col("sent") - F.col("t")).alias("delay_us"))
+
+
+def stream_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as qr_match, from streams of both tables."""
+    sides = []
+    for i, side in enumerate(("query", "response")):
+        m = R.recent_distinct(_stream(spark, sf_dir, f"{side}_messages").withColumn("at", F.col("logged_at")), "at", ["msg_id"], "31 days")
+        name = F.regexp_replace(F.lower(f"{side}_qname"), r"\.\z", "")
+        sides.append(m.select(F.substring_index("message_type", "_", 1).alias("kind"), name.alias("qname"), F.col(f"{side}_qtype").alias("qtype"), F.col(f"{side}_id").alias("qid"), F.coalesce("query_port", F.lit(0)).alias("port"), F.lit(i).alias("side"), F.col(f"{side}_time_ns").alias("t"), F.col("msg_id").alias("id")))
+    both = sides[0].unionByName(sides[1])
+    out = R.run_to_end(R.match_stream(both, ["kind", "qname", "qtype", "qid", "port"]))
+    return out.where("kind IN ('CLIENT', 'FORWARDER')").select("kind", "query_id", "response_id", F.col("took").alias("took_ns"))
+
+
+_LIST = (constant_rate_p0, constant_rate, adaptive_padding, queue_pop, queue_complete, queue_members, queue_next_counters, queue_sample, stream_windows, stream_throttled, stream_match)
+QUERIES = {f.__name__: f for f in _LIST}
+
+ORACLES = {
+    "constant_rate_p0": f"""
+WITH RECURSIVE {_L}, q AS (SELECT trace_id AS trace, t, response_size::BIGINT AS size, row_number() OVER (PARTITION BY trace_id ORDER BY t, query_no) AS i FROM l WHERE trace_id IS NOT NULL AND t IS NOT NULL AND response_size IS NOT NULL
+), r AS (
+  SELECT trace, i, size, t AS sent, NULL::BIGINT AS dummy FROM q WHERE i = 1
+  UNION ALL
+  SELECT q.trace, q.i, q.size, greatest(q.t, r.sent + CASE WHEN q.t > r.sent + 20000 THEN 40000 ELSE 20000 END), CASE WHEN q.t > r.sent + 20000 THEN r.sent + 20000 END FROM r JOIN q ON q.trace = r.trace AND q.i = r.i + 1
+)
+SELECT trace, sent AS time, size, false AS is_dummy FROM r UNION ALL SELECT trace, dummy, 128, true FROM r WHERE dummy IS NOT NULL UNION ALL SELECT trace, max(sent) + 20000, 128, true FROM r GROUP BY trace
+""",
+    "queue_pop": "SELECT o_custkey, arg_min(o_orderkey, (o_orderpriority, o_orderkey)) AS o_orderkey, min(o_orderpriority) AS o_orderpriority FROM orders GROUP BY 1",
+    "queue_complete": "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) = max(l_linenumber)",
+    "queue_members": "WITH g AS (SELECT l_orderkey, max(l_linenumber) AS size FROM lineitem GROUP BY 1), s AS (SELECT *, coalesce(sum(size) OVER (ORDER BY l_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM g) SELECT l_orderkey, m::INT AS member, (b + m)::BIGINT AS priority FROM (SELECT *, unnest(range(0, size)) AS m FROM s)",
+    "queue_next_counters": "SELECT c_custkey, count(o_orderkey) AS next_no FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1",
+    "queue_sample": "SELECT o_custkey, count(*) AS orders FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer ORDER BY md5('0:' || c_custkey) LIMIT 400) GROUP BY 1",
+    "stream_windows": "SELECT event_type, epoch_us(time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '2000-01-01')) AS from_us, count(*) AS n FROM events GROUP BY 1, 2",
+    "stream_throttled": TIMELINE_SQL["throttled"],
+    "stream_match": TIMELINE_SQL["qr_match"],
+}
