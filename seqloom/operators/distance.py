@@ -14,7 +14,7 @@ from seqloom.functions.elements import GAP_INSERT, GAP_SUBSTITUTE, SIZE_INSERT,
 #: What a pair of sequences of very different lengths gets instead of a distance; it stays a candidate.
 FAR = (1 << 63) - 1
 QUALITIES = ["NoResult", "Wrong", "Contains", "PluralityThenMinDist", "Plurality", "Majority", "Exact"]
-BLOCK = 512
+BLOCK = 256
 _BATCH_CELLS = 4_000_000
 
 
@@ -66,17 +66,47 @@ def distances(a: Sequence[np.ndarray], b: Sequence[np.ndarray], *, prefilter: bo
     apart = np.abs(la - lb)
     far = (apart > 40) & (apart > np.maximum(la, lb) // 5) if prefilter else np.zeros(len(a), bool)
     out[far] = FAR
+    # the distance is symmetric: the longer one of a pair gives the steps, the shorter one the width of the table
+    swap = la < lb
+    a, b = ([y if w else x for x, y, w in zip(p, q, swap)] for p, q in ((a, b), (b, a)))
+    la, lb = np.maximum(la, lb), np.minimum(la, lb)
     order = np.lexsort((lb, la))  # pairs of like lengths together, so that little is padding
     order = order[~far[order]]
     start = 0
     while start < len(order):
-        stop = start + max(1, min(len(order) - start, _BATCH_CELLS // max(1, int(lb[order[start:]].max()) + 1)))
+        widest = np.maximum.accumulate(lb[order[start:]]) + 1
+        fits = (np.arange(1, len(widest) + 1) * widest <= _BATCH_CELLS) & (la[order[start:]] <= 1.3 * la[order[start]] + 8)
+        stop = start + max(1, int(np.argmin(fits)) if not fits.all() else len(fits))
         part = order[start:stop]
         out[part] = batch_distance(*_pad([a[i] for i in part]), *_pad([b[i] for i in part]))
         start = stop
     return out
 
 
+class _Library:
+    """Distinct sequences by like lengths, padded once, to be compared with one sequence after the other."""
+
+    def __init__(self, lists: list[np.ndarray]) -> None:
+        sizes = np.array([len(x) for x in lists], np.int64)
+        order, self.parts, self.n = np.argsort(sizes, kind="stable"), [], len(lists)
+        start = 0
+        while start < len(order):
+            stop = start + int(np.searchsorted(sizes[order[start:]], 1.3 * sizes[order[start]] + 8, "right"))
+            self.parts.append((order[start:stop], *_pad([lists[i] for i in order[start:stop]])))
+            start = stop
+
+    def distances(self, a: np.ndarray) -> np.ndarray:
+        """Distances to all sequences; FAR for those of very different lengths."""
+        out = np.full(self.n, FAR, np.int64)
+        for at, b, lb in self.parts:
+            apart, longest = np.abs(lb - len(a)), np.maximum(lb, len(a))
+            near = ~((apart > 40) & (apart > longest // 5))
+            for part in np.array_split(np.flatnonzero(near), 1 + int(near.sum()) * (b.shape[1] + 1) // _BATCH_CELLS):
+                if len(part):
+                    out[at[part]] = batch_distance(np.broadcast_to(a, (len(part), len(a))), np.full(len(part), len(a)), b[part], lb[part])
+        return out
+
+
 def signed(elements: Column) -> Column:
     """Elements as signed codes, the form of the distance kernels."""
     return F.transform(elements, lambda e: F.when(e["kind"] == 0, e["val"]).otherwise(-e["val"] - 1))
@@ -102,7 +132,7 @@ def neighbours(queries: DataFrame, rows: DataFrame, k: int, *, threshold: float
 
     queries: query_id, elems; rows: row_id, label, elems; a query doesn't meet the row of its own id. Order: distance, norm,
     label, row_id. threshold: pairs with a greater norm are left out before ranking. The norm is the distance by the longer length, 0 for 0, 999 for a pair
-    of very different lengths and for two empty sequences.
+    of very different lengths.
 
     Both sides are packed into blocks of at most BLOCK sequences; each pair of blocks is one row of an equi-join,
     and leaves only the k best of its rows for each query, which are ranked again over all blocks. Each distinct pair of sequences within a
@@ -115,8 +145,9 @@ def neighbours(queries: DataFrame, rows: DataFrame, k: int, *, threshold: float
     qb = q.groupBy(F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int").alias("qb")).agg(F.collect_list(F.struct("id", "c")).alias("q"))
     rb = r.groupBy(F.pmod(F.xxhash64("id"), F.lit(nr)).cast("int").alias("rb")).agg(F.collect_list(F.struct("id", "label", "c")).alias("r"))
     # each block of rows goes to every block of queries, by the block's number
-    rb = rb.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).repartition("qb", "rb")
-    pairs = rb.join(qb, "qb").select("q", "r")
+    rb = rb.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    # pairs of blocks are few but costly: a fixed number of tasks keeps them from being put together
+    pairs = rb.join(qb, "qb").repartition(min(nq * nr, 10_000), "qb", "rb").select("q", "r")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,13 +158,13 @@ def neighbours(queries: DataFrame, rows: DataFrame, k: int, *, threshold: float
                 order = sorted(range(len(rs)), key=lambda i: (rs[i]["label"] is None, rs[i]["label"] or "", rs[i]["id"]))  # noqa: B023
                 keys: dict[tuple, int] = {}
                 which = np.array([keys.setdefault(tuple(x["c"]), len(keys)) for x in rs])
-                once = [np.array(x, np.int64) for x in keys]
+                library = _Library([np.array(x, np.int64) for x in keys])
                 lr = np.array([len(x) for x in table])
                 for x in qs:
                     a = np.array(x["c"], np.int64)
-                    d = distances([a] * len(once), once, prefilter=True)[which]
+                    d = library.distances(a)[which]
                     longest = np.maximum(len(a), lr)
-                    norm = np.where(d == 0, np.where(longest > 0, 0.0, 0.0), np.where(d == FAR, 999.0, d / np.maximum(longest, 1)))
+                    norm = np.where(d == 0, 0.0, np.where(d == FAR, 999.0, d / np.maximum(longest, 1)))
                     good = [i for i in order if rs[i]["id"] != x["id"] and (threshold is None or norm[i] <= threshold)]
                     good.sort(key=lambda i: (d[i], norm[i]))  # noqa: B023
                     out += [(x["id"], rs[i]["id"], rs[i]["label"], int(d[i]), float(norm[i])) for i in good[:k]]
