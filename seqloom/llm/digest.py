@@ -188,7 +188,7 @@ def percentiles(digests: DataFrame, keys: list[str], quantiles: Sequence[float])
 
 def certify(values: DataFrame, keys: list[str], value: str, estimates: DataFrame, quantiles: Sequence[float]) -> DataFrame:
     """Count the values below and at each estimate and add rank_error: the largest share of a group's values, over the
-    quantiles, by which an estimate's rank misses its quantile.
+    quantiles, by which an estimate's rank misses its quantile. Of few values, interpolation alone may miss by up to one of them.
 
     values: keys and value, nulls left out. Equal values of a group are counted before they meet the estimates, and the counts are
     partial aggregates, so a hot group moves few rows.

@@ -25,4 +25,5 @@ def test_query(spark, name):
 
 def test_percentiles_are_certified(spark):
     rows = QUERIES["p6_percentiles"](spark, WHERE).collect()
-    assert max(r.rank_error for r in rows) < 0.02 and {r.scope for r in rows} == {"day", "all"}
+    # an interpolated percentile of n values may miss its rank by up to one of them
+    assert max(r.rank_error - 1 / r.n for r in rows) < 0.01 and {r.scope for r in rows} == {"day", "all"}
