@@ -43,7 +43,7 @@ def units(lines: Iterator[str]) -> Iterator[str]:
 
 def _unwrapped(lines: list[str]) -> list[str]:
     width = max(map(len, lines), default=0)
-    if len(lines) < 2 or not 24 <= width < 100:
+    if len(lines) < 2 or not 24 <= width < 100 or 3 * sum(bool(_CODE.match(x.lstrip())) for x in lines) >= len(lines):
         return lines
     # in wrapped text the next line's first word would have been too much for the line
     full = sum(len(a) + 1 + len(b.split(None, 1)[0]) > width and not _BULLET.match(b) for a, b in zip(lines, lines[1:]))
