@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -63,3 +63,30 @@ def seconds_to_us(value: Column) -> Column:
     """Seconds as number or text to microseconds; null for negative ones and what is no number."""
     v = value.cast("string").try_cast("decimal(30,9)")
     return F.when(v >= 0, F.floor(v * 1_000_000).cast("bigint"))
+
+
+def milliseconds_to_us(value: Column) -> Column:
+    """Milliseconds as text to whole microseconds, halves away from zero; null for what is no number."""
+    return F.round(F.trim(value).try_cast("double") * 1000).cast("bigint")
+
+
+def iso_time(value: Column) -> Column:
+    """An ISO 8601 time, `Z` or an offset behind it, as a timestamp; null for what is none."""
+    return F.trim(value).try_cast("timestamp")
+
+
+def reversed_labels(domain: Column) -> Column:
+    """The labels from the last to the first: a sort key that keeps names below one domain together."""
+    return F.reverse(F.split(domain, r"\."))
+
+
+def public_suffix(df: DataFrame, domain: str, known: DataFrame, name: str = "suffix") -> DataFrame:
+    """The distinct non-null values of a column of names, each with the longest suffix in the list (column suffix) that ends it at a dot; null if none does.
+
+    A name that is itself in the list is its own suffix.
+    """
+    d = df.where(F.col(domain).isNotNull()).select(domain).distinct()
+    ends = d.select(domain, F.explode(suffixes(F.col(domain))).alias("_end"))
+    known = known.where("suffix IS NOT NULL").select(F.col("suffix").alias("_end")).distinct()
+    hit = ends.join(known, "_end").groupBy(domain).agg(F.max_by("_end", F.length("_end")).alias(name))
+    return d.join(hit, domain, "left")

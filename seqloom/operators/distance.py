@@ -95,12 +95,12 @@ class _Library:
             self.parts.append((order[start:stop], *_pad([lists[i] for i in order[start:stop]])))
             start = stop
 
-    def distances(self, a: np.ndarray) -> np.ndarray:
-        """Distances to all sequences; FAR for those of very different lengths."""
+    def distances(self, a: np.ndarray, *, prefilter: bool = True) -> np.ndarray:
+        """Distances to all sequences; with prefilter FAR for those of very different lengths."""
         out = np.full(self.n, FAR, np.int64)
         for at, b, lb in self.parts:
             apart, longest = np.abs(lb - len(a)), np.maximum(lb, len(a))
-            near = ~((apart > 40) & (apart > longest // 5))
+            near = ~((apart > 40) & (apart > longest // 5) & prefilter)
             for part in np.array_split(np.flatnonzero(near), 1 + int(near.sum()) * (b.shape[1] + 1) // _BATCH_CELLS):
                 if len(part):
                     out[at[part]] = batch_distance(np.broadcast_to(a, (len(part), len(a))), np.full(len(part), len(a)), b[part], lb[part])
@@ -127,6 +127,20 @@ def seq_distance(a: Column, b: Column, *, prefilter: bool = False) -> Column:
     return F.arrow_udf(run, "bigint")(signed(a), signed(b))
 
 
+def _block_pairs(queries: DataFrame, rows: DataFrame, blocks: int | None) -> DataFrame:
+    """Each pair of a block of queries and a block of rows: q ARRAY<STRUCT<id, c>>, r ARRAY<STRUCT<id, label, c>>."""
+    codes = signed(F.col("elems"))
+    q = queries.where("elems IS NOT NULL").select(F.col("query_id").alias("id"), codes.alias("c"))
+    r = rows.where("elems IS NOT NULL").select(F.col("row_id").alias("id"), "label", codes.alias("c"))
+    nq, nr = (max(1, -(-d.count() // BLOCK)) if blocks is None else blocks for d in (q, r))
+    qb = q.groupBy(F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int").alias("qb")).agg(F.collect_list(F.struct("id", "c")).alias("q"))
+    rb = r.groupBy(F.pmod(F.xxhash64("id"), F.lit(nr)).cast("int").alias("rb")).agg(F.collect_list(F.struct("id", "label", "c")).alias("r"))
+    # each block of rows goes to every block of queries, by the block's number
+    rb = rb.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    # pairs of blocks are few but costly: a fixed number of tasks keeps them from being put together
+    return rb.join(qb, "qb").repartition(min(nq * nr, 10_000), "qb", "rb").select("q", "r")
+
+
 def neighbours(queries: DataFrame, rows: DataFrame, k: int, *, threshold: float | None = None, blocks: int | None = None) -> DataFrame:
     """For each query sequence its k nearest rows: query_id, rank, row_id, label, distance, norm.
 
@@ -138,16 +152,7 @@ def neighbours(queries: DataFrame, rows: DataFrame, k: int, *, threshold: float
     and leaves only the k best of its rows for each query, which are ranked again over all blocks. Each distinct pair of sequences within a
     pair of blocks is computed once.
     """
-    codes = signed(F.col("elems"))
-    q = queries.where("elems IS NOT NULL").select(F.col("query_id").alias("id"), codes.alias("c"))
-    r = rows.where("elems IS NOT NULL").select(F.col("row_id").alias("id"), "label", codes.alias("c"))
-    nq, nr = (max(1, -(-d.count() // BLOCK)) if blocks is None else blocks for d in (q, r))
-    qb = q.groupBy(F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int").alias("qb")).agg(F.collect_list(F.struct("id", "c")).alias("q"))
-    rb = r.groupBy(F.pmod(F.xxhash64("id"), F.lit(nr)).cast("int").alias("rb")).agg(F.collect_list(F.struct("id", "label", "c")).alias("r"))
-    # each block of rows goes to every block of queries, by the block's number
-    rb = rb.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    # pairs of blocks are few but costly: a fixed number of tasks keeps them from being put together
-    pairs = rb.join(qb, "qb").repartition(min(nq * nr, 10_000), "qb", "rb").select("q", "r")
+    pairs = _block_pairs(queries, rows, blocks)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,3 +255,35 @@ def seq_distance_details(a: Column, b: Column) -> Column:
 
     run.__annotations__ = {"x": pa.Array, "y": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "map<string,bigint>")(signed(a), signed(b))
+
+
+def group_distances(queries: DataFrame, rows: DataFrame, *, blocks: int | None = None) -> DataFrame:
+    """For each query sequence and each label its distances to the label's rows: query_id, label, n, mean, median.
+
+    queries and rows as for neighbours; a query doesn't meet rows of its own id. mean is rounded down, median is the value at position n div 2. A label whose
+    only row is the query itself has no row here. Each task hands on counts of equal distances, not the pairs.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pair in range(batch.num_rows):
+                qs, rs = batch.column(0)[pair].as_py(), batch.column(1)[pair].as_py()
+                keys: dict[tuple, int] = {}
+                which = np.array([keys.setdefault(tuple(x["c"]), len(keys)) for x in rs])
+                library = _Library([np.array(x, np.int64) for x in keys])
+                found: dict[tuple, int] = {}
+                for x in qs:
+                    for r, d in zip(rs, library.distances(np.array(x["c"], np.int64), prefilter=False)[which].tolist()):
+                        if r["id"] != x["id"]:
+                            at = (x["id"], r["label"], d)
+                            found[at] = found.get(at, 0) + 1
+                cols = [*zip(*found)] or [()] * 3
+                kinds = [pa.string(), pa.string(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds)), pa.array(found.values(), pa.int64())], names=["query_id", "label", "d", "c"])
+
+    d = _block_pairs(queries, rows, blocks).mapInArrow(count, "query_id string, label string, d bigint, c bigint")
+    d = d.groupBy("query_id", "label", "d").agg(F.sum("c").alias("c"))
+    w = Window.partitionBy("query_id", "label")
+    d = d.withColumn("upto", F.sum("c").over(w.orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("n", F.sum("c").over(w))
+    middle = F.when(F.expr("n div 2 < upto AND n div 2 >= upto - c"), F.col("d"))
+    return d.groupBy("query_id", "label").agg(F.sum("c").alias("n"), F.expr("sum(d * c) div sum(c)").alias("mean"), F.max(middle).alias("median"))

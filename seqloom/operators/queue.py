@@ -36,3 +36,8 @@ def expand(groups: DataFrame, order: list[str], size: str) -> DataFrame:
 def sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows in a random but repeatable order of their keys."""
     return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))).limit(n)
+
+
+def stale(tasks: DataFrame, by: list[str], modified: str, now: Column, limit: str) -> DataFrame:
+    """Tasks whose last change lies more than `limit` before now: by, last_change; tasks without a time of change are left out."""
+    return tasks.groupBy(*by).agg(F.max(modified).alias("last_change")).where(F.col("last_change") < now - F.expr(f"INTERVAL {limit}"))

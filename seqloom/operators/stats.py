@@ -113,3 +113,34 @@ def rank_points(df: DataFrame, by: list[str], value: str, percents: Sequence[int
     c = c.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
     c = c.withColumn("percent", F.explode(F.array(*map(F.lit, percents)))).withColumn("at", F.least(F.expr("n * percent div 100"), F.col("n") - 1))
     return c.where("at < upto AND at >= upto - c").select(*by, "percent", value)
+
+
+# The readable names of qualities, and those that count as good.
+READABLE = {"Exact": "Unanimous", "PluralityThenMinDist": "Pseudo-Plurality"}
+GOOD_FROM = "PluralityThenMinDist"
+
+
+def readable_quality(name: Column) -> Column:
+    """Names as reports print them; others stay."""
+    out = name
+    for old, new in READABLE.items():
+        out = F.when(name == old, new).otherwise(out)
+    return out
+
+
+def is_good(quality: Column) -> Column:
+    """Whether the right label was found."""
+    return quality >= QUALITIES.index(GOOD_FROM)
+
+
+def merge_counts(tables: Sequence[DataFrame], key: list[str], count: str) -> DataFrame:
+    """The counts of all tables added up by key; null keys are one."""
+    out = tables[0].select(*key, count)
+    for t in tables[1:]:
+        out = out.unionByName(t.select(*key, count))
+    return out.groupBy(*key).agg(F.sum(count).alias(count))
+
+
+def is_subset(part: Column, whole: Column) -> Column:
+    """Whether every element of the first array is in the second; null if either is null."""
+    return F.size(F.array_except(part, whole)) == 0
