@@ -66,8 +66,8 @@ def seconds_to_us(value: Column) -> Column:
 
 
 def milliseconds_to_us(value: Column) -> Column:
-    """Milliseconds as text to whole microseconds, halves away from zero; null for what is no number."""
-    return F.round(F.trim(value).try_cast("double") * 1000).cast("bigint")
+    """Milliseconds as text to whole microseconds, halves away from zero; null for what is no number or beyond 64 bits."""
+    return F.round(F.trim(value).try_cast("double") * 1000).try_cast("bigint")
 
 
 def iso_time(value: Column) -> Column:

@@ -117,10 +117,9 @@ def trace_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stale_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Traces without a sequence to which nothing was added for two hours before 2019-03-18."""
+    """Traces to which nothing was added from two hours before 2019-03-11 on."""
     q = table(spark, sf_dir, "matched_queries").where("trace_id IS NOT NULL")
-    s = table(spark, sf_dir, "labelled_sequences").select(F.col("seq_id").alias("trace_id"))
-    return Q.stale(q.join(s, "trace_id", "left_anti"), ["trace_id"], "logged_at", F.lit("2019-03-18 00:00:00+00:00").cast("timestamp"), "2 HOURS").select("trace_id", F.unix_micros("last_change").alias("last_us"))
+    return Q.stale(q, ["trace_id"], "logged_at", F.lit("2019-03-11 00:00:00+00:00").cast("timestamp"), "2 HOURS").select("trace_id", F.unix_micros("last_change").alias("last_us"))
 
 
 def first_seen_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,6 +186,6 @@ WITH {_L}, t AS (SELECT trace_id FROM l WHERE trace_id IS NOT NULL UNION SELECT
 ), g AS (SELECT trace_id, count(*) FILTER (source = 'Forwarder' AND qtype = 'A') AS a FROM l GROUP BY 1)
 SELECT trace_id, CASE WHEN a IS NULL THEN 'no lookup' WHEN a = 0 THEN 'no A lookup of the forwarder' END AS problem FROM t LEFT JOIN g USING (trace_id)
 """,
-    "stale_traces": "SELECT trace_id, epoch_us(max(logged_at)) AS last_us FROM matched_queries WHERE trace_id IS NOT NULL AND trace_id NOT IN (SELECT seq_id FROM labelled_sequences WHERE seq_id IS NOT NULL) GROUP BY 1 HAVING max(logged_at) < TIMESTAMPTZ '2019-03-17 22:00:00+00'",
+    "stale_traces": "SELECT trace_id, epoch_us(max(logged_at)) AS last_us FROM matched_queries WHERE trace_id IS NOT NULL GROUP BY 1 HAVING max(logged_at) < TIMESTAMPTZ '2019-03-10 22:00:00+00'",
     "first_seen_names": f"WITH {_L} SELECT qname, min(s) AS first_us, arg_min(query_no, (s, query_no)) AS query_no FROM l WHERE qname IS NOT NULL AND s IS NOT NULL GROUP BY 1",
 }

@@ -162,16 +162,63 @@ def read_events(spark: SparkSession, path: str, *, permissive: bool = False) ->
     return files.select("path", "content").mapInPandas(decode, EVENT_SCHEMA)
 
 
+def dns_messages(data: bytes) -> Iterator[bytes]:
+    """The messages of a DNS stream over TCP, each behind its length in two bytes; what is cut off at the end is left out."""
+    at = 0
+    while at + 2 <= len(data) and at + 2 + (n := struct.unpack_from(">H", data, at)[0]) <= len(data):
+        yield data[at + 2 : at + 2 + n]
+        at += 2 + n
+
+
+def read_dns_streams(spark: SparkSession, path: str) -> DataFrame:
+    """path, message_no, size, qname, qtype, qid of the DNS streams below path; the last three are null for what is no message with a question. Files are read whole, one a row."""
+    columns = ["path", "message_no", "size", "qname", "qtype", "qid"]
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, data in zip(b["path"], b["content"]):
+                rows = []
+                for i, m in enumerate(dns_messages(bytes(data))):
+                    try:
+                        q = _question(m)
+                    except (IndexError, struct.error):
+                        q = (None, None, None)
+                    rows.append((name, i, len(m), *q))
+                yield pd.DataFrame(rows, columns=columns).astype(object).where(lambda x: x.notna(), None)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInPandas(decode, "path string, message_no int, size int, qname string, qtype string, qid int")
+
+
+def selects_tls13(body: bytes) -> bool:
+    """Whether the body of a handshake record is a server's hello that selects TLS 1.3, by its extension 43."""
+    try:
+        if body[0] != 2:
+            return False
+        at = 39 + body[38] + 3  # header, version, random and session id; then cipher and compression
+        end = at + 2 + struct.unpack_from(">H", body, at)[0]
+        at += 2
+        while at + 4 <= end:
+            kind, n = struct.unpack_from(">HH", body, at)
+            if kind == 43:
+                return body[at + 4 : at + 6] == b"\x03\x04"
+            at += 4 + n
+    except (IndexError, struct.error):
+        pass
+    return False
+
+
 def tls_records(data: bytes) -> Iterator[tuple]:
-    """TLS records of a capture: packet_no, sender, sender_port, receiver, receiver_port, time_us, message_type, message_length.
+    """TLS records of a capture: packet_no, sender, sender_port, receiver, receiver_port, time_us, message_type, message_length, record_no, tls13.
 
     TCP over IPv4 over Ethernet; payloads are put in order by sequence number in each direction, repeated segments dropped, and a
-    record gets the time of the packet that completes it. Ends at a truncated packet.
+    record gets the time of the packet that completes it. record_no is its place among them, tls13 tells a server's hello that selects this version.
+    Ends at a truncated packet.
     """
     order = {b"\xd4\xc3\xb2\xa1": "<", b"\xa1\xb2\xc3\xd4": ">"}.get(data[:4])
     if order is None:
         raise FrameError("no packet capture")
-    at, no = 24, 0
+    at, no, count = 24, 0, 0
     flows: dict[tuple, dict] = {}
     while at + 16 <= len(data):
         sec, usec, size, _ = struct.unpack_from(order + "IIII", data, at)
@@ -195,13 +242,15 @@ def tls_records(data: bytes) -> Iterator[tuple]:
             flow["buffer"] += part
             flow["next"] = (flow["next"] + len(part)) & 0xFFFFFFFF
         while len(flow["buffer"]) >= 5 and len(flow["buffer"]) >= 5 + (n := struct.unpack_from(">H", flow["buffer"], 3)[0]):
-            yield no, *key, sec * 1_000_000 + usec, TLS_TYPES.get(flow["buffer"][0], f"Unknown({flow['buffer'][0]})"), n
+            kind = flow["buffer"][0]
+            yield no, *key, sec * 1_000_000 + usec, TLS_TYPES.get(kind, f"Unknown({kind})"), n, count, kind == 22 and selects_tls13(flow["buffer"][5 : 5 + n])
+            count += 1
             flow["buffer"] = flow["buffer"][5 + n :]
 
 
 def read_tls_records(spark: SparkSession, path: str) -> DataFrame:
     """TLS records of the packet captures below path, with the capture's path. Files are read whole, one a row."""
-    names = ["packet_no", "sender", "sender_port", "receiver", "receiver_port", "time_us", "message_type", "message_length"]
+    names = ["packet_no", "sender", "sender_port", "receiver", "receiver_port", "time_us", "message_type", "message_length", "record_no", "tls13"]
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -211,7 +260,7 @@ def read_tls_records(spark: SparkSession, path: str) -> DataFrame:
                 yield d
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(decode, "path string, packet_no int, sender string, sender_port int, receiver string, receiver_port int, time_us bigint, message_type string, message_length int")
+    return files.select("path", "content").mapInPandas(decode, "path string, packet_no int, sender string, sender_port int, receiver string, receiver_port int, time_us bigint, message_type string, message_length int, record_no int, tls13 boolean")
 
 
 def labelled_files(spark: SparkSession, path: str, ending: str) -> DataFrame:

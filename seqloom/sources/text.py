@@ -20,6 +20,30 @@ def write_sequences(df: DataFrame, path: str) -> None:
     df.where("seq_id IS NOT NULL AND elems IS NOT NULL").select(F.to_json(F.create_map("seq_id", codes(F.col("elems")))).alias("value")).write.text(path)
 
 
+def write_labelled(df: DataFrame, path: str) -> None:
+    """Lines of JSON objects {true_domain, mapped_domain, sequences: {id: [code, ...]}}, one a sequence, from seq_id, true_domain, mapped_domain, elems."""
+    d = df.where("seq_id IS NOT NULL AND elems IS NOT NULL")
+    d.select("true_domain", "mapped_domain", F.create_map("seq_id", codes(F.col("elems"))).alias("sequences")).write.json(path)
+
+
+def read_labelled(spark: SparkSession, path: str) -> DataFrame:
+    """seq_id, true_domain, mapped_domain, elems from such lines, which may hold any number of sequences; lines that are none are left out."""
+    d = spark.read.option("mode", "DROPMALFORMED").schema("true_domain string, mapped_domain string, sequences map<string,array<string>>").json(path)
+    return d.select("true_domain", "mapped_domain", F.explode("sequences").alias("seq_id", "c")).select("seq_id", "true_domain", "mapped_domain", parse_codes(F.array_compact("c")).alias("elems"))
+
+
+def unique_labels(mapping: DataFrame) -> DataFrame:
+    """domain and target of a mapping in which a domain may come only once: a second row of one fails the query. Rows with a null domain are left out."""
+    g = mapping.where("domain IS NOT NULL").groupBy("domain").agg(F.count("*").alias("n"), F.first("target").alias("target"))
+    target = F.when(F.col("n") == 1, F.col("target")).otherwise(F.raise_error(F.concat(F.lit("more than one target for "), F.col("domain"))).cast("string"))
+    return g.select("domain", target.alias("target"))
+
+
+def write_shards(df: DataFrame, path: str, shard: str, column: str) -> None:
+    """One folder of text files a shard, with the values of a column as lines; nulls are left out."""
+    df.where(F.col(column).isNotNull()).select(shard, F.col(column).cast("string").alias("value")).write.partitionBy(shard).text(path)
+
+
 def read_label_lists(spark: SparkSession, path: str) -> DataFrame:
     """domain, target from CSV files without a header; rows that begin with # are comments."""
     rows = spark.read.schema("domain string, target string").csv(path)

@@ -73,10 +73,10 @@ def test_tls(spark, tmp_path):
     top = 0xFFFFFFF0  # the sequence numbers wrap
     cap = struct.pack("<IHHIIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
     cap += packet(*a, *b, top - 1, b"", 1, 2) + packet(*a, *b, (top + 200) % 2**32, stream[200:], 3) + packet(*a, *b, top, stream[:200], 2) + packet(*a, *b, top, stream[:200], 4) + packet(*b, *a, 1, record(23, 9), 5)
-    want = [(3, "10.0.0.1", 853, "10.0.0.2", 4000, 2_000_005, "Handshake", 100), (3, "10.0.0.1", 853, "10.0.0.2", 4000, 2_000_005, "ApplicationData", 300), (5, "10.0.0.2", 4000, "10.0.0.1", 853, 5_000_005, "ApplicationData", 9)]
+    want = [(3, "10.0.0.1", 853, "10.0.0.2", 4000, 2_000_005, "Handshake", 100, 0, False), (3, "10.0.0.1", 853, "10.0.0.2", 4000, 2_000_005, "ApplicationData", 300, 1, False), (5, "10.0.0.2", 4000, "10.0.0.1", 853, 5_000_005, "ApplicationData", 9, 2, False)]
     assert list(tls_records(cap)) == want
     (tmp_path / "x.pcap").write_bytes(cap + b"\0\0\0")
-    assert [tuple(r)[1:] for r in read_tls_records(spark, str(tmp_path)).orderBy("packet_no", F.desc("message_type")).collect()] == want
+    assert [tuple(r)[1:] for r in read_tls_records(spark, str(tmp_path)).orderBy("record_no").collect()] == want
 
 
 def test_text(spark, tmp_path):
