@@ -98,3 +98,51 @@ def resolve_labels(names: DataFrame, mapping: DataFrame, *, max_hops: int = 10)
     else:
         done.append(state)
     return _union(done).select("name", "resolved", "hops")
+
+
+def _subset_picks(reps: DataFrame, edges: DataFrame) -> DataFrame:
+    """a, best: nodes whose successors include all those of another node of their domain, with the one that has the fewest, the least name on a tie.
+
+    No two nodes of a domain have equal successors. A set is only met by nodes that have its rarest successor of the domain, so no pairs of a domain's nodes
+    are made; one without successors is met by all.
+    """
+    e = edges.join(reps.where("domain IS NOT NULL").toDF("src", "domain"), "src")
+    often = e.groupBy("domain", "dst").agg(F.count("*").alias("often"))
+    sets = e.join(often, ["domain", "dst"]).groupBy("src", "domain").agg(F.count("*").alias("n"), F.min(F.struct("often", "dst"))["dst"].alias("dst"))
+    met = e.select("domain", "dst", F.col("src").alias("a")).join(sets.select("domain", "dst", F.col("src").alias("b"), "n"), ["domain", "dst"]).where("a <> b").select("a", "b", "n")
+    shared = met.join(edges.toDF("b", "dst"), "b").join(edges.toDF("a", "dst"), ["a", "dst"], "left_semi")
+    inside = shared.groupBy("a", "b", "n").agg(F.count("*").alias("c")).where("c = n").select("a", "b", "n")
+    leaves = reps.where("domain IS NOT NULL").join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti").groupBy("domain").agg(F.min("node").alias("b"))
+    empty = reps.join(leaves, "domain").where("node <> b").select(F.col("node").alias("a"), "b", F.lit(0).cast("bigint").alias("n"))
+    return inside.unionByName(empty).groupBy("a").agg(F.min(F.struct("n", "b"))["b"].alias("best"))
+
+
+def merge_subsets(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 100) -> DataFrame:
+    """Merge nodes of one domain with equal successors, and nodes into one of their domain whose successors they include, until nothing changes: node, merged.
+
+    nodes: node (unique), domain; a null domain has only nodes with equal successors. Edges to a node that was merged lead to what it became, its own
+    edges go. Which of several nodes takes it doesn't depend on any order: the one with the fewest successors, then the least.
+    """
+    state = materialize(nodes.select("node", F.col("node").alias("merged")))
+    live = materialize(edges.select("src", "dst").dropna().where("src <> dst").distinct())
+    reps = nodes.select("node", "domain")
+    for _ in range(max_rounds):
+        same = merge_equal(reps, live).toDF("node", "to")
+        live = _moved(live, same, keep_out=True)
+        reps = materialize(same.where("node = to").select("node").join(nodes.select("node", "domain"), "node"))
+        picks = materialize(_subset_picks(reps, live))
+        into = same.toDF("node", "a").join(picks, "a", "left").select("node", F.coalesce("best", "a").alias("to"))
+        into = materialize(into)
+        live = _moved(live, into, keep_out=False)
+        state = materialize(state.join(into.toDF("merged", "to"), "merged").select("node", F.col("to").alias("merged")))
+        if into.where("node <> to").isEmpty():
+            return state
+        reps = materialize(into.where("node = to").select("node").join(nodes.select("node", "domain"), "node"))
+    raise RuntimeError(f"not finished after {max_rounds} rounds")
+
+
+def _moved(edges: DataFrame, to: DataFrame, *, keep_out: bool) -> DataFrame:
+    """Edges with their ends mapped; the edges out of nodes that moved are mapped too, or go."""
+    e = edges.join(to.toDF("src", "a"), "src").join(to.toDF("dst", "b"), "dst")
+    e = e if keep_out else e.where("src = a")
+    return materialize(e.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())

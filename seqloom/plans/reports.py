@@ -71,6 +71,13 @@ def dep_merged_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("merged").agg(F.min("s").alias("first_us"), F.coalesce(F.sum("c"), F.lit(0)).alias("lookups"), F.count("*").alias("nodes"))
 
 
+def dep_subset_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of one domain that serve all sites that another of its names serves, merged into that one."""
+    nodes, edges = _lookup_graph(spark, sf_dir)
+    # a site is a domain of its own
+    return G.merge_subsets(nodes.withColumn("domain", F.when(F.col("node").startswith("site:"), F.col("node")).otherwise(F.col("domain"))), edges)
+
+
 def paired_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each capture's path with the sequence made of it, null if there is none."""
     a = table(spark, sf_dir, "misclassifications").where("seq_path IS NOT NULL").select("seq_path").distinct().withColumn("stem", N.stem(F.col("seq_path")))
@@ -140,7 +147,7 @@ def cluster_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.numbered(g, [F.col("least"), F.col("most"), F.col("true_domain")], "place")
 
 
-_LIST = (suffix_quality, quality_by_measure, set_means, at_least_series, dep_merged_nodes, paired_files, merged_type_counts, code_subsets, parsed_numbers, run_distances, group_distances, cost_breakdown, cluster_spread)
+_LIST = (suffix_quality, quality_by_measure, set_means, at_least_series, dep_merged_nodes, dep_subset_merge, paired_files, merged_type_counts, code_subsets, parsed_numbers, run_distances, group_distances, cost_breakdown, cluster_spread)
 QUERIES = {f.__name__: f for f in _LIST}
 
 _READABLE = "CASE quality " + " ".join(f"WHEN {i} THEN '{S.READABLE.get(n, n)}'" for i, n in enumerate(D.QUALITIES)) + " END"
