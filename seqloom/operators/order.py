@@ -33,6 +33,21 @@ def group_numbers(df: DataFrame, by: list[str], order: list[Column], name: str =
     return n.join(least, same).withColumn(name, F.col(name) - F.col(first)).drop(first, *(f"_k{i}" for i in range(len(by))))
 
 
+def with_next(df: DataFrame, by: list[str], order: list[Column], columns: dict[str, str]) -> DataFrame:
+    """df with columns of the row that follows in its group, under new names: columns maps a column to its new name. The last row of a group gets nulls; null keys make a group."""
+    part, here, after, *keys = fresh(df, "_part", "_here", "_after", *(f"_o{i}" for i in range(len(by) + len(order))))
+    d = df.select("*", *(o.alias(k) for o, k in zip([*map(F.col, by), *order], keys)))
+    cut = materialize(d.repartitionByRange(*keys).withColumn(part, F.spark_partition_id())).withColumn(here, F.struct(*by, *columns))
+    first = cut.groupBy(part).agg(F.min_by(here, F.struct(*keys)).alias(here))
+    first = first.select(part, F.lead(here).over(Window.orderBy(part)).alias(after))  # a row a range
+    d = cut.withColumn("_next", F.lead(here).over(Window.partitionBy(part).orderBy(*keys))).join(F.broadcast(first), part)
+    found = F.coalesce("_next", after)
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(found[c])
+    return d.select(*df.columns, *(F.when(same, found[c]).alias(n) for c, n in columns.items()))
+
+
 def zip_rows(left: DataFrame, right: DataFrame, order_left: list[Column], order_right: list[Column]) -> DataFrame:
     """The rows of both tables side by side by their position; rows beyond the shorter table are left out. Column names must differ."""
     a, b = numbered(left, order_left, "_at"), numbered(right, order_right, "_at")

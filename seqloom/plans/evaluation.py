@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators import distance as D
 from seqloom.operators import stats as S
+from seqloom.operators.order import with_next
 from seqloom.plans.sequences import labelled
 from seqloom.session import table
 
@@ -104,12 +105,9 @@ def knn_quality_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def consecutive_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distance of each sequence to the next one of its true_domain, with its norm."""
-    from pyspark.sql import Window
-
     from seqloom.functions.elements import normalised
 
-    s = labelled(spark, sf_dir).where("true_domain IS NOT NULL").repartition("true_domain")
-    s = s.withColumn("other", F.lead("elems").over(Window.partitionBy("true_domain").orderBy("seq_id"))).where("other IS NOT NULL")
+    s = with_next(labelled(spark, sf_dir).where("true_domain IS NOT NULL"), ["true_domain"], [F.col("seq_id")], {"elems": "other"}).where("other IS NOT NULL")
     s = s.withColumn("distance", D.seq_distance(F.col("elems"), F.col("other")))
     return s.select("seq_id", "true_domain", "distance", F.round(normalised(F.col("distance"), F.col("elems"), F.col("other")), 9).alias("norm"))
 

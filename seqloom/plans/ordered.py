@@ -62,7 +62,7 @@ def largest_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.largest(lookups(spark, sf_dir).where("response_size IS NOT NULL").select("query_no", "response_size"), [F.desc("response_size"), F.asc("query_no")], 100)
 
 
-def p95_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sizes_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The response size at 95 % of the sorted sizes of each type."""
     return S.rank_points(lookups(spark, sf_dir).where("qtype IS NOT NULL"), ["qtype"], "response_size", [95])
 
@@ -128,7 +128,7 @@ def first_seen_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.groupBy("qname").agg(F.min(F.struct("s", "query_no")).alias("f")).select("qname", F.col("f.s").alias("first_us"), F.col("f.query_no").alias("query_no"))
 
 
-_LIST = (name_shards, shard_names, next_group_ids, zipped_records, trimmed_sizes, largest_responses, p95_sizes, event_boxes, flow_servers, flow_answers, tap_problems, trace_problems, stale_traces, first_seen_names)
+_LIST = (name_shards, shard_names, next_group_ids, zipped_records, trimmed_sizes, largest_responses, sizes_p95, event_boxes, flow_servers, flow_answers, tap_problems, trace_problems, stale_traces, first_seen_names)
 QUERIES = {f.__name__: f for f in _LIST}
 
 _I = rf"""{_M}, i0 AS (SELECT DISTINCT array_to_string(list_reverse(string_split(true_domain, '.')), ',') AS key FROM matched_queries WHERE true_domain IS NOT NULL
@@ -157,7 +157,7 @@ WITH {_L}, r AS (SELECT qtype, response_size, row_number() OVER (PARTITION BY qt
 SELECT qtype, response_size, count(*) AS n FROM r WHERE c <= 500 OR i <= c - c // 50 GROUP BY 1, 2
 """,
     "largest_responses": f"WITH {_L} SELECT query_no, response_size FROM l WHERE response_size IS NOT NULL ORDER BY response_size DESC, query_no LIMIT 100",
-    "p95_sizes": f"""
+    "sizes_p95": f"""
 WITH {_L}, r AS (SELECT qtype, response_size, row_number() OVER (PARTITION BY qtype ORDER BY response_size) - 1 AS i, count(*) OVER (PARTITION BY qtype) AS c FROM l WHERE qtype IS NOT NULL AND response_size IS NOT NULL)
 SELECT qtype, 95 AS percent, response_size FROM r WHERE i = least(c * 95 // 100, c - 1)
 """,

@@ -94,8 +94,8 @@ def merged_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def code_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many sequences of each domain hold no other codes than the one before."""
     s = labelled(spark, sf_dir).where("true_domain IS NOT NULL").select("seq_id", "true_domain", F.array_distinct(E.codes(F.col("elems"))).alias("codes"))
-    s = s.withColumn("prior", F.lag("codes").over(Window.partitionBy("true_domain").orderBy("seq_id"))).where("prior IS NOT NULL")
-    return s.groupBy("true_domain").agg(F.count_if(S.is_subset(F.col("codes"), F.col("prior"))).alias("subsets"), F.count("*").alias("n"))
+    s = O.with_next(s, ["true_domain"], [F.col("seq_id")], {"codes": "later"}).where("later IS NOT NULL")
+    return s.groupBy("true_domain").agg(F.count_if(S.is_subset(F.col("later"), F.col("codes"))).alias("subsets"), F.count("*").alias("n"))
 
 
 def parsed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,8 +130,7 @@ def group_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cost_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each kind of change costs between a sequence and the next of its domain, by the longer length: over all pairs, those without it as 0."""
-    s = labelled(spark, sf_dir).where("true_domain IS NOT NULL")
-    s = s.withColumn("other", F.lead("elems").over(Window.partitionBy("true_domain").orderBy("seq_id"))).where("other IS NOT NULL")
+    s = O.with_next(labelled(spark, sf_dir).where("true_domain IS NOT NULL"), ["true_domain"], [F.col("seq_id")], {"elems": "other"}).where("other IS NOT NULL")
     # a search set, as every pair takes a table of costs in Python
     s = search_set(s, "seq_id").where("size(elems) + size(other) > 0").select("seq_id", F.greatest(F.size("elems"), F.size("other")).alias("longest"), D.seq_distance_details(F.col("elems"), F.col("other")).alias("costs"))
     s = materialize(s)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import elements as E
+from seqloom.operators.order import with_next
 from seqloom.operators.sequences import build_sequences
 from seqloom.session import table
 
@@ -47,10 +48,7 @@ def seq_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def seq_tail_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each sequence against the next one of its true_domain, by the constant-rate distance and the costs of the first elements."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("true_domain").orderBy("seq_id")
-    s = labelled(spark, sf_dir).where("true_domain IS NOT NULL").withColumn("other", F.lead("elems").over(w)).where("other IS NOT NULL")
+    s = with_next(labelled(spark, sf_dir).where("true_domain IS NOT NULL"), ["true_domain"], [F.col("seq_id")], {"elems": "other"}).where("other IS NOT NULL")
     a, b = F.get("elems", F.lit(0)), F.get("other", F.lit(0))
     return s.select("seq_id", E.tail_distance(F.col("elems"), F.col("other")).cast("bigint").alias("tail_distance"), E.substitute_cost(a, b).cast("bigint").alias("substitute"), E.insert_cost(a).cast("bigint").alias("inserted"))
 

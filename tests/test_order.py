@@ -23,6 +23,19 @@ def test_numbered(spark):
     assert O.numbered(df.limit(0), [F.col("v")]).collect() == []
 
 
+def test_with_next(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice(["hot"] * 8 + ["a", None]), i, rng.choice(["x", "y", None])) for i in range(300)] + [("alone", 1000, "z")]
+    df = spark.createDataFrame(rows, "k string, i int, _part string").repartition(6)
+    groups: dict = {}
+    for r in rows:
+        groups.setdefault(r[0], []).append(r)
+    want = {(*r, *(after[1:] if after else (None, None))) for g in groups.values() for r, after in zip(g, [*g[1:], None])}
+    got = O.with_next(df, ["k"], [F.col("i")], {"i": "next_i", "_part": "next_part"})
+    assert got.columns == ["k", "i", "_part", "next_i", "next_part"] and {tuple(r) for r in got.collect()} == want
+    assert O.with_next(df.limit(0), ["k"], [F.col("i")], {"i": "j"}).collect() == []
+
+
 def test_zip(spark):
     a, b = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "x int, y string"), spark.createDataFrame([(9,), (7,)], "z int")
     assert sorted(tuple(r) for r in O.zip_rows(a, b, [F.col("x")], [F.col("z")]).collect()) == [(1, "a", 7), (2, "b", 9)]
