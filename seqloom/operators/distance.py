@@ -16,6 +16,9 @@ FAR = (1 << 63) - 1
 QUALITIES = ["NoResult", "Wrong", "Contains", "PluralityThenMinDist", "Plurality", "Majority", "Exact"]
 BLOCK = 256
 _BATCH_CELLS = 4_000_000
+#: Bytes of back-pointers at once.
+_TRACE_CELLS = 32_000_000
+CHANGES = ["insert_gap", "insert_size", "delete_gap", "delete_size", "substitute_gap_gap", "substitute_gap_size", "substitute_size_gap", "substitute_size_size", "swap"]
 
 
 def _costs(x: np.ndarray) -> np.ndarray:
@@ -215,43 +218,91 @@ def assign_folds(df: DataFrame, label: str, order: str, folds: int = 10) -> Data
     return df.withColumn("fold", (F.row_number().over(Window.partitionBy(label).orderBy(order)) - 1) % folds)
 
 
-def trace_costs(a: list[int], b: list[int]) -> dict[str, int]:
-    """Cost of one pair's cheapest alignment by operation and element kind, as insert_size or swap."""
-    longer, shorter = (a, b) if len(a) >= len(b) else (b, a)
-    cost = lambda x: SIZE_INSERT if x >= 0 else (-x - 1) * GAP_INSERT
-    kind = lambda x: "size" if x >= 0 else "gap"
-    best: dict[tuple[int, int], tuple[int, tuple | None, str]] = {(0, 0): (0, None, "")}
-    for i in range(len(longer) + 1):
-        for j in range(len(shorter) + 1):
-            ways = []
-            if i:
-                ways.append((best[i - 1, j][0] + cost(longer[i - 1]), (i - 1, j), f"insert_{kind(longer[i - 1])}"))
-            if j:
-                ways.append((best[i, j - 1][0] + cost(shorter[j - 1]), (i, j - 1), f"delete_{kind(shorter[j - 1])}"))
-            if i and j:
-                x, y = longer[i - 1], shorter[j - 1]
-                change = 0 if x == y else (SIZE_INSERT * 2) // SIZE_SUBSTITUTE_DIVIDER if x >= 0 and y >= 0 else GAP_SUBSTITUTE * abs(x - y) if x < 0 and y < 0 else cost(x) + cost(y)
-                ways.append((best[i - 1, j - 1][0] + change, (i - 1, j - 1), f"substitute_{kind(x)}_{kind(y)}"))
-                if i > 1 and j > 1 and x == shorter[j - 2] and longer[i - 2] == y:
-                    ways.append((best[i - 2, j - 2][0] + (0 if x == y else SWAP), (i - 2, j - 2), "swap"))
-            if ways:
-                best[i, j] = min(ways, key=lambda w: w[0])
-    out: dict[str, int] = {}
-    at: tuple | None = (len(longer), len(shorter))
-    while at and at != (0, 0):
-        value, before, what = best[at]
-        if step := value - best[before][0]:
-            out[what] = out.get(what, 0) + step
-        at = before
+def _trace_batch(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """Costs of the cheapest alignments of many pairs by change, one column each of CHANGES; arguments as for batch_distance, rows of a not shorter than those of b.
+
+    The table is filled as in batch_distance and keeps one byte a cell, which way led there; then all pairs walk back together. Among equally
+    cheap ways a swap goes before a substitution, that before a deletion, that before an insertion.
+    """
+    n, rows, cols = len(a), a.shape[1], b.shape[1]
+    ca, cb = _costs(a), _costs(b)
+    cum = np.concatenate([np.zeros((n, 1), np.int64), np.cumsum(cb, axis=1)], axis=1)
+    prior, older = cum, np.zeros_like(cum)
+    way = np.zeros((rows, n, cols), np.int8)
+    both = (SIZE_INSERT + SIZE_INSERT) // SIZE_SUBSTITUTE_DIVIDER
+    for i in range(rows):
+        x, cx = a[:, i : i + 1], ca[:, i : i + 1]
+        change = np.where((x >= 0) & (b >= 0), both, np.where((x < 0) & (b < 0), GAP_SUBSTITUTE * np.abs(x - b), cx + cb))
+        substituted = prior[:, :-1] + np.where(x == b, 0, change)
+        swapped = np.full_like(substituted, FAR)
+        if i:
+            fits = (a[:, i - 1 : i] == b[:, 1:]) & (x == b[:, :-1])
+            swapped[:, 1:] = np.where(fits, older[:, :-2] + np.where(x == b[:, 1:], 0, SWAP), FAR)
+        step = np.minimum(np.minimum(prior[:, 1:] + cx, substituted), swapped)
+        row = np.concatenate([prior[:, :1] + cx, step], axis=1) - cum
+        row = np.minimum.accumulate(row, axis=1) + cum
+        found = row[:, 1:]
+        way[i] = np.select([swapped == found, substituted == found, row[:, :-1] + cb == found], [3, 2, 1], 0)
+        older, prior = prior, row
+    out = np.zeros((n, len(CHANGES)), np.int64)
+    at, i, j = np.arange(n), la.copy(), lb.copy()
+    while len(at):
+        more = (i > 0) | (j > 0)
+        at, i, j = at[more], i[more], j[more]
+        # at the borders of the table only one way is left: the shorter one's elements are inserted, the longer one's deleted, or inserted into an empty one
+        x, y = (np.where(k > 0, s[at, np.maximum(k, 1) - 1], 0) if s.shape[1] else np.zeros_like(k) for s, k in ((a, i), (b, j)))
+        inside = (i > 0) & (j > 0)
+        w = np.zeros(len(at), np.int8)
+        w[inside] = way[i[inside] - 1, at[inside], j[inside] - 1]
+        top, left = i == 0, (j == 0) & (lb[at] > 0)
+        own = np.where(top | ((w == 1) & inside), y, x)
+        cost = np.where(x == y, 0, np.where((x >= 0) & (y >= 0), both, np.where((x < 0) & (y < 0), GAP_SUBSTITUTE * np.abs(x - y), _costs(x) + _costs(y))))
+        cost = np.where(w == 3, np.where(x == y, 0, SWAP), np.where(w == 2, cost, _costs(own)))
+        kinds = 2 * (x >= 0) + (y >= 0)
+        what = np.where(w == 3, 8, np.where(w == 2, 4 + kinds, 2 * ((w == 1) | left) + (own >= 0)))
+        out[at, what] += cost
+        # an insertion takes an element of the longer one, a deletion one of the shorter one, but for the borders
+        i = i - np.where(top, 0, np.array([1, 0, 1, 2])[w])
+        j = j - np.where(top, 1, np.array([0, 1, 1, 2])[w])
+    return out
+
+
+def trace_all(a: Sequence[np.ndarray], b: Sequence[np.ndarray]) -> list[dict[str, int]]:
+    """For each pair of lists of signed codes the cost of its cheapest alignment by operation and element kind, as insert_size or swap."""
+    out: list[dict[str, int]] = [{} for _ in a]
+    # the longer one of a pair gives the steps; equal pairs cost nothing
+    longer, shorter = ([y if (len(x) < len(y)) == first else x for x, y in zip(a, b)] for first in (True, False))
+    la, lb = (np.array([len(x) for x in s], np.int64) for s in (longer, shorter))
+    order = np.lexsort((lb, la))
+    order = order[[not np.array_equal(a[i], b[i]) for i in order]]
+    start = 0
+    while start < len(order):
+        rest = order[start:]
+        cells = np.arange(1, len(rest) + 1) * la[rest] * (np.maximum.accumulate(lb[rest]) + 1)
+        fits = (cells <= _TRACE_CELLS) & (la[rest] <= 1.3 * la[rest[0]] + 8)
+        part = rest[: max(1, int(np.argmin(fits)) if not fits.all() else len(fits))]
+        found = _trace_batch(*_pad([longer[i] for i in part]), *_pad([shorter[i] for i in part]))
+        for i, costs in zip(part, found.tolist()):
+            out[i] = {c: v for c, v in zip(CHANGES, costs) if v}
+        start += len(part)
     return out
 
 
+def trace_costs(a: list[int], b: list[int]) -> dict[str, int]:
+    """trace_all of one pair."""
+    return trace_all([np.array(a, np.int64)], [np.array(b, np.int64)])[0]
+
+
 def seq_distance_details(a: Column, b: Column) -> Column:
     """The cost of the cheapest alignment by operation, as MAP<STRING, BIGINT>; its values sum to the distance."""
 
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
-        found = [list(trace_costs(p, q).items()) if p is not None and q is not None else None for p, q in zip(x.to_pylist(), y.to_pylist())]
-        return pa.array(found, pa.map_(pa.string(), pa.int64()))
+        out = [None] * len(x)
+        given = [i for i in range(len(x)) if x[i].is_valid and y[i].is_valid]
+        found = trace_all(*([np.array(s[i].as_py(), np.int64) for i in given] for s in (x, y)))
+        for i, m in zip(given, found):
+            out[i] = list(m.items())
+        return pa.array(out, pa.map_(pa.string(), pa.int64()))
 
     run.__annotations__ = {"x": pa.Array, "y": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "map<string,bigint>")(signed(a), signed(b))

@@ -131,8 +131,8 @@ def group_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cost_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each kind of change costs between a sequence and the next of its domain, by the longer length: over all pairs, those without it as 0."""
     s = O.with_next(labelled(spark, sf_dir).where("true_domain IS NOT NULL"), ["true_domain"], [F.col("seq_id")], {"elems": "other"}).where("other IS NOT NULL")
-    # a search set, as every pair takes a table of costs in Python
-    s = search_set(s, "seq_id").where("size(elems) + size(other) > 0").select("seq_id", F.greatest(F.size("elems"), F.size("other")).alias("longest"), D.seq_distance_details(F.col("elems"), F.col("other")).alias("costs"))
+    # rows are few but costly: a fixed number of tasks keeps them from being put together
+    s = s.where("size(elems) + size(other) > 0").repartition(96, "seq_id").select("seq_id", F.greatest(F.size("elems"), F.size("other")).alias("longest"), D.seq_distance_details(F.col("elems"), F.col("other")).alias("costs"))
     s = materialize(s)
     n = s.agg(F.count("*").alias("pairs")).withColumn("one", F.lit(1))  # one row
     c = s.select("longest", F.explode("costs").alias("change", "cost")).groupBy("change").agg(F.count("*").alias("n"), F.sum(F.col("cost") / F.col("longest")).alias("total"), F.max(F.col("cost") / F.col("longest")).alias("most"))

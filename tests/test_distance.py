@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import elements as E
-from seqloom.operators.distance import FAR, distances, neighbours, quality, seq_distance, seq_distance_details, trace_costs, votes
+from seqloom.operators.distance import FAR, distances, neighbours, quality, seq_distance, seq_distance_details, signed, trace_all, trace_costs, votes
+from seqloom.plans.reports import cost_breakdown
+from seqloom.plans.sequences import labelled
 
 
 def s(text):
@@ -58,3 +60,53 @@ def test_columns(spark):
     df = spark.createDataFrame([("S01 G02", "S01"), ("S01", None)], "a string, b string").select(*(E.parse_codes(F.split(c, " ")).alias(c) for c in "ab"))
     got = df.select(seq_distance(F.col("a"), F.col("b")).alias("d"), seq_distance_details(F.col("a"), F.col("b")).alias("m")).collect()
     assert [r.d for r in got] == [2, None] and got[0].m == {"insert_gap": 2}
+
+
+def brute(a, b):
+    """Cheapest alignment step by step as the reference's cost tracker goes: cost by change."""
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
+    kind, ins = lambda x: "size" if x >= 0 else "gap", lambda x: 12 if x >= 0 else -x - 1
+    table = {(0, 0): (0, {})}
+
+    def way(i, j, cost, what):
+        before, m = table[i, j]
+        return before + cost, m | ({what: m.get(what, 0) + cost} if cost else {})
+
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            if not i and j:
+                table[i, j] = way(i, j - 1, ins(b[j - 1]), f"insert_{kind(b[j - 1])}")
+            elif i and not j:
+                table[i, j] = way(i - 1, j, ins(a[i - 1]), f"{'delete' if b else 'insert'}_{kind(a[i - 1])}")
+            elif i:
+                x, y = a[i - 1], b[j - 1]
+                change = 0 if x == y else 6 if x >= 0 and y >= 0 else 3 * abs(x - y) if x < 0 and y < 0 else ins(x) + ins(y)
+                ways = [way(i - 1, j - 1, change, f"substitute_{kind(x)}_{kind(y)}"), way(i, j - 1, ins(y), f"delete_{kind(y)}"), way(i - 1, j, ins(x), f"insert_{kind(x)}")]
+                if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                    ways.insert(0, way(i - 2, j - 2, 0 if x == y else 3, "swap"))
+                table[i, j] = min(ways, key=lambda w: w[0])
+    return table[len(a), len(b)][1]
+
+
+def random_pairs(n):
+    rng = random.Random(3)
+    one = lambda: [rng.choice([1, 1, 2, 3, -1, -3, -4, -9]) for _ in range(rng.randrange(14))]
+    return [(one(), one()) for _ in range(n)]
+
+
+def test_trace_all():
+    pairs = random_pairs(500)
+    got = trace_all(*([np.array(x, int) for x in side] for side in zip(*pairs)))
+    assert got == [brute(a, b) for a, b in pairs]
+
+
+def test_cost_breakdown_of_all_pairs(spark):
+    where = "/root/testdata/sf0.001"
+    s = labelled(spark, where).where("true_domain IS NOT NULL").select("true_domain", "seq_id", signed(F.col("elems")).alias("c")).orderBy("true_domain", "seq_id").collect()
+    pairs = [(x.c, y.c) for x, y in zip(s, s[1:]) if x.true_domain == y.true_domain and x.c + y.c]
+    shares = {}
+    for a, b in pairs:
+        for what, cost in brute(a, b).items():
+            shares.setdefault(what, []).append(cost / max(len(a), len(b)))
+    got = {r.change: (r.n, r.pairs, r.mean, r.most) for r in cost_breakdown(spark, where).collect()}
+    assert len(pairs) > 10 and got == {w: (len(v), len(pairs), pytest.approx(sum(v) / len(pairs), abs=1e-8), pytest.approx(max(v), abs=1e-8)) for w, v in shares.items()}
