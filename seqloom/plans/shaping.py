@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.operators import queue as Q
 from seqloom.operators import shaping as H
+from seqloom.operators import timeline as T
 from seqloom.plans.timeline import ORACLES as TIMELINE_SQL
 from seqloom.plans.timeline import _L, lookups
 from seqloom.session import materialize, table
@@ -41,9 +44,9 @@ def adaptive_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     gap = F.col("t") - F.lag("t").over(Window.partitionBy("trace_id").orderBy("t", "query_no"))
-    # binary buckets of 64-bit numbers: 64 rows at most
-    hist = rows.select(gap.alias("gap")).where("gap > 0").groupBy((F.length(F.bin("gap")) - 1).alias("bits")).agg(F.count("*").alias("n")).collect()
-    pauses = sorted((1 << r.bits, r.n) for r in hist)
+    # two buckets a binary digit of 64-bit numbers: 128 rows at most
+    hist = rows.select(gap.alias("gap")).where("gap > 0").groupBy(T.root2_bucket(F.col("gap")).alias("bucket")).agg(F.count("*").alias("n")).collect()
+    pauses = sorted((math.ceil(2 ** (r.bucket / 2)), r.n) for r in hist)
     d = H.adaptive_padding(rows, "trace_id", "t", "response_size", "query_no", pauses=pauses)
     return d.groupBy("trace").agg(F.count_if(~F.col("is_dummy")).alias("messages"), F.count_if(F.col("is_dummy")).alias("dummies"))
 

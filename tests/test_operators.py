@@ -12,6 +12,7 @@ from seqloom.operators import shaping as H
 from seqloom.operators import stats as S
 from seqloom.operators import timeline as T
 from seqloom.operators.sequences import build_sequences
+from seqloom.plans import shaping as P
 
 
 def one(spark, column):
@@ -95,6 +96,24 @@ def test_shaping(spark):
     assert H.constant_rate(df.limit(0), "k", "t", "s", "o", rate=10).collect() == []
 
 
+def test_pauses_of_whole_histogram(spark, monkeypatch):
+    rows = [(f"t{i}", t, 5, n) for i in range(30) for n, t in enumerate((0, 1500, 2100, 4100))]
+    df = spark.createDataFrame(rows, "trace_id string, t bigint, response_size bigint, query_no bigint")
+    monkeypatch.setattr(P, "_answers", lambda *_: df)
+    seen, real = {}, H.adaptive_padding
+    monkeypatch.setattr(H, "adaptive_padding", lambda *a, **k: seen.update(k) or real(*a, **k))
+    assert sum(r.messages for r in P.adaptive_padding(spark, "").collect()) % 120 == 0
+    # 1500 and 2000 lie between 1024 * sqrt(2) and 2048, 600 between 512 and 512 * sqrt(2)
+    assert seen["pauses"] == [(512, 30), (1449, 60)]
+    m = H.AdaptivePadding("t", seen["pauses"], 0.9, 2.0, 1)
+    drawn = []
+    for mode in ("burst", "gap") * 1500:
+        m.mode, m.since = mode, 0
+        m._draw()
+        drawn += [m.deadline] if m.deadline else []
+    assert {(512 <= d < 725) or (1449 <= d < 2048) for d in drawn} == {True} and max(drawn) > 2000 and {1449, 512, 724} & set(drawn)
+
+
 def test_queue_and_names(spark):
     g = spark.createDataFrame([(i, i % 4) for i in range(40)], "g int, size int")
     got = [tuple(r) for r in Q.expand(g, ["g"], "size").orderBy("priority").select("g", "member", "priority").collect()]
