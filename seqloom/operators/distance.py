@@ -18,7 +18,7 @@ BLOCK = 256
 _BATCH_CELLS = 4_000_000
 #: Bytes of back-pointers at once.
 _TRACE_CELLS = 32_000_000
-CHANGES = ["insert_gap", "insert_size", "delete_gap", "delete_size", "substitute_gap_gap", "substitute_gap_size", "substitute_size_gap", "substitute_size_size", "swap"]
+CHANGES = ["insert_gap", "insert_size", "delete_gap", "delete_size", "substitute_gap_gap", "substitute_gap_size", "substitute_size_gap", "substitute_size_size", "swap_gap_gap", "swap_gap_size", "swap_size_gap", "swap_size_size"]
 
 
 def _costs(x: np.ndarray) -> np.ndarray:
@@ -218,8 +218,8 @@ def assign_folds(df: DataFrame, label: str, order: str, folds: int = 10) -> Data
     return df.withColumn("fold", (F.row_number().over(Window.partitionBy(label).orderBy(order)) - 1) % folds)
 
 
-def _trace_batch(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
-    """Costs of the cheapest alignments of many pairs by change, one column each of CHANGES; arguments as for batch_distance, rows of a not shorter than those of b.
+def _trace_batch(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Costs of the cheapest alignments of many pairs by change, one column each of CHANGES, and the gaps that were substituted as rows of pair, lesser and greater gap; arguments as for batch_distance, rows of a not shorter than those of b.
 
     The table is filled as in batch_distance and keeps one byte a cell, which way led there; then all pairs walk back together. Among equally
     cheap ways a swap goes before a substitution, that before a deletion, that before an insertion.
@@ -244,7 +244,7 @@ def _trace_batch(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -
         found = row[:, 1:]
         way[i] = np.select([swapped == found, substituted == found, row[:, :-1] + cb == found], [3, 2, 1], 0)
         older, prior = prior, row
-    out = np.zeros((n, len(CHANGES)), np.int64)
+    out, gaps = np.zeros((n, len(CHANGES)), np.int64), []
     at, i, j = np.arange(n), la.copy(), lb.copy()
     while len(at):
         more = (i > 0) | (j > 0)
@@ -259,16 +259,19 @@ def _trace_batch(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -
         cost = np.where(x == y, 0, np.where((x >= 0) & (y >= 0), both, np.where((x < 0) & (y < 0), GAP_SUBSTITUTE * np.abs(x - y), _costs(x) + _costs(y))))
         cost = np.where(w == 3, np.where(x == y, 0, SWAP), np.where(w == 2, cost, _costs(own)))
         kinds = 2 * (x >= 0) + (y >= 0)
-        what = np.where(w == 3, 8, np.where(w == 2, 4 + kinds, 2 * ((w == 1) | left) + (own >= 0)))
+        what = np.where(w == 3, 8 + kinds, np.where(w == 2, 4 + kinds, 2 * ((w == 1) | left) + (own >= 0)))
         out[at, what] += cost
+        g = (w == 2) & (x < 0) & (y < 0) & (x != y)
+        gaps.append(np.stack([at[g], -np.maximum(x[g], y[g]) - 1, -np.minimum(x[g], y[g]) - 1], axis=1))
         # an insertion takes an element of the longer one, a deletion one of the shorter one, but for the borders
         i = i - np.where(top, 0, np.array([1, 0, 1, 2])[w])
         j = j - np.where(top, 1, np.array([0, 1, 1, 2])[w])
-    return out
+    return out, gaps
 
 
 def trace_all(a: Sequence[np.ndarray], b: Sequence[np.ndarray]) -> list[dict[str, int]]:
-    """For each pair of lists of signed codes the cost of its cheapest alignment by operation and element kind, as insert_size or swap."""
+    """For each pair of lists of signed codes the cost of its cheapest alignment by operation and element kind, as insert_size or swap_gap_size,
+    and how often it makes one gap another, as gap(1)_to_gap(3), the lesser first; zeros are left out."""
     out: list[dict[str, int]] = [{} for _ in a]
     # the longer one of a pair gives the steps; equal pairs cost nothing
     longer, shorter = ([y if (len(x) < len(y)) == first else x for x, y in zip(a, b)] for first in (True, False))
@@ -281,20 +284,23 @@ def trace_all(a: Sequence[np.ndarray], b: Sequence[np.ndarray]) -> list[dict[str
         cells = np.arange(1, len(rest) + 1) * la[rest] * (np.maximum.accumulate(lb[rest]) + 1)
         fits = (cells <= _TRACE_CELLS) & (la[rest] <= 1.3 * la[rest[0]] + 8)
         part = rest[: max(1, int(np.argmin(fits)) if not fits.all() else len(fits))]
-        found = _trace_batch(*_pad([longer[i] for i in part]), *_pad([shorter[i] for i in part]))
+        found, gaps = _trace_batch(*_pad([longer[i] for i in part]), *_pad([shorter[i] for i in part]))
         for i, costs in zip(part, found.tolist()):
             out[i] = {c: v for c, v in zip(CHANGES, costs) if v}
+        for i, least, most in np.concatenate(gaps).tolist():
+            key, m = f"gap({least})_to_gap({most})", out[part[i]]
+            m[key] = m.get(key, 0) + 1
         start += len(part)
     return out
 
 
 def trace_costs(a: list[int], b: list[int]) -> dict[str, int]:
-    """trace_all of one pair."""
-    return trace_all([np.array(a, np.int64)], [np.array(b, np.int64)])[0]
+    """The costs of one pair as in trace_all, without the counts of gaps; they sum to the distance."""
+    return {c: v for c, v in trace_all([np.array(a, np.int64)], [np.array(b, np.int64)])[0].items() if c in CHANGES}
 
 
 def seq_distance_details(a: Column, b: Column) -> Column:
-    """The cost of the cheapest alignment by operation, as MAP<STRING, BIGINT>; its values sum to the distance."""
+    """trace_all of two columns of elements, as MAP<STRING, BIGINT>; its values but the counts of gaps sum to the distance."""
 
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
         out = [None] * len(x)

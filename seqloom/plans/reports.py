@@ -129,7 +129,8 @@ def group_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cost_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each kind of change costs between a sequence and the next of its domain, by the longer length: over all pairs, those without it as 0."""
+    """What each kind of change costs between a sequence and the next of its domain, by the longer length: over all pairs, those without it as 0. Changes
+    gap(a)_to_gap(b) have how often gap a became gap b or b became a instead of a cost."""
     s = O.with_next(labelled(spark, sf_dir).where("true_domain IS NOT NULL"), ["true_domain"], [F.col("seq_id")], {"elems": "other"}).where("other IS NOT NULL")
     # rows are few but costly: a fixed number of tasks keeps them from being put together
     s = s.where("size(elems) + size(other) > 0").repartition(96, "seq_id").select("seq_id", F.greatest(F.size("elems"), F.size("other")).alias("longest"), D.seq_distance_details(F.col("elems"), F.col("other")).alias("costs"))

@@ -63,14 +63,15 @@ def test_columns(spark):
 
 
 def brute(a, b):
-    """Cheapest alignment step by step as the reference's cost tracker goes: cost by change."""
+    """Cheapest alignment step by step as the reference's cost tracker goes: cost by change, and counts of gaps."""
     a, b = (a, b) if len(a) >= len(b) else (b, a)
     kind, ins = lambda x: "size" if x >= 0 else "gap", lambda x: 12 if x >= 0 else -x - 1
     table = {(0, 0): (0, {})}
 
-    def way(i, j, cost, what):
+    def way(i, j, cost, what, gaps=None):
         before, m = table[i, j]
-        return before + cost, m | ({what: m.get(what, 0) + cost} if cost else {})
+        m = m | ({what: m.get(what, 0) + cost} if cost else {})
+        return before + cost, m | ({gaps: m.get(gaps, 0) + 1} if gaps else {})
 
     for i in range(len(a) + 1):
         for j in range(len(b) + 1):
@@ -81,9 +82,10 @@ def brute(a, b):
             elif i:
                 x, y = a[i - 1], b[j - 1]
                 change = 0 if x == y else 6 if x >= 0 and y >= 0 else 3 * abs(x - y) if x < 0 and y < 0 else ins(x) + ins(y)
-                ways = [way(i - 1, j - 1, change, f"substitute_{kind(x)}_{kind(y)}"), way(i, j - 1, ins(y), f"delete_{kind(y)}"), way(i - 1, j, ins(x), f"insert_{kind(x)}")]
+                gaps = "gap({})_to_gap({})".format(*sorted((-x - 1, -y - 1))) if x < 0 and y < 0 and x != y else None
+                ways = [way(i - 1, j - 1, change, f"substitute_{kind(x)}_{kind(y)}", gaps), way(i, j - 1, ins(y), f"delete_{kind(y)}"), way(i - 1, j, ins(x), f"insert_{kind(x)}")]
                 if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                    ways.insert(0, way(i - 2, j - 2, 0 if x == y else 3, "swap"))
+                    ways.insert(0, way(i - 2, j - 2, 0 if x == y else 3, f"swap_{kind(x)}_{kind(y)}"))
                 table[i, j] = min(ways, key=lambda w: w[0])
     return table[len(a), len(b)][1]
 
@@ -98,6 +100,7 @@ def test_trace_all():
     pairs = random_pairs(500)
     got = trace_all(*([np.array(x, int) for x in side] for side in zip(*pairs)))
     assert got == [brute(a, b) for a, b in pairs]
+    assert {"swap_gap_size", "swap_size_gap", "swap_size_size", "gap(2)_to_gap(3)"} < set().union(*got)
 
 
 def test_cost_breakdown_of_all_pairs(spark):
@@ -108,5 +111,6 @@ def test_cost_breakdown_of_all_pairs(spark):
     for a, b in pairs:
         for what, cost in brute(a, b).items():
             shares.setdefault(what, []).append(cost / max(len(a), len(b)))
+    assert any("_to_gap" in w for w in shares)
     got = {r.change: (r.n, r.pairs, r.mean, r.most) for r in cost_breakdown(spark, where).collect()}
     assert len(pairs) > 10 and got == {w: (len(v), len(pairs), pytest.approx(sum(v) / len(pairs), abs=1e-8), pytest.approx(max(v), abs=1e-8)) for w, v in shares.items()}
