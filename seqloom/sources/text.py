@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions.elements import codes, parse_codes
 from seqloom.functions.names import ignored_url
+from seqloom.session import materialize
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
@@ -73,10 +77,10 @@ def read_crawl_index(spark: SparkSession, path: str) -> DataFrame:
     return d.select("surt", "stamp", "j.url", F.col("j.status").try_cast("int").alias("status")).where("url IS NOT NULL")
 
 
-_FRAMES = "array<struct<url:string,scriptId:string>>"
-_LOG = f"""method string, params struct<requestId:string,documentURL:string,wallTime:double,scriptId:string,url:string,
+# stacks stay JSON text, as their parents nest to any depth
+_LOG = """method string, params struct<requestId:string,documentURL:string,wallTime:double,scriptId:string,url:string,stackTrace:string,
 request:struct<url:string,headers:struct<Referer:string>>,redirectResponse:struct<url:string>,
-initiator:struct<type:string,url:string,stack:struct<callFrames:{_FRAMES},parent:struct<callFrames:{_FRAMES}>>>>"""
+initiator:struct<type:string,url:string,stack:string>>"""
 
 
 def read_browser_log(spark: SparkSession, path: str) -> DataFrame:
@@ -90,14 +94,55 @@ def _inline(ddl: str) -> str:
     return f"{head.replace(' ', ':')},{rest.replace('params ', 'params:')}"
 
 
+def _frames(stack: Column) -> Column:
+    """url and scriptId of the frames of a stack given as JSON text and of all its parents."""
+
+    def run(x: pa.Array) -> pa.Array:
+        out = []
+        for text in x.to_pylist():
+            found, level = [], json.loads(text) if text else None
+            while isinstance(level, dict):
+                found += [{"url": f.get("url"), "scriptId": f.get("scriptId")} for f in level.get("callFrames") or []]
+                level = level.get("parent")
+            out.append(found)
+        return pa.array(out, pa.list_(pa.struct([("url", pa.string()), ("scriptId", pa.string())])))
+
+    run.__annotations__ = {"x": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<struct<url:string,scriptId:string>>")(stack)
+
+
+def script_urls(log: DataFrame, *, max_rounds: int = 1000) -> DataFrame:
+    """file, script, url: the URLs that each parsed script depends on, those of the frames of its stack; a frame without a URL stands for its own script's.
+
+    Each round follows one more script without a URL, from the pairs that the round before found.
+    """
+    s = log.where("method IN ('Debugger.scriptParsed', 'Debugger.scriptFailedToParse') AND params.stackTrace IS NOT NULL").where(~F.coalesce(ignored_url(F.col("params.url")), F.lit(False)))
+    s = s.select("file", F.col("params.scriptId").alias("script"), _frames(F.col("params.stackTrace")).alias("frames"))
+    s = materialize(s.select("file", "script", F.explode("frames").alias("f")).select("file", "script", "f.url", F.col("f.scriptId").alias("via")).distinct())
+    links = s.where("url = ''").select("file", F.col("script").alias("user"), F.col("via").alias("script"))
+    known = step = materialize(s.where("url <> ''").select("file", "script", "url").distinct())
+    for _ in range(max_rounds):
+        step = materialize(links.join(step, ["file", "script"]).select("file", F.col("user").alias("script"), "url").distinct().join(known, ["file", "script", "url"], "left_anti"))
+        if step.isEmpty():
+            return known
+        known = materialize(known.unionByName(step))
+    raise RuntimeError(f"not finished after {max_rounds} rounds")
+
+
 def request_edges(log: DataFrame) -> DataFrame:
-    """file, src, dst: requests and what they depend on: the page, a referrer, the parser's document, the scripts of the call stack, redirects."""
+    """file, src, dst: requests and what they depend on: the page, a referrer, the parser's document, the scripts of the call stack and of all its parents, redirects.
+
+    A frame without a URL gives the URLs that its script depends on, see script_urls.
+    """
     r = log.where("method = 'Network.requestWillBeSent'").select("file", F.col("params.request.url").alias("url"), F.col("params.initiator").alias("i"), F.col("params.documentURL").alias("page"), F.col("params.request.headers.Referer").alias("ref"), F.col("params.redirectResponse.url").alias("redirect"))
-    r = r.where("url IS NOT NULL").where(~ignored_url(F.col("url")))
-    frames = F.transform(F.concat(F.coalesce("i.stack.callFrames", F.array()), F.coalesce("i.stack.parent.callFrames", F.array())), lambda f: f["url"])
-    by_kind = F.when(F.col("i.type") == "script", frames).when(F.col("i.type") == "parser", F.array("i.url")).otherwise(F.array(F.coalesce("ref", "page")))
+    r = r.where("url IS NOT NULL").where(~ignored_url(F.col("url"))).withColumn("frames", _frames(F.when(F.col("i.type") == "script", F.col("i.stack"))))
+    r = materialize(r)
+    by_kind = F.when(F.col("i.type") == "script", F.col("frames.url")).when(F.col("i.type") == "parser", F.array("i.url")).otherwise(F.array(F.coalesce("ref", "page")))
     dst = F.explode(F.array_distinct(F.array_compact(F.concat(by_kind, F.array("redirect")))))
-    return r.select("file", F.col("url").alias("src"), dst.alias("dst")).where("dst <> '' AND src <> dst").where(~ignored_url(F.col("dst"))).distinct()
+    e = r.select("file", F.col("url").alias("src"), dst.alias("dst"))
+    inline = r.select("file", F.col("url").alias("src"), F.explode("frames").alias("f")).where("f.url = ''").select("file", "src", F.col("f.scriptId").alias("script")).distinct()
+    e = e.unionByName(inline.join(script_urls(log), ["file", "script"]).select("file", "src", F.col("url").alias("dst")))
+    return e.where("dst <> '' AND src <> dst").where(~ignored_url(F.col("dst"))).distinct()
 
 
 def log_reason(log: DataFrame) -> DataFrame:

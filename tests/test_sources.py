@@ -105,3 +105,21 @@ def test_text(spark, tmp_path):
     X.write_graphml(nodes, spark.createDataFrame([("a&b", "c")], "src string, dst string"), p("g"))
     root = ET.fromstring("".join(f.read_text() for f in sorted(Path(p("g")).glob("part-*"))))
     assert len(root.findall(".//{*}node")) == 2 and root.find(".//{*}edge").get("source") == "a&b"
+
+
+def test_edges_of_deep_stacks_and_inline_scripts(spark, tmp_path):
+    frame = lambda url, script: {"url": url, "scriptId": script}
+    stack = lambda *levels: {"callFrames": [frame(*x) for x in levels[0]]} | ({"parent": stack(*levels[1:])} if levels[1:] else {})
+    parsed = lambda script, url, s, kind="scriptParsed": {"method": f"Debugger.{kind}", "params": {"scriptId": script, "url": url} | ({"stackTrace": s} if s else {})}
+    request = lambda url, s: {"method": "Network.requestWillBeSent", "params": {"documentURL": "http://p/", "request": {"url": url}, "initiator": {"type": "script", "stack": s}}}
+    log = [
+        parsed("1", "", stack([("http://p/1.js", "9")], [], [("http://p/2.js", "8")])), parsed("2", "", stack([("", "1")], [("http://p/3.js", "7")]), "scriptFailedToParse"),
+        parsed("3", "", stack([("", "2"), ("", "3")])), parsed("4", "", None), parsed("5", "extensions::x", stack([("http://p/5.js", "6")])),
+        request("http://q/deep", stack(*[[(f"http://p/d{i}.js", "9")] for i in range(5)])), request("http://q/inline", stack([("", "3")])), request("http://q/none", stack([("", "4"), ("", "5"), ("", "77")])), request("http://q/late", stack([], [], [("", "1")])),
+    ]
+    (tmp_path / "a.json").write_text(json.dumps(log))
+    # ids of scripts count within their own log
+    (tmp_path / "b.json").write_text(json.dumps([parsed("3", "", stack([("http://o/", "1")])), request("http://q/other", stack([("", "3")]))]))
+    got = {(r.src[9:], r.dst) for r in X.request_edges(X.read_browser_log(spark, str(tmp_path))).collect()}
+    want = {("deep", f"http://p/d{i}.js") for i in range(5)} | {("inline", f"http://p/{i}.js") for i in (1, 2, 3)} | {("late", "http://p/1.js"), ("late", "http://p/2.js"), ("other", "http://o/")}
+    assert got == want
