@@ -15,6 +15,11 @@ from seqloom.plans.timeline import _L, lookups
 from seqloom.session import materialize, table
 from seqloom.streaming import streams as R
 
+#: Microseconds between messages and probability of a further dummy: the reference's sweep, and two more.
+RATES = [(r, p) for r in (100_000, 50_000, 25_000, 12_000) for p in (0.4, 0.3, 0.2, 0.1)] + [(50_000, 0.8), (12_000, 0.8)]
+#: Probability of a fake burst and its median length: the reference's sweep, and the default.
+PADDINGS = [(p, 2.0) for p in (0.4, 0.3, 0.2, 0.1, 0.9)]
+
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups(spark, sf_dir).where("trace_id IS NOT NULL AND t IS NOT NULL AND response_size IS NOT NULL")
@@ -25,21 +30,21 @@ def constant_rate_p0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.constant_rate(_answers(spark, sf_dir), "trace_id", "t", "response_size", "query_no", rate=20_000)
 
 
+def _by_setting(shaped: DataFrame, names: tuple[str, str], settings: list[tuple], *more) -> DataFrame:
+    """Messages and dummies by trace and setting, with the setting's two values in place of its number."""
+    d = shaped.groupBy("trace", "setting").agg(F.count_if(~F.col("is_dummy")).alias("messages"), F.count_if(F.col("is_dummy")).alias("dummies"), *more)
+    values = [F.get(F.array(*(F.lit(s[i]) for s in settings)), F.col("setting")).alias(n) for i, n in enumerate(names)]
+    return d.select("*", *values).drop("setting")
+
+
 def constant_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages and dummies of each trace at each of four settings of rate and probability."""
-    rows = materialize(_answers(spark, sf_dir))
-    out = None
-    for rate in (12_000, 50_000):
-        for p in (0.4, 0.8):
-            d = H.constant_rate(rows, "trace_id", "t", "response_size", "query_no", rate=rate, p=p)
-            d = d.groupBy("trace").agg(F.count_if(~F.col("is_dummy")).alias("messages"), F.count_if(F.col("is_dummy")).alias("dummies"), (F.max(F.when(~F.col("is_dummy"), F.col("time"))) - F.min("time")).alias("time_us"))
-            d = d.withColumn("rate", F.lit(rate)).withColumn("p", F.lit(p))
-            out = d if out is None else out.unionByName(d)
-    return out
+    """Messages and dummies of each trace at each of RATES."""
+    d = H.constant_rates(_answers(spark, sf_dir), "trace_id", "t", "response_size", "query_no", settings=RATES)
+    return _by_setting(d, ("rate", "p"), RATES, (F.max(F.when(~F.col("is_dummy"), F.col("time"))) - F.min("time")).alias("time_us"))
 
 
 def adaptive_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages and dummies of each trace under adaptive padding by the corpus's own histogram of pauses."""
+    """Messages and dummies of each trace at each of PADDINGS by the corpus's own histogram of pauses."""
     rows = materialize(_answers(spark, sf_dir))
     from pyspark.sql import Window
 
@@ -47,8 +52,8 @@ def adaptive_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
     # two buckets a binary digit of 64-bit numbers: 128 rows at most
     hist = rows.select(gap.alias("gap")).where("gap > 0").groupBy(T.root2_bucket(F.col("gap")).alias("bucket")).agg(F.count("*").alias("n")).collect()
     pauses = sorted((math.ceil(2 ** (r.bucket / 2)), r.n) for r in hist)
-    d = H.adaptive_padding(rows, "trace_id", "t", "response_size", "query_no", pauses=pauses)
-    return d.groupBy("trace").agg(F.count_if(~F.col("is_dummy")).alias("messages"), F.count_if(F.col("is_dummy")).alias("dummies"))
+    d = H.adaptive_paddings(rows, "trace_id", "t", "response_size", "query_no", pauses=pauses, settings=PADDINGS)
+    return _by_setting(d, ("p", "mu"), PADDINGS)
 
 
 def queue_pop(spark: SparkSession, sf_dir: str) -> DataFrame:

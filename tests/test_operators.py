@@ -100,8 +100,8 @@ def test_pauses_of_whole_histogram(spark, monkeypatch):
     rows = [(f"t{i}", t, 5, n) for i in range(30) for n, t in enumerate((0, 1500, 2100, 4100))]
     df = spark.createDataFrame(rows, "trace_id string, t bigint, response_size bigint, query_no bigint")
     monkeypatch.setattr(P, "_answers", lambda *_: df)
-    seen, real = {}, H.adaptive_padding
-    monkeypatch.setattr(H, "adaptive_padding", lambda *a, **k: seen.update(k) or real(*a, **k))
+    seen, real = {}, H.adaptive_paddings
+    monkeypatch.setattr(H, "adaptive_paddings", lambda *a, **k: seen.update(k) or real(*a, **k))
     assert sum(r.messages for r in P.adaptive_padding(spark, "").collect()) % 120 == 0
     # 1500 and 2000 lie between 1024 * sqrt(2) and 2048, 600 between 512 and 512 * sqrt(2)
     assert seen["pauses"] == [(512, 30), (1449, 60)]
@@ -114,6 +114,18 @@ def test_pauses_of_whole_histogram(spark, monkeypatch):
     assert {(512 <= d < 725) or (1449 <= d < 2048) for d in drawn} == {True} and max(drawn) > 2000 and {1449, 512, 724} & set(drawn)
 
 
+def test_sweeps(spark, monkeypatch):
+    rows = [(f"t{i}", t * (i + 1), 5, t) for i in range(6) for t in (0, 1500, 90_000, 400_000)]
+    df = spark.createDataFrame(rows, "trace_id string, t bigint, response_size bigint, query_no bigint")
+    monkeypatch.setattr(P, "_answers", lambda *_: df)
+    got = {(r.trace, r.rate, r.p): (r.messages, r.dummies) for r in P.constant_rate(spark, "").collect()}
+    assert {k[1:] for k in got} >= {(r * 1000, p) for r in (100, 50, 25, 12) for p in (0.4, 0.3, 0.2, 0.1)}
+    alone = {r.trace: (r.m, r.d) for r in H.constant_rate(df, "trace_id", "t", "response_size", "query_no", rate=25_000, p=0.3).groupBy("trace").agg(F.count_if(~F.col("is_dummy")).alias("m"), F.count_if("is_dummy").alias("d")).collect()}
+    assert len(alone) == 6 and {t: got[t, 25_000, 0.3] for t in alone} == alone
+    padded = P.adaptive_padding(spark, "").collect()
+    assert {(r.p, r.mu) for r in padded} >= {(p, 2.0) for p in (0.4, 0.3, 0.2, 0.1)} and len(padded) == 6 * len(P.PADDINGS) and {r.messages for r in padded} == {4}
+
+
 def test_queue_and_names(spark):
     g = spark.createDataFrame([(i, i % 4) for i in range(40)], "g int, size int")
     got = [tuple(r) for r in Q.expand(g, ["g"], "size").orderBy("priority").select("g", "member", "priority").collect()]
