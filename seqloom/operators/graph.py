@@ -78,26 +78,52 @@ def merge_equal(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 100) ->
     raise RuntimeError(f"not finished after {max_rounds} rounds")
 
 
-def resolve_labels(names: DataFrame, mapping: DataFrame, *, max_hops: int = 10) -> DataFrame:
-    """Follow each name (column name) through the mapping (domain unique, target): name, resolved, hops.
+def resolve_labels(names: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Follow each name (column name) through the mapping (domain unique, target) to its end, however long the chain: name, resolved, hops.
 
-    It ends where the mapping does, at max_hops, or before a hop that would lead back to the name itself.
+    resolved is the first name of the chain that the mapping doesn't lead on from. A chain that runs into a loop ends at the name where it enters it, which is the
+    first to come twice; so a name on a loop resolves to itself with no hops. Null names, domains and targets are left out.
+
+    Pointer doubling: each round joins the table of jumps with itself, so a chain of n hops takes log2(n) rounds, with one row a domain.
     """
-    state = names.select("name", F.col("name").alias("resolved"), F.lit(0).alias("hops")).distinct()
-    m = materialize(mapping.select(F.col("domain").alias("resolved"), "target").where("resolved <> target"))
-    state = materialize(state.withColumn("open", F.lit(True)))
-    done = []
-    for _ in range(max_hops):
-        j = state.join(m, "resolved", "left")
-        go = F.col("target").isNotNull() & (F.col("target") != F.col("name"))
-        j = materialize(j.select("name", F.when(go, F.col("target")).otherwise(F.col("resolved")).alias("resolved"), (F.col("hops") + go.cast("int")).alias("hops"), go.alias("open")))
-        done.append(j.where("NOT open"))  # they don't move again
-        state = j.where("open")
-        if state.isEmpty():
-            break
-    else:
-        done.append(state)
-    return _union(done).select("name", "resolved", "hops")
+    jumps = materialize(mapping.select(F.col("domain").alias("name"), F.col("target").alias("at")).dropna())
+    ended, looping = _doubled(jumps)
+    if not looping.isEmpty():
+        # a power of the jumps that maps the names on loops one to one, and all others onto them
+        power = looping.select("name", "at")
+        ring = materialize(power.select(F.col("at").alias("name")).distinct())
+        n = ring.count()
+        while (m := (smaller := materialize(ring.join(power, "name").select(F.col("at").alias("name")).distinct())).count()) < n:
+            power = materialize(_twice(power.withColumn("hops", F.lit(0))).select("name", "at"))
+            ring, n = smaller, m
+        # on the loops the chains end
+        tails = jumps.join(looping.select("name"), "name", "left_semi").join(ring, "name", "left_anti")
+        on_loop = ring.select("name", F.col("name").alias("at"), F.lit(0).cast("bigint").alias("hops"))
+        ended = ended.unionByName(_doubled(materialize(tails))[0]).unionByName(on_loop)
+    found = names.select("name").dropna().distinct().join(ended, "name", "left")
+    return found.select("name", F.coalesce("at", "name").alias("resolved"), F.coalesce("hops", F.lit(0)).alias("hops"))
+
+
+def _twice(jumps: DataFrame) -> DataFrame:
+    """name, at, hops: each jump followed by the jump from where it ends, if there is one."""
+    onward = jumps.select(F.col("name").alias("at"), F.col("at").alias("then"), F.col("hops").alias("more"))
+    j = jumps.join(onward, "at", "left")
+    return j.select("name", F.coalesce("then", "at").alias("at"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("then").isNotNull().alias("open"))
+
+
+def _doubled(jumps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Jumps (name unique, at) followed to their ends: those that end and those that never do, both as name, at, hops.
+
+    Names at a distance of d hops from an end have the next one at d - 1; so once a round ends no further name, none of the others will.
+    """
+    state, left = materialize(jumps.select("name", "at", F.lit(1).cast("bigint").alias("hops"))), -1
+    while True:
+        new = materialize(_twice(state))
+        drop_table(state)
+        n = new.where("open").count()
+        if n in (0, left):
+            return new.where("NOT open").drop("open"), new.where("open").drop("open")
+        state, left = new, n
 
 
 def _subset_picks(reps: DataFrame, edges: DataFrame) -> DataFrame:

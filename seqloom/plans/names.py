@@ -101,7 +101,7 @@ def confusion_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolved_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each label of the mapping followed for up to ten hops."""
+    """Each label of the mapping followed to its end."""
     m = _mapping(spark, sf_dir)
     return G.resolve_labels(m.select(F.col("domain").alias("name")), m)
 
@@ -168,8 +168,9 @@ SELECT domain, count(*) AS names, sum(sites)::BIGINT AS links, min(src) AS first
 """,
     "confusion_mapping": f"WITH {_M} SELECT * FROM m",
     "resolved_labels": f"""
-WITH RECURSIVE {_M}, c AS (SELECT domain AS name, domain AS resolved, 0 AS hops FROM m UNION ALL SELECT c.name, m.target, c.hops + 1 FROM c JOIN m ON c.resolved = m.domain WHERE c.hops < 10 AND m.target <> m.domain AND m.target <> c.name)
-SELECT name, arg_max(resolved, hops) AS resolved, max(hops) AS hops FROM c GROUP BY 1
+WITH RECURSIVE {_M}, c AS (SELECT domain AS name, [domain] AS path FROM m UNION ALL SELECT c.name, list_append(c.path, m.target) FROM c JOIN m ON c.path[-1] = m.domain WHERE list_position(c.path[:-2], c.path[-1]) IS NULL
+), e AS (SELECT name, arg_max(path, len(path)) AS path FROM c GROUP BY 1)
+SELECT name, path[-1] AS resolved, list_position(path, path[-1])::BIGINT - 1 AS hops FROM e
 """,
     "mapping_conflicts": f"WITH {_M} SELECT domain, count(DISTINCT target) AS targets, min(target) AS first_target FROM k GROUP BY 1 HAVING count(DISTINCT target) > 1",
     "unlabelled_traces": """

@@ -1,61 +1,16 @@
-"""Queries of traffic shaping, of task tables and of streams over the given tables."""
+"""Queries of task tables and of streams over the given tables."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.operators import queue as Q
-from seqloom.operators import shaping as H
-from seqloom.operators import timeline as T
 from seqloom.plans.timeline import ORACLES as TIMELINE_SQL
-from seqloom.plans.timeline import _L, lookups
-from seqloom.session import materialize, table
+from seqloom.plans.timeline import lookups
+from seqloom.session import table
 from seqloom.streaming import streams as R
 
-#: Microseconds between messages and probability of a further dummy: the reference's sweep, and two more.
-RATES = [(r, p) for r in (100_000, 50_000, 25_000, 12_000) for p in (0.4, 0.3, 0.2, 0.1)] + [(50_000, 0.8), (12_000, 0.8)]
-#: Probability of a fake burst and its median length: the reference's sweep, and the default.
-PADDINGS = [(p, 2.0) for p in (0.4, 0.3, 0.2, 0.1, 0.9)]
-
-
-def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookups(spark, sf_dir).where("trace_id IS NOT NULL AND t IS NOT NULL AND response_size IS NOT NULL")
-
-
-def constant_rate_p0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All traces at one message each 20 ms, with one dummy a pause."""
-    return H.constant_rate(_answers(spark, sf_dir), "trace_id", "t", "response_size", "query_no", rate=20_000)
-
-
-def _by_setting(shaped: DataFrame, names: tuple[str, str], settings: list[tuple], *more) -> DataFrame:
-    """Messages and dummies by trace and setting, with the setting's two values in place of its number."""
-    d = shaped.groupBy("trace", "setting").agg(F.count_if(~F.col("is_dummy")).alias("messages"), F.count_if(F.col("is_dummy")).alias("dummies"), *more)
-    values = [F.get(F.array(*(F.lit(s[i]) for s in settings)), F.col("setting")).alias(n) for i, n in enumerate(names)]
-    return d.select("*", *values).drop("setting")
-
-
-def constant_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages and dummies of each trace at each of RATES."""
-    d = H.constant_rates(_answers(spark, sf_dir), "trace_id", "t", "response_size", "query_no", settings=RATES)
-    return _by_setting(d, ("rate", "p"), RATES, (F.max(F.when(~F.col("is_dummy"), F.col("time"))) - F.min("time")).alias("time_us"))
-
-
-def adaptive_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages and dummies of each trace at each of PADDINGS by the corpus's own histogram of pauses."""
-    rows = materialize(_answers(spark, sf_dir))
-    from pyspark.sql import Window
-
-    gap = F.col("t") - F.lag("t").over(Window.partitionBy("trace_id").orderBy("t", "query_no"))
-    # two buckets a binary digit of 64-bit numbers: 128 rows at most
-    hist = rows.select(gap.alias("gap")).where("gap > 0").groupBy(T.root2_bucket(F.col("gap")).alias("bucket")).agg(F.count("*").alias("n")).collect()
-    pauses = sorted((math.ceil(2 ** (r.bucket / 2)), r.n) for r in hist)
-    d = H.adaptive_paddings(rows, "trace_id", "t", "response_size", "query_no", pauses=pauses, settings=PADDINGS)
-    return _by_setting(d, ("p", "mu"), PADDINGS)
-
-
 def queue_pop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first order of each customer by priority, then key."""
     return Q.pop(table(spark, sf_dir, "orders"), ["o_custkey"], [F.col("o_orderpriority"), F.col("o_orderkey")], ["o_orderkey", "o_orderpriority"])
@@ -119,19 +74,10 @@ def stream_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("kind IN ('CLIENT', 'FORWARDER')").select("kind", "query_id", "response_id", F.col("took").alias("took_ns"))
 
 
-_LIST = (constant_rate_p0, constant_rate, adaptive_padding, queue_pop, queue_complete, queue_members, queue_next_counters, queue_sample, stream_windows, stream_throttled, stream_match)
+_LIST = (queue_pop, queue_complete, queue_members, queue_next_counters, queue_sample, stream_windows, stream_throttled, stream_match)
 QUERIES = {f.__name__: f for f in _LIST}
 
 ORACLES = {
-    "constant_rate_p0": f"""
-WITH RECURSIVE {_L}, q AS (SELECT trace_id AS trace, t, response_size::BIGINT AS size, row_number() OVER (PARTITION BY trace_id ORDER BY t, query_no) AS i FROM l WHERE trace_id IS NOT NULL AND t IS NOT NULL AND response_size IS NOT NULL
-), r AS (
-  SELECT trace, i, size, t AS sent, NULL::BIGINT AS dummy FROM q WHERE i = 1
-  UNION ALL
-  SELECT q.trace, q.i, q.size, greatest(q.t, r.sent + CASE WHEN q.t > r.sent + 20000 THEN 40000 ELSE 20000 END), CASE WHEN q.t > r.sent + 20000 THEN r.sent + 20000 END FROM r JOIN q ON q.trace = r.trace AND q.i = r.i + 1
-)
-SELECT trace, sent AS time, size, false AS is_dummy FROM r UNION ALL SELECT trace, dummy, 128, true FROM r WHERE dummy IS NOT NULL UNION ALL SELECT trace, max(sent) + 20000, 128, true FROM r GROUP BY trace
-""",
     "queue_pop": "SELECT o_custkey, arg_min(o_orderkey, (o_orderpriority, o_orderkey)) AS o_orderkey, min(o_orderpriority) AS o_orderpriority FROM orders GROUP BY 1",
     "queue_complete": "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) = max(l_linenumber)",
     "queue_members": "WITH g AS (SELECT l_orderkey, max(l_linenumber) AS size FROM lineitem GROUP BY 1), s AS (SELECT *, coalesce(sum(size) OVER (ORDER BY l_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM g) SELECT l_orderkey, m::INT AS member, (b + m)::BIGINT AS priority FROM (SELECT *, unnest(range(0, size)) AS m FROM s)",

@@ -8,11 +8,9 @@ from seqloom.functions import elements as E
 from seqloom.functions import names as N
 from seqloom.operators import graph as G
 from seqloom.operators import queue as Q
-from seqloom.operators import shaping as H
 from seqloom.operators import stats as S
 from seqloom.operators import timeline as T
 from seqloom.operators.sequences import build_sequences
-from seqloom.plans import shaping as P
 
 
 def one(spark, column):
@@ -76,56 +74,11 @@ def test_graph(spark):
     assert G.closure(df.limit(0)).collect() == []
     dag = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("a", "d")], "src string, dst string")
     assert {tuple(r) for r in G.reduction(dag, G.closure(dag)).collect()} == {("a", "b"), ("b", "c"), ("c", "d")}
-    m = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("s", "s")], "domain string, target string")
-    names = spark.createDataFrame([(n,) for n in "abcxsz"], "name string")
-    assert {r.name: (r.resolved, r.hops) for r in G.resolve_labels(names, m).collect()} == {"a": ("c", 2), "b": ("c", 1), "c": ("c", 0), "x": ("y", 1), "s": ("s", 0), "z": ("z", 0)}
     nodes = spark.createDataFrame([("a", "d"), ("b", "d"), ("c", "e"), ("p", "q"), ("r", "q")], "node string, domain string")
     e = spark.createDataFrame([("p", "a"), ("r", "b"), ("a", "c"), ("b", "c")], "src string, dst string")
     assert {r.node: r.merged for r in G.merge_equal(nodes, e).collect()} == {"a": "a", "b": "a", "c": "c", "p": "p", "r": "p"}
 
 
-def test_shaping(spark):
-    rows = [("t", 0, 5, 0), ("t", 100, 6, 1), ("t", 101, 7, 2), ("one", 3, 9, 3), (None, 1, 1, 4), ("t", None, 1, 5)]
-    df = spark.createDataFrame(rows, "k string, t bigint, s bigint, o bigint")
-    got = [(r.trace, r.time, r.size, r.is_dummy) for r in H.constant_rate(df, "k", "t", "s", "o", rate=10).orderBy("trace", "time").collect()]
-    assert got == [("one", 3, 9, False), ("one", 13, 128, True), ("t", 0, 5, False), ("t", 10, 128, True), ("t", 100, 6, False), ("t", 110, 7, False), ("t", 120, 128, True)]
-    again = [H.constant_rate(df, "k", "t", "s", "o", rate=10, p=0.7).orderBy("trace", "time").collect() for _ in range(2)]
-    assert again[0] == again[1] and all(b.time - a.time >= 10 for a, b in zip(again[0], again[0][1:]) if a.trace == b.trace)
-    padded = H.adaptive_padding(df, "k", "t", "s", "o", pauses=[(8, 40), (64, 20), (2048, 10)]).collect()
-    assert sorted((r.trace, r.time, r.size) for r in padded if not r.is_dummy) == [("one", 3, 9), ("t", 0, 5), ("t", 100, 6), ("t", 101, 7)]
-    assert H.constant_rate(df.limit(0), "k", "t", "s", "o", rate=10).collect() == []
-
-
-def test_pauses_of_whole_histogram(spark, monkeypatch):
-    rows = [(f"t{i}", t, 5, n) for i in range(30) for n, t in enumerate((0, 1500, 2100, 4100))]
-    df = spark.createDataFrame(rows, "trace_id string, t bigint, response_size bigint, query_no bigint")
-    monkeypatch.setattr(P, "_answers", lambda *_: df)
-    seen, real = {}, H.adaptive_paddings
-    monkeypatch.setattr(H, "adaptive_paddings", lambda *a, **k: seen.update(k) or real(*a, **k))
-    assert sum(r.messages for r in P.adaptive_padding(spark, "").collect()) % 120 == 0
-    # 1500 and 2000 lie between 1024 * sqrt(2) and 2048, 600 between 512 and 512 * sqrt(2)
-    assert seen["pauses"] == [(512, 30), (1449, 60)]
-    m = H.AdaptivePadding("t", seen["pauses"], 0.9, 2.0, 1)
-    drawn = []
-    for mode in ("burst", "gap") * 1500:
-        m.mode, m.since = mode, 0
-        m._draw()
-        drawn += [m.deadline] if m.deadline else []
-    assert {(512 <= d < 725) or (1449 <= d < 2048) for d in drawn} == {True} and max(drawn) > 2000 and {1449, 512, 724} & set(drawn)
-
-
-def test_sweeps(spark, monkeypatch):
-    rows = [(f"t{i}", t * (i + 1), 5, t) for i in range(6) for t in (0, 1500, 90_000, 400_000)]
-    df = spark.createDataFrame(rows, "trace_id string, t bigint, response_size bigint, query_no bigint")
-    monkeypatch.setattr(P, "_answers", lambda *_: df)
-    got = {(r.trace, r.rate, r.p): (r.messages, r.dummies) for r in P.constant_rate(spark, "").collect()}
-    assert {k[1:] for k in got} >= {(r * 1000, p) for r in (100, 50, 25, 12) for p in (0.4, 0.3, 0.2, 0.1)}
-    alone = {r.trace: (r.m, r.d) for r in H.constant_rate(df, "trace_id", "t", "response_size", "query_no", rate=25_000, p=0.3).groupBy("trace").agg(F.count_if(~F.col("is_dummy")).alias("m"), F.count_if("is_dummy").alias("d")).collect()}
-    assert len(alone) == 6 and {t: got[t, 25_000, 0.3] for t in alone} == alone
-    padded = P.adaptive_padding(spark, "").collect()
-    assert {(r.p, r.mu) for r in padded} >= {(p, 2.0) for p in (0.4, 0.3, 0.2, 0.1)} and len(padded) == 6 * len(P.PADDINGS) and {r.messages for r in padded} == {4}
-
-
 def test_queue_and_names(spark):
     g = spark.createDataFrame([(i, i % 4) for i in range(40)], "g int, size int")
     got = [tuple(r) for r in Q.expand(g, ["g"], "size").orderBy("priority").select("g", "member", "priority").collect()]
@@ -136,3 +89,24 @@ def test_queue_and_names(spark):
     assert one(spark, N.suffixes(F.lit("a.b.c"))) == ["a.b.c", "b.c", "c"] and one(spark, N.tld(F.lit("x.org"))) == "org."
     assert [one(spark, N.human_time(F.lit(v).cast("bigint"))) for v in (7, 7_000, 7_000_000, 7_000_000_000, 7_200_000_000_000)] == ["7ns", "7us", "7ms", "7s", "2h"]
     assert [one(spark, N.seconds_to_us(F.lit(v))) for v in ("1.5", "-1", "x")] == [1_500_000, None, None]
+
+
+def test_resolve_labels(spark):
+    links = {f"c{i:02d}": f"c{i + 1:02d}" for i in range(50)} | {"x": "y", "y": "x", "s": "s", "to s": "s"}  # a chain of 50, loops
+    links |= {f"t{i}": f"t{i + 1}" for i in range(12)} | {f"l{i}": f"l{(i + 1) % 7}" for i in range(7)} | {"t12": "l3", "u0": "u1", "u1": "l5"}  # tails into a loop
+    links |= {f"hub{i}": "c10" for i in range(40)}
+    m = spark.createDataFrame([*links.items(), (None, "x"), ("n", None)], "domain string, target string")
+    names = [*links, "c50", "n", "other"]
+
+    def follow(n):
+        path = [n]
+        while path[-1] in links and links[path[-1]] not in path:
+            path.append(links[path[-1]])
+        end = links.get(path[-1], path[-1])
+        return end, path.index(end)
+
+    df = spark.createDataFrame([(n, "clash") for n in [*names, *names[:5], None]], "name string, at string")
+    got = [(r.name, (r.resolved, r.hops)) for r in G.resolve_labels(df, m).collect()]
+    assert len(got) == len(names) and dict(got) == {n: follow(n) for n in names}
+    assert dict(got)["c00"] == ("c50", 50) and dict(got)["t0"] == ("l3", 13) and dict(got)["l4"] == ("l4", 0)
+    assert G.resolve_labels(df.limit(0), m).collect() == [] and G.resolve_labels(names=df.limit(3), mapping=m.limit(0)).count() == 3
