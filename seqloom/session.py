@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,3 +72,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(n.lower())
         out.append(n)
     return out
+
+
+def slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose lengths add up to at most `most`, one row at least."""
+    start = total = 0
+    for i, x in enumerate(lengths):
+        if i > start and total + x > most:
+            yield start, i
+            start, total = i, 0
+        total += x
+    if len(lengths) > start:
+        yield start, len(lengths)
