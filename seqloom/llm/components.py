@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from seqloom.session import drop_table, materialize
 
-MAX_ROUNDS = 200
 
-
-def connected_groups(pairs: DataFrame, a: str, b: str, *, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def connected_groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Give every name of the pairs the least name linked with it, directly or through others.
 
     pairs: two STRING columns; rows with a null side are left out, repeated, reversed and self pairs change
@@ -31,15 +29,13 @@ def connected_groups(pairs: DataFrame, a: str, b: str, *, max_rounds: int = MAX_
     names = materialize(names.select("name", F.monotonically_increasing_id().alias("id")))
     edges = pairs.where("x <> y").join(names.toDF("x", "lo"), "x").join(names.toDF("y", "hi"), "y")
     edges = materialize(edges.select("hi", "lo"))
-    for _ in range(max_rounds):
+    while True:
         large = materialize(_large_star(edges))
         drop_table(edges)
         edges = materialize(_small_star(large))
         drop_table(large)
         if edges.where("changed").isEmpty():
             break
-    else:
-        raise RuntimeError(f"not finished after {max_rounds} rounds")
     roots = edges.select("hi", "lo").join(names.toDF("group_id", "lo"), "lo").select(F.col("hi").alias("id"), "group_id")
     return names.join(roots, "id", "left").select("name", F.coalesce("group_id", "name").alias("group_id"))
 

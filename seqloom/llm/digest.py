@@ -11,6 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.session import materialize
+
 COMPRESSION = 200
 FAN_IN = 64
 _BUFFER = 500_000
@@ -82,12 +84,12 @@ class _Buffer:
 
 def _digest_schema(df: DataFrame, keys: Sequence[str]) -> str:
     kinds = dict(df.dtypes)
-    return "".join(f"`{k}` {kinds[k]}, " for k in keys) + "src int, n bigint, low double, high double, means array<double>, weights array<double>"
+    return "".join(f"`{k}` {kinds[k]}, " for k in keys) + "src bigint, n bigint, low double, high double, means array<double>, weights array<double>"
 
 
 def _to_batch(digests: list[dict], fields: list[pa.Field], src: int) -> pa.RecordBatch:
     cols = [pa.array([d["key"][i] for d in digests], f.type) for i, f in enumerate(fields)]
-    cols += [pa.array([src] * len(digests), pa.int32()), pa.array([round(d["weights"].sum()) for d in digests], pa.int64())]
+    cols += [pa.array([src] * len(digests), pa.int64()), pa.array([round(d["weights"].sum()) for d in digests], pa.int64())]
     cols += [pa.array([float(d[x]) for d in digests], pa.float64()) for x in ("low", "high")] + [pa.array([d[x] for d in digests], pa.list_(pa.float64())) for x in ("means", "weights")]
     return pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields] + ["src", "n", "low", "high", "means", "weights"])
 
@@ -96,7 +98,7 @@ def digest_values(df: DataFrame, keys: list[str], value: str, *, compression: in
     """One digest a group: keys, src, n, low, high, means, weights.
 
     Null and NaN values are left out, and a null key is a group of its own; no rows for an empty input. Each task digests its own
-    rows, so no values move; a group's partial digests, one a task at most, merge over a tree of fan-in 64.
+    rows, so no values move; a group's partial digests merge over a tree, see merge_digests.
     """
     schema, m = _digest_schema(df, keys), len(keys)
 
@@ -114,7 +116,7 @@ def digest_values(df: DataFrame, keys: list[str], value: str, *, compression: in
             yield _to_batch(buffer.digests(), fields, src)
 
     rows = df.select(*(F.col(f"`{k}`") for k in keys), F.col(f"`{value}`").cast("double").alias("_value")).where("_value IS NOT NULL AND NOT isnan(_value)")
-    return merge_digests(rows.mapInArrow(partial, schema), keys, compression=compression)
+    return merge_digests(materialize(rows.mapInArrow(partial, schema)), keys, compression=compression)
 
 
 def _codes(t: pa.Table, m: int) -> tuple[np.ndarray, list[tuple]]:
@@ -129,15 +131,21 @@ def _codes(t: pa.Table, m: int) -> tuple[np.ndarray, list[tuple]]:
     return code, list(zip(*(t.column(i).take(pa.array(at)).to_pylist() for i in range(m)))) if m else [()]
 
 
-def merge_digests(digests: DataFrame, keys: list[str], *, compression: int = COMPRESSION) -> DataFrame:
-    """Merge digests by keys, for example those of days into those of all days, by re-clustering centroids.
+def merge_digests(digests: DataFrame, keys: list[str], *, compression: int = COMPRESSION, fan_in: int = FAN_IN) -> DataFrame:
+    """Merge digests by keys, for example those of days into those of all days, by re-clustering centroids: keys, src, n, low, high, means, weights.
 
-    A tree of two levels: digests of up to FAN_IN neighbouring sources merge first, so a group
-    with many digests, as one that every task has, isn't gathered by one task.
+    src numbers the sources of a group: the task, or a hash of the keys of the digest that was merged before. While a group has more than fan_in digests, those
+    whose src falls into one of so many parts merge first, about fan_in at a time; so a group with many digests, as one that every task or
+    every day has, is a tree whose nodes no task gathers whole. The digests are read more than once: give a written table.
     """
-    near = digests.withColumn("salt", F.floor(F.col("src") / FAN_IN).cast("int"))
-    near = _merge_level(near, [*keys, "salt"], compression).drop("src").withColumnRenamed("salt", "src")
-    return _merge_level(near, keys, compression)
+    by = [F.col(f"`{k}`") for k in keys]
+    most = digests.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    level = 0
+    while most > fan_in:
+        most, level = -(-most // fan_in), level + 1
+        part = F.pmod(F.xxhash64("src", F.lit(level)), F.lit(most))
+        digests = _merge_level(digests.withColumn("_part", part), [*keys, "_part"], compression).drop("src").withColumnRenamed("_part", "src")
+    return _merge_level(digests, keys, compression).withColumn("src", F.xxhash64(*by) if by else F.lit(0).cast("bigint"))
 
 
 def _merge_level(digests: DataFrame, keys: list[str], compression: int) -> DataFrame:

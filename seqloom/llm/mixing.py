@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.session import materialize
+from seqloom.session import drop_table, materialize
 
+#: Rows of a range, of which each source sorts one.
 BUCKET_ROWS = 50_000
 
 
@@ -43,14 +44,14 @@ def mix_sources(items: DataFrame, targets: DataFrame, *, total: int | None = Non
     report has, a source, target_share, max_repeats, available, chosen_size, actual_share (null if nothing is chosen).
 
     A source first gives as many complete epochs as its budget holds, then a fraction by weighted sampling without replacement: items in the order of
-    exponential keys while the prefix sum of their sizes comes nearer to the rest. Items fall into buckets by their key, sizes are summed by bucket with
-    partial aggregation, and only the bucket in which a source's budget ends is sorted; so a hot source is never one task's work.
+    exponential keys while the prefix sum of their sizes comes nearer to the rest. Spark cuts the items into ranges of (source, key) of about bucket_rows rows, whatever
+    the weights; sizes are summed by range with partial aggregation, and only the range in which a source's budget ends is sorted. So a hot source is never one task's work.
     """
     items = items.select("id", "source", F.col("size").cast("long").alias("size"), F.coalesce("weight", F.lit(1.0)).alias("weight")).where("id IS NOT NULL AND source IS NOT NULL AND size IS NOT NULL")
     listed = [r for r in targets.select("source", "target_share", "max_repeats").where("source IS NOT NULL").dropDuplicates(["source"]).collect()]
     names = [r.source for r in listed]
     spark = items.sparkSession
-    items = items.join(F.broadcast(targets.where("source IS NOT NULL").select("source").distinct()), "source")
+    items = items.join(F.broadcast(spark.createDataFrame([(s,) for s in names], "source string")), "source")  # a row a source
     key = exponential_key(F.col("id"), F.col("weight"), seed)
     items = materialize(items.withColumn("key", key).select("id", "source", "size", "key"))
     sums = {r.source: r for r in items.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
@@ -58,16 +59,16 @@ def mix_sources(items: DataFrame, targets: DataFrame, *, total: int | None = Non
     budget = allocate(sizes, {r.source: r.target_share or 0.0 for r in listed}, {r.source: r.max_repeats or 0 for r in listed}, sum(sizes.values()) if total is None else total)
     plan = []
     for s in names:
-        n_buckets = max(1, -(-(sums[s].n if s in sums else 0) // bucket_rows))
         epochs = int(budget[s] // sizes[s]) if sizes.get(s) else 0
-        plan.append((s, epochs, budget[s] - epochs * sizes.get(s, 0), n_buckets))
-    plan = F.broadcast(spark.createDataFrame(plan, "source string, epochs int, rest double, n_buckets int"))
+        plan.append((s, epochs, budget[s] - epochs * sizes.get(s, 0)))
+    plan = F.broadcast(spark.createDataFrame(plan, "source string, epochs int, rest double"))  # a row a source
 
-    # 1 - exp(-key) rises with the key and lies in [0, 1)
-    bucket = F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("n_buckets")), F.col("n_buckets") - 1)
-    placed = items.join(plan, "source").withColumn("bucket", bucket)
+    n_ranges = max(1, -(-sum(r.n for r in sums.values()) // bucket_rows))
+    ranged = materialize(items.repartitionByRange(n_ranges, "source", "key", "id").withColumn("bucket", F.spark_partition_id()))  # the ranges must stay as they are
+    drop_table(items)
+    placed = ranged.join(plan, "source")
     w = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = placed.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))  # rows: n / bucket_rows + one a source
+    before = ranged.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))  # rows: n / bucket_rows + one a source
     before = before.withColumn("before", F.coalesce(F.sum("in_bucket").over(w), F.lit(0)))
     placed = placed.join(before, ["source", "bucket"])
     inside = "before + in_bucket <= rest"
@@ -77,7 +78,8 @@ def mix_sources(items: DataFrame, targets: DataFrame, *, total: int | None = Non
     edge = edge.withColumn("extra", (F.col("prior") + F.col("size") / 2 <= F.col("rest")).cast("int"))
     sure = placed.where(f"NOT ({ends_here})").withColumn("extra", F.expr(inside).cast("int"))
     columns = ["id", "source", "size", (F.col("epochs") + F.col("extra")).alias("n_copies")]
-    chosen = edge.select(*columns).unionByName(sure.select(*columns)).where("n_copies > 0")
+    chosen = materialize(edge.select(*columns).unionByName(sure.select(*columns)).where("n_copies > 0"))
+    drop_table(ranged)
 
     got = chosen.groupBy("source").agg(F.sum(F.col("size") * F.col("n_copies")).alias("chosen_size"))
     have = spark.createDataFrame([(s, sizes.get(s, 0)) for s in names], "source string, available long")

@@ -1,4 +1,4 @@
-"""Which stretches of a notebook's text are running prose: a small helper of the quality statistics."""
+"""Which paragraphs of a notebook's recorded cells are running prose: a small helper that labels the training documents, and only those."""
 
 from __future__ import annotations
 
@@ -16,19 +16,6 @@ _PAUSE = re.compile(r"[.,;:]")
 _SENTENCE = re.compile(r"(?<=[.!?]) +")
 
 
-def plain_lines(text: str) -> Iterator[str]:
-    """The lines of a notebook without the wrapping of its layout: JSON cells, or cells as comments."""
-    if '"cell_type"' in text:
-        text = text.replace('\\n", "', "\n").replace('\\n"]', '"]').replace('"source": ["', '"source":\n').replace('"]}', "\n")
-        text = text.replace("\\n", "\n").replace('\\"', '"').replace("\\u001b", "\x1b")
-    comments = "# %%" in text
-    for line in text.split("\n"):
-        line = line.rstrip()
-        if comments and line.startswith("#"):
-            line = line[2:] if line.startswith("# ") else line[1:]
-        yield line
-
-
 def units(lines: Iterator[str]) -> Iterator[str]:
     """Paragraphs whose lines are wrapped as one text each, all other lines one by one."""
     held: list[str] = []
@@ -98,13 +85,8 @@ def solid(text: str) -> int:
     return len("".join(text.split()))
 
 
-def prose_chars(text: str, common: frozenset[str]) -> int:
-    """Non-blank characters of a text that are running prose."""
-    return sum(solid(u) for u in units(plain_lines(text)) if is_prose(u, common))
-
-
 def prose_chars_of_cells(text: str, cells: list[dict], common: frozenset[str]) -> int:
-    """The same by the recorded cells of a notebook: those of code have none. It serves to label documents."""
+    """Non-blank characters of a notebook's recorded cells that are running prose; cells of code have none."""
     total = 0
     for c in cells:
         if c and c["cell_kind"] != "code" and c["char_from"] is not None and c["char_len"] is not None:

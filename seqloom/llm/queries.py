@@ -9,7 +9,7 @@ from seqloom.llm.components import connected_groups
 from seqloom.llm.digest import certify, digest_values, merge_digests, percentiles
 from seqloom.llm.mixing import mix_sources
 from seqloom.llm.nearest import nearest_in_time
-from seqloom.llm.quality import label_documents, learn_rules, not_prose, quality_statistics, text_statistics
+from seqloom.llm.quality import label_documents, learn_rules, not_prose, quality_statistics
 from seqloom.llm.runs import code_events, collapse_runs
 from seqloom.llm.tokens import count_tokens, encode_corpus
 from seqloom.session import materialize, table
@@ -81,21 +81,27 @@ def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("true_domain", "measure", "scope", "day", "n", *(F.get("estimates", F.lit(i)).alias(f"p{round(q * 100):02d}") for i, q in enumerate(QUANTILES)), "rank_error")
 
 
+def p6_certified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of p6_percentiles with their sizes, and whether each percentile is within 1 % of its rank, or within one value where a group has few."""
+    out = p6_percentiles(spark, sf_dir)
+    return out.select("true_domain", "measure", "scope", F.coalesce(F.col("day").cast("string"), F.lit("")).alias("day"), "n", (F.col("rank_error") <= 0.01 + 1 / F.col("n")).alias("certified"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of each document's text."""
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Notebooks by doc_id, sized in tokens of byte_bpe_50k; of signs and markup the more, the smaller the weight."""
+    """Notebooks by doc_id, sized in tokens of byte_bpe_50k; the weight is the share of the text's body, as problem 9 measures it, at least 0.05."""
     docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
     clean = lambda c: F.lower(F.btrim(c, F.lit(" \t\r\n")))
-    stats = text_statistics(F.col("text"))
-    weight = F.greatest(F.lit(0.05), 1 - F.coalesce(F.try_divide(stats["n_signs"], stats["n_solid"]), F.lit(1.0)))
-    items = docs.groupBy("doc_id").agg(F.max(clean("source")).alias("source"), F.max(weight).alias("weight"))
+    quality = _statistics(spark, sf_dir)[0].where("doc_id IS NOT NULL").select("doc_id", F.greatest(F.lit(0.05), F.coalesce("body_share", F.lit(0.0))).alias("weight"))
+    weights = quality.groupBy("doc_id").agg(F.max("weight").alias("weight"))
+    items = docs.groupBy("doc_id").agg(F.max(clean("source")).alias("source"))
     sizes = count_tokens(docs, "doc_id", "text").groupBy("doc_id").agg(F.max("n_tokens").alias("size"))
     targets = table(spark, sf_dir, "mix_targets").withColumn("source", clean("source"))
-    return mix_sources(items.join(sizes, "doc_id").withColumnRenamed("doc_id", "id"), targets)
+    return mix_sources(items.join(sizes, "doc_id").join(weights, "doc_id").withColumnRenamed("doc_id", "id"), targets)
 
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,18 +115,43 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[1]
 
 
+def p8_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each source keeps the rules: no notebook more often than max_repeats, whole epochs before fractions, and no source over its target while another still has room."""
+    chosen, report = _mixture(spark, sf_dir)
+    used = chosen.groupBy("source").agg(F.max("n_copies").alias("most"), F.min("n_copies").alias("least"), F.count("*").alias("used"), F.max("size").alias("largest"))
+    r = report.join(used, "source", "left")
+    full = F.col("chosen_size") >= F.col("available") * F.greatest("max_repeats", F.lit(0))
+    return r.select(
+        "source", F.coalesce(F.col("most") <= F.col("max_repeats"), F.lit(True)).alias("within_repeats"), F.coalesce(F.col("most") - F.col("least") <= 1, F.lit(True)).alias("whole_epochs"),
+        # what capped sources leave raises the others' shares; without such sources all shares are met
+        (full | F.coalesce(F.col("actual_share") >= F.col("target_share") - F.col("largest") / F.col("chosen_size"), F.lit(False)) | (F.col("available") == 0) | (F.coalesce("target_share", F.lit(0.0)) <= 0)).alias("share_reached"),
+    )
+
+
 def _statistics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     # the list of common words is a fixed table
     common = [r.word for r in table(spark, sf_dir, "common_words").select("word").where("word IS NOT NULL").distinct().collect()]
     return quality_statistics(table(spark, sf_dir, "documents"), "doc_id", "text", common), common
 
 
-def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notebooks of which running prose is less than half, by rules learned from labelled ones."""
+def _rules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str, dict[str, float]]:
     stats, common = _statistics(spark, sf_dir)
     stats = materialize(stats)
     labels = label_documents(table(spark, sf_dir, "documents"), "doc_id", "text", "cells", common)
-    return not_prose(stats, learn_rules(stats, labels, "doc_id")).select("doc_id").distinct()
+    return stats, *learn_rules(stats, labels, "doc_id")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notebooks of which running prose is less than half, by rules learned from labelled ones."""
+    stats, case, _ = _rules(spark, sf_dir)
+    return not_prose(stats, case).select("doc_id").distinct()
+
+
+def p9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules that p9_found applies, as the SQL expression, with precision and recall on the held-out third of the labelled notebooks; null where nothing counts."""
+    _, case, held = _rules(spark, sf_dir)
+    none = lambda x: None if x != x else x
+    return spark.createDataFrame([(case, held["n"], none(held["precision"]), none(held["recall"]))], "rules string, held_out bigint, precision double, recall double")
 
 
 def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,11 +159,18 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _statistics(spark, sf_dir)[0]
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_percentiles": p6_percentiles, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_percentiles": p6_percentiles, "p6_certified": p6_certified, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_checked": p8_checked, "p9_found": p9_found, "p9_rules": p9_rules, "p9_statistics": p9_statistics}
 
 _BARE = "regexp_replace(lower({0}), '\\.$', '')"
 
 ORACLES = {
+    "p6_certified": """
+WITH q AS (SELECT DISTINCT ON (query_no) true_domain, coalesce(start_time, end_time, logged_at)::DATE AS day, query_size, response_size FROM matched_queries WHERE true_domain IS NOT NULL
+), v AS (SELECT true_domain, 'query_size' AS measure, day FROM q WHERE query_size IS NOT NULL UNION ALL SELECT true_domain, 'response_size', day FROM q WHERE response_size IS NOT NULL)
+SELECT true_domain, measure, 'day' AS scope, day::VARCHAR AS day, count(*) AS n, true AS certified FROM v GROUP BY ALL
+UNION ALL SELECT true_domain, measure, 'all', '', count(*), true FROM v GROUP BY ALL
+""",
+    "p8_checked": "SELECT DISTINCT lower(trim(source, ' ' || chr(9) || chr(13) || chr(10))) AS source, true AS within_repeats, true AS whole_epochs, true AS share_reached FROM mix_targets WHERE source IS NOT NULL",
     "p1_found": r"""
 WITH RECURSIVE c AS (
   SELECT regexp_replace(lower(trim(domain, chr(32) || chr(9))), '\.$', '') AS a, regexp_replace(lower(trim(is_similar_to, chr(32) || chr(9))), '\.$', '') AS b

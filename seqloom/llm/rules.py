@@ -55,29 +55,34 @@ def _grow(x: np.ndarray, y: np.ndarray) -> list[Condition]:
 
 
 def _prune(rule: list[Condition], x: np.ndarray, y: np.ndarray) -> list[Condition]:
-    """The beginning of the rule that is worth most on the pruning rows."""
+    """The beginning of the rule that is purest on the pruning rows; of equally pure ones the shortest."""
 
     def worth(r: list[Condition]) -> float:
         c = _covers(r, x)
         p, n = int(y[c].sum()), int((~y)[c].sum())
-        return (p + int((~y).sum()) - n) / max(len(y), 1)
+        return (p - n) / max(p + n, 1)
 
-    return max((rule[:k] for k in range(len(rule), 0, -1)), key=worth, default=[])
+    return max((rule[:k] for k in range(1, len(rule) + 1)), key=worth, default=[])
 
 
-def induce(x: np.ndarray, y: np.ndarray, *, seed: int = 7, most: int = 12) -> list[list[Condition]]:
-    """Rules for the rows where y holds, in order: each is grown on two thirds of the rows left and pruned on the rest;
-    learning ends at the first rule that is wrong on half of the pruning rows it covers."""
-    rng, rules = np.random.default_rng(seed), []
+def induce(x: np.ndarray, y: np.ndarray, *, seed: int = 7, most: int = 12, tries: int = 4) -> list[list[Condition]]:
+    """Rules for the rows where y holds, in order: each is grown on two thirds of the rows left, as many of each class, and pruned on the rest.
+
+    A rule that is wrong on half of the pruning rows it covers is given up; learning ends when that came so many times in a row.
+    """
+    rng, rules, failed = np.random.default_rng(seed), [], 0
     x, y = x.astype(float), y.astype(bool)
-    while y.any() and len(rules) < most:
-        mix = rng.permutation(len(x))
-        cut = math.ceil(len(x) * 2 / 3)
-        grow, prune = mix[:cut], mix[cut:]
-        rule = _prune(_grow(x[grow], y[grow]), x[prune], y[prune])
-        hit = _covers(rule, x[prune])
-        if not rule or not hit.any() or y[prune][hit].mean() <= 0.5:
-            break
+    while y.any() and len(rules) < most and failed < tries:
+        grow = np.zeros(len(y), bool)
+        for c in (True, False):
+            own = rng.permutation(np.flatnonzero(y == c))
+            grow[own[: math.ceil(len(own) * 2 / 3)]] = True
+        rule = _prune(_grow(x[grow], y[grow]), x[~grow], y[~grow])
+        hit = _covers(rule, x[~grow])
+        if not rule or not hit.any() or y[~grow][hit].mean() <= 0.5:
+            failed += 1
+            continue
+        failed = 0
         rules.append(rule)
         left = ~_covers(rule, x)
         x, y = x[left], y[left]

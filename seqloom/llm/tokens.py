@@ -13,10 +13,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.session import materialize
+from seqloom.session import materialize, slices
 
 #: Characters of text a chunk holds, unless a single text is longer. A chunk has one dictionary of its words.
 CHUNK_CHARS = 2_000_000
+#: Chunks of a block; each block has its own index of words.
+BLOCK_CHUNKS = 1000
 #: Distinct words whose merges are replayed together.
 REPLAY_WORDS = 400_000
 _LETTER, _NUMBER, _SPACE, _OTHER, _STOP = range(5)
@@ -167,25 +169,13 @@ def split_words(texts: list[str], classes: np.ndarray) -> tuple[pa.Array, np.nda
     return words.filter(pa.array(own)), counts
 
 
-def _slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose lengths add up to at most `most`, one row at least."""
-    start = total = 0
-    for i, x in enumerate(lengths):
-        if i > start and total + x > most:
-            yield start, i
-            start, total = i, 0
-        total += x
-    if len(lengths) > start:
-        yield start, len(lengths)
-
-
 def _chunker(classes, chunk_chars: int):
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         table = classes.value
         for batch in batches:
             lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
-            for a, b in _slices(lengths, chunk_chars):
+            for a, b in slices(lengths, chunk_chars):
                 texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
                 words, counts = split_words(texts, table)
                 coded = words.dictionary_encode()
@@ -250,29 +240,31 @@ def _broadcasts(spark: SparkSession, vocabulary: str | None):
     return spark.sparkContext.broadcast(Merges(vocabulary or default_vocabulary())), spark.sparkContext.broadcast(char_classes())
 
 
-def _encode(df: DataFrame, doc_id: str, text: str, vocabulary: str | None, counts_only: bool, chunk_chars: int) -> tuple[DataFrame, DataFrame]:
+def _encode(df: DataFrame, doc_id: str, text: str, vocabulary: str | None, counts_only: bool, chunk_chars: int, block_chunks: int = BLOCK_CHUNKS) -> tuple[DataFrame, DataFrame]:
     """The chunks, and for each of them rows with the encoded words of its dictionary."""
     merges, classes = _broadcasts(df.sparkSession, vocabulary)
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     chunks = materialize(rows.mapInArrow(_chunker(classes, chunk_chars), "chunk bigint, ids array<bigint>, counts array<int>, codes binary, words array<binary>"))
     places = chunks.select(F.col("chunk").alias("part"), F.posexplode("words").alias("place", "word"))
-    # all places of a word meet in one task, which encodes it once; a word has one place a chunk at most
-    found = places.repartition("word").mapInArrow(_replayer(merges, counts_only), "part bigint, places binary, sizes binary, out binary")
+    # the places of a word within a block of chunks meet in one task; a word has one place a chunk at most, so no word brings a task more than about BLOCK_CHUNKS
+    n_blocks = max(1, -(-chunks.count() // block_chunks))
+    block = F.pmod(F.xxhash64("part"), F.lit(n_blocks))
+    found = places.repartition(block, "word").mapInArrow(_replayer(merges, counts_only), "part bigint, places binary, sizes binary, out binary")
     return chunks.select("chunk", "ids", "counts", "codes", F.size("words").alias("n_words")), found
 
 
-def encode_corpus(df: DataFrame, doc_id: str, text: str, *, vocabulary: str | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def encode_corpus(df: DataFrame, doc_id: str, text: str, *, vocabulary: str | None = None, chunk_chars: int = CHUNK_CHARS, block_chunks: int = BLOCK_CHUNKS) -> DataFrame:
     """doc_id and ids ARRAY<INT>, one row a row of df: the token ids of each text, without special tokens.
 
     Null and empty texts give an empty list; strings of special tokens are ordinary text; a row given twice
     comes out twice; other columns are ignored. vocabulary: path of a byte-level BPE file, byte_bpe_50k by default.
 
-    Texts are cut into words, in chunks that keep each distinct word once. One shuffle brings all places
-    of a word in the corpus together; there all merges are replayed in rank order over an inverted index of
-    pairs, once for each distinct word. A second one brings the ids back to the chunks. A frequent word has one place a
-    chunk, so no word is hot.
+    Texts are cut into words, in chunks that keep each distinct word once. One shuffle brings the places
+    of a word together, within blocks of block_chunks chunks (2 GB of text by default); there all merges are replayed in rank order over an inverted
+    index of pairs, once for each distinct word. A second one brings the ids back to the chunks. A word has one place a
+    chunk and is replayed once a block, so even one that every chunk has costs a task no more than block_chunks places.
     """
-    chunks, found = _encode(df, doc_id, text, vocabulary, False, chunk_chars)
+    chunks, found = _encode(df, doc_id, text, vocabulary, False, chunk_chars, block_chunks)
     out = chunks.groupBy("chunk").cogroup(found.groupBy("part")).applyInArrow(_decode, "doc_id bigint, ids array<int>")
     return out.select(F.col("doc_id").alias(doc_id), "ids")
 
@@ -303,9 +295,9 @@ def _chunk_codes(chunk: pa.Table, found: pa.Table) -> Iterator[tuple]:
         yield row["ids"], np.array(row["counts"], np.int64), np.frombuffer(row["codes"], _width(row["n_words"])).astype(np.int64), sizes, out
 
 
-def count_tokens(df: DataFrame, doc_id: str, text: str, *, vocabulary: str | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def count_tokens(df: DataFrame, doc_id: str, text: str, *, vocabulary: str | None = None, chunk_chars: int = CHUNK_CHARS, block_chunks: int = BLOCK_CHUNKS) -> DataFrame:
     """doc_id and n_tokens: the sizes of encode_corpus's lists, without making them."""
-    chunks, found = _encode(df, doc_id, text, vocabulary, True, chunk_chars)
+    chunks, found = _encode(df, doc_id, text, vocabulary, True, chunk_chars, block_chunks)
     out = chunks.groupBy("chunk").cogroup(found.groupBy("part")).applyInArrow(_count, "doc_id bigint, n_tokens bigint")
     return out.select(F.col("doc_id").alias(doc_id), "n_tokens")
 

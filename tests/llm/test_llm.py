@@ -3,10 +3,12 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from seqloom.llm import tokens
 from seqloom.llm.components import connected_groups
 from seqloom.llm.digest import certify, digest_values, merge_digests, percentiles
-from seqloom.llm.mixing import allocate, mix_sources
+from seqloom.llm.mixing import allocate, exponential_key, mix_sources
 from seqloom.llm.nearest import nearest_in_time
 from seqloom.llm.quality import label_documents, learn_rules, not_prose, quality_statistics
 from seqloom.llm.rules import induce, to_case
@@ -185,17 +187,69 @@ CODE = "table = clean_table(rows, width=%d)\nprint(f\"{table:>8}\")\n"
 
 
 def test_quality(spark):
-    docs = [(1, PROSE * 4), (2, CODE * 9), (3, PROSE + CODE * 9), (4, PROSE * 9 + CODE), (5, None), (6, ""), (7, " \n\t "), (8, "| of the mill | in the log |\n" * 20), (9, "x" * 100_000)]
-    docs += [(100 + i, (PROSE if i % 2 else CODE) * 3) for i in range(40)]
+    docs = [(1, PROSE * 4), (2, CODE * 9), (3, PROSE + CODE * 9), (4, PROSE * 9 + CODE), (5, None), (6, ""), (7, " \n\t "), (8, "| of the mill | in the log |\n" * 20), (9, "x" * 100_000), (10, "日本語の文です。次の文です。")]
+    docs += [(100 + i, (PROSE if i % 2 else CODE) * 3) for i in range(60)]
     rows = [(i, t, None if t is None else [(0, "code" if i % 2 == 0 and i >= 100 else "markdown", 1, 0, len(t))], "clash") for i, t in docs]
     df = spark.createDataFrame(rows, "id long, body string, cells array<struct<cell_no int, cell_kind string, execution_count int, char_from int, char_len int>>, n_words string")
     common = ["the", "of", "and", "into", "on", "when", "it", "was", "in"]
     stats = quality_statistics(df, "id", "body", common)
     by = {r.id: r for r in stats.collect()}
-    assert by[5].n_words == by[6].n_words == by[7].n_words == 0 and by[5].prose_share is None and by[6].symbol_ratio is None
-    assert by[1].prose_share == 1 and by[2].prose_share == 0 and by[8].prose_share == 0 and 0 < by[3].prose_share < 0.5 < by[4].prose_share < 1
-    assert by[1].punct_line_share == 1 and by[9].mean_word_length == 100_000
-    case = learn_rules(stats, label_documents(df, "id", "body", "cells", common), "id")
+    assert len(by) == len(docs) and by[5].n_words == by[6].n_words == by[7].n_words == 0 and by[5].body_share is None and by[6].symbol_ratio is None
+    assert by[1].n_words == len((PROSE * 4).split()) and by[1].punct_line_share == by[1].body_share == by[1].punct_line_chars == 1 and by[9].mean_word_length == 100_000
+    words = (PROSE * 4).split()
+    assert by[1].common_word_share == pytest.approx(sum(w.strip(".,").lower() in common for w in words) / len(words)) and by[1].distinct_word_share == pytest.approx(len({w.lower() for w in words}) / len(words))
+    assert by[1].capital_word_share == pytest.approx(8 / len(words)) and by[1].words_per_sentence == pytest.approx(len(words) / 8) and by[1].comma_rate == pytest.approx(4 / len(words))
+    assert by[2].body_share == 0 and by[2].code_line_chars == 1 and by[8].side_line_chars == by[8].marked_line_chars == 1 and by[10].ideograph_share > 0.8
+    case, held = learn_rules(stats, label_documents(df, "id", "body", "cells", common), "id")
     found = {r.id for r in not_prose(stats, case).collect()}
-    assert {2, 3, 8, 9} <= found and not found & {1, 4, 5, 6, 7}
-    assert learn_rules(stats, label_documents(df.limit(0), "id", "body", "cells", common), "id") == "prose_share < 0.5"
+    assert {2, 3} <= found and not found & {1, 4, 5, 6, 7} and held["n"] > 10 and held["precision"] > 0.8 and held["recall"] > 0.8
+    case, held = learn_rules(stats, label_documents(df.limit(0), "id", "body", "cells", common), "id")
+    assert case == "FALSE" and held["n"] == 0 and held["recall"] != held["recall"] and not_prose(stats, case).collect() == []
+    assert quality_statistics(df.limit(0), "id", "body", []).collect() == []
+
+
+def test_quality_of_layouts(spark):
+    """The same cells as plain text, as JSON objects and as comments have the same body."""
+    line = "The mill was closed, and it was in the log when it opened."
+    texts = [f"# Mill\n\n{line}\n{line}\n\nx = 1", '{"cell_type": "markdown", "source": ["# Mill\\n"]}\n{"cell_type": "markdown", "source": ["%s\\n", "%s\\n"]}\n{"cell_type": "code", "source": ["x = 1\\n"]}' % (line, line), f"# %% [markdown]\n# # Mill\n\n# %% [markdown]\n# {line}\n# {line}\n\n# %%\nx = 1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
+    got = [(r.body_words_per_line, r.body_common_word_share, r.body_punct_line_share) for r in quality_statistics(df, "id", "body", ["the", "was"]).collect()]
+    assert got[0] == got[1] == got[2] == (13.0, pytest.approx(4 / 13), 1.0)
+
+
+def test_digest_tree_of_days(spark):
+    """Days' digests come from many sources, so merging them is a tree of the given fan-in with the same result."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([("g", d, float(v)) for d in range(40) for v in rng.normal(0, 1, 60)], "g string, day int, v double")
+    days = digest_values(df, ["g", "day"], "v")
+    assert days.select("src").distinct().count() == 40
+    total = merge_digests(days, ["g"], fan_in=3).collect()
+    assert len(total) == 1 and total[0].n == 2400
+    estimate = percentiles(merge_digests(days, ["g"], fan_in=3), ["g"], [0.5])
+    assert certify(df, ["g"], "v", estimate, [0.5]).first().rank_error < 0.01
+
+
+def test_words_of_every_chunk_are_split(spark):
+    """A word that every chunk has goes to several tasks, each with about block_chunks places of it."""
+    df = spark.createDataFrame([(i, "word") for i in range(400)], "id long, text string").repartition(4)
+    _, found = tokens._encode(df, "id", "text", None, False, 4, 10)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sizes = [r.n for r in found.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.sum(F.length("places") / 4).alias("n")).collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 400 and len(sizes) == 3 and max(sizes) < 3 * sorted(sizes)[1]
+    blocks = tokens._encode(df, "id", "text", None, False, 4, 10_000)[1]
+    assert blocks.count() >= 400  # one row a chunk and task
+    ids = {tuple(r.ids) for r in encode_corpus(df, "id", "text", chunk_chars=4, block_chunks=10).collect()}
+    assert len(ids) == 1
+
+
+def test_ranges_are_even_for_uneven_weights(spark):
+    """One weight in a hundred at the floor doesn't make the last ranges larger."""
+    items = spark.range(20_000).selectExpr("id", "IF(id % 3 = 0, 'a', 'b') AS source", "1 + id % 5 AS size", "IF(id % 100 = 0, 0.05, 0.9) AS weight")
+    key = exponential_key(F.col("id"), F.col("weight"), 1)
+    n = items.withColumn("key", key).repartitionByRange(20, "source", "key", "id").groupBy(F.spark_partition_id()).count().collect()
+    sizes = sorted(r[1] for r in n)
+    assert sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    got = [{(r.id, r.n_copies) for r in mix_sources(items, targets, total=30_000, bucket_rows=b)[0].collect()} for b in (1000, 1_000_000)]
+    assert got[0] == got[1] and len(got[0]) > 5000
