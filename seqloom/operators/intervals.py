@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Entities with more distinct starts than this are cut into time shards of about this many starts.
-SHARD_ROWS = 200_000
-#: Up to this many hot entities their shard edges are broadcast (40 bytes and 8 a shard each); more are joined by shuffle.
-BROADCAST_ENTITIES = 20_000
+from seqloom.session import materialize
 
 
-def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, *, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, *, shards: int | None = None) -> DataFrame:
     """Merge the intervals [start, end] of each entity into continuous periods and list the gaps between them.
 
     df: start and end are BIGINT columns, keys name the entity. Intervals that overlap or touch make one
@@ -19,78 +16,47 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, *, sh
     intervals. Repeated rows change nothing; other columns are ignored, whatever they are called.
     Returns keys, kind ('period' or 'gap'), from_us, to_us; an empty input gives no rows.
 
-    Two levels: intervals of an entity with many starts are clipped into time shards whose edges are
-    quantiles of its starts; each shard is merged on its own, and only the pieces at the ends of each shard are
-    stitched, of which there are at most two a shard. So no task holds more than about shard_rows starts
-    of an entity, plus its list of shards.
+    Two levels, for entities of every size: the rows are cut into ranges of (entity, start), the time shards. An interval is clipped where its shard ends; what
+    hangs over is one number a shard, how far any of its intervals reaches, and a prefix maximum of these over the shards of an entity tells each shard up to where
+    it is covered from before. Each shard is merged on its own. Then the pieces that touch its borders are stitched, at most two
+    a shard. An entity has no more rows in one task than a range holds; only entities that cross a border, at most one for each, have anything to stitch.
+    shards: the number of ranges, by default that of shuffle partitions.
     """
     k = [f"k{i}" for i in range(len(keys))]
     rows = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keys, k)), F.col(f"`{start}`").alias("a"), F.col(f"`{end}`").alias("b"))
     rows = rows.where(" AND ".join(f"{n} IS NOT NULL" for n in k) + " AND a IS NOT NULL AND b >= a")
     # equal starts collapse before anything else moves: repeated rows and hot instants can't pile up
     rows = rows.groupBy(*k, "a").agg(F.max("b").alias("b"))
-    pieces = _clip(rows, k, shard_rows)
-
-    # level 1: merge within (entity, shard)
-    w = Window.partitionBy(*k, "shard").orderBy("a", "b")
-    reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    runs = pieces.withColumn("new", F.when(reach >= F.col("a"), 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
-    merged = runs.groupBy(*k, "shard", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    w = Window.partitionBy(*k, "shard").orderBy("run")
-    merged = merged.select("*", F.lead("a").over(w).alias("next_a"), (F.col("run") == 1).alias("is_first"))
-    local_gaps = F.when(F.col("next_a").isNotNull(), _case("gap", F.col("b"), F.col("next_a")))
-    # a middle piece can't touch another shard's pieces, so it is final
-    middle = F.when(~F.col("is_first") & F.col("next_a").isNotNull(), _case("period", F.col("a"), F.col("b")))
-    edge = F.when(F.col("is_first") | F.col("next_a").isNull(), _case("edge", F.col("a"), F.col("b")))
-    cases = merged.select(*k, "shard", F.explode(F.array_compact(F.array(local_gaps, middle, edge))).alias("c")).select(*k, "shard", "c.*")
-
-    # level 2: stitch the first and last pieces of the shards of each entity
-    w = Window.partitionBy(*k, "is_edge").orderBy("shard", "from_us")
-    edges = cases.withColumn("is_edge", F.col("kind") == "edge").where("is_edge")
-    prior = F.lag(F.struct("shard", "to_us")).over(w)
-    # within one shard two edge pieces are apart and their gap is known; across shards they may touch
-    edges = edges.withColumn("prior", prior).withColumn("new", F.when(F.col("prior").isNull() | (F.col("prior.to_us") < F.col("from_us")), 1).otherwise(0))
-    edges = edges.withColumn("run", F.sum("new").over(w))
-    gap = F.when((F.col("new") == 1) & (F.col("prior.shard") != F.col("shard")), F.struct(F.col("prior.to_us").alias("from_us"), F.col("from_us").alias("to_us")))
-    stitched = edges.groupBy(*k, "run").agg(F.min("from_us").alias("p_from"), F.max("to_us").alias("p_to"), F.max(gap).alias("gap"))
-    both = F.array_compact(F.array(_case("period", F.col("p_from"), F.col("p_to")), F.when(F.col("gap").isNotNull(), _case("gap", F.col("gap.from_us"), F.col("gap.to_us")))))
-    stitched = stitched.select(*k, F.explode(both).alias("c")).select(*k, "c.*")
-    out = cases.where("kind <> 'edge'").select(*k, "kind", "from_us", "to_us").unionByName(stitched)
-    return out.select(*(F.col(n).alias(c) for c, n in zip(keys, k)), "kind", "from_us", "to_us")
+    ranged = rows.repartitionByRange(shards, *k, "a") if shards else rows.repartitionByRange(*k, "a")
+    cut = materialize(ranged.withColumn("shard", F.spark_partition_id()))  # the ranges must stay as they are
+
+    # how far the intervals of the shards before reach: entities with more than one shard, so at most two rows a shard
+    entity = Window.partitionBy(*k)
+    reach = cut.groupBy(*k, "shard").agg(F.max("b").alias("top")).withColumn("n", F.count("*").over(entity)).where("n > 1")
+    reach = reach.select(*k, "shard", F.max("top").over(entity.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)).alias("covered"), F.lit(True).alias("crosses"))
+
+    # level 1: merge within (entity, shard); run 0 is what goes on from the shards before
+    w = Window.partitionBy(*k, "shard").orderBy("a")
+    upto = F.greatest("covered", F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    runs = cut.join(F.broadcast(reach), [*k, "shard"], "left").withColumn("new", F.when(upto >= F.col("a"), 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
+    merged = runs.groupBy(*k, "shard", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.first("crosses").alias("crosses"))
+    merged = merged.withColumn("next_a", F.lead("a").over(Window.partitionBy(*k, "shard").orderBy("run")))
+    final = (F.col("run") > 0) & (F.col("crosses").isNull() | F.col("next_a").isNotNull())
+    gap = F.when((F.col("run") > 0) & F.col("next_a").isNotNull(), _case("gap", F.col("b"), F.col("next_a")))
+    inside = merged.select(*k, F.explode(F.array_compact(F.array(F.when(final, _case("period", F.col("a"), F.col("b"))), gap))).alias("c"))
+
+    # level 2: of each shard the end of run 0, where its first period begins, and its last period, which later shards may go on with
+    own = F.col("run") > 0
+    edges = merged.where("crosses").groupBy(*k, "shard").agg(F.max(F.when(~own, F.col("b"))).alias("tail"), F.min(F.when(own, F.col("a"))).alias("first_a"), F.max(F.when(own, F.col("a"))).alias("last_a"), F.max(F.when(own, F.col("b"))).alias("last_b"))
+    edges = edges.withColumn("at", F.count("first_a").over(entity.orderBy("shard")))
+    before = F.struct((F.col("at") - F.col("first_a").isNotNull().cast("int")).alias("at"), F.lit(None).cast("bigint").alias("a"), F.col("tail").alias("b"), F.col("first_a").alias("then"))
+    last = F.struct("at", F.col("last_a").alias("a"), F.col("last_b").alias("b"), F.lit(None).cast("bigint").alias("then"))
+    open_ = edges.select(*k, F.explode(F.array(before, last)).alias("e")).select(*k, "e.*").where("at > 0")
+    open_ = open_.groupBy(*k, "at").agg(F.max("a").alias("a"), F.max("b").alias("b"), F.max("then").alias("then"))
+    stitched = F.array_compact(F.array(_case("period", F.col("a"), F.col("b")), F.when(F.col("then").isNotNull(), _case("gap", F.col("b"), F.col("then")))))
+    out = inside.unionByName(open_.select(*k, F.explode(stitched).alias("c")))
+    return out.select(*(F.col(n).alias(c) for c, n in zip(keys, k)), "c.*")
 
 
 def _case(kind: str, a: Column, b: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), a.alias("from_us"), b.alias("to_us"))
-
-
-def _clip(rows: DataFrame, k: list[str], shard_rows: int) -> DataFrame:
-    """Rows k, shard, a, b: the intervals, those of hot entities clipped at the edges of their shards.
-
-    Shards that an interval covers from edge to edge are not made a piece for each interval: the covered stretches of all
-    intervals are merged as numbers of shards first, so an entity has one such piece a shard at most.
-    """
-    hot = rows.groupBy(*k).agg(F.count("*").alias("n"), F.max("b").alias("b")).where(F.col("n") > shard_rows)
-    n_hot = hot.count()
-    if not n_hot:
-        return rows.withColumn("shard", F.lit(0))
-    # deterministic quantiles of the starts; the number of shards follows the number of starts
-    parts = rows.join(F.broadcast(hot.select(*k, "n")) if n_hot <= BROADCAST_ENTITIES else hot.select(*k, "n"), k)
-    share = F.floor(F.pmod(F.xxhash64("a"), F.lit(1 << 20)) * F.col("n") / (1 << 20))  # of the starts, about 100 a shard
-    sample = parts.where(share % F.greatest(F.lit(1), F.lit(shard_rows // 100)) == 0)
-    shards = F.ceil(F.col("n") / shard_rows).cast("int")
-    edges = sample.groupBy(*k, "n").agg(F.sort_array(F.collect_list("a")).alias("s"))
-    pick = F.transform(F.sequence(F.lit(1), shards - 1), lambda i: F.get("s", (i * F.size("s") / shards).cast("int")))
-    edges = edges.select(*k, F.array_distinct(F.when(shards > 1, F.array_compact(pick)).otherwise(F.array().cast("array<bigint>"))).alias("edges"))
-    rows = rows.join(F.broadcast(edges) if n_hot <= BROADCAST_ENTITIES else edges, k, "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<bigint>")))
-    place = lambda x: F.size(F.filter("edges", lambda e: e <= x))
-    rows = rows.withColumns({"sa": place(F.col("a")), "sb": place(F.col("b"))})
-    first = F.struct(F.col("sa").alias("shard"), F.col("a"), F.when(F.col("sa") == F.col("sb"), F.col("b")).otherwise(F.get("edges", F.col("sa"))).alias("b"))
-    last = F.when(F.col("sb") > F.col("sa"), F.struct(F.col("sb").alias("shard"), F.get("edges", F.col("sb") - 1).alias("a"), F.col("b")))
-    ends = rows.select(*k, F.explode(F.array_compact(F.array(first, last))).alias("p")).select(*k, "p.*")
-    # stretches of whole shards, one row a first shard, then without their overlaps
-    over = rows.where("sb > sa + 1").groupBy(*k, (F.col("sa") + 1).alias("f"), "edges").agg(F.max(F.col("sb") - 1).alias("t"))
-    w = Window.partitionBy(*k).orderBy("f").rowsBetween(Window.unboundedPreceding, -1)
-    over = over.withColumn("f", F.greatest("f", F.coalesce(F.max("t").over(w) + 1, F.col("f")))).where("f <= t")
-    over = over.select(*k, "edges", F.explode(F.sequence("f", "t")).alias("shard"))
-    over = over.select(*k, "shard", F.get("edges", F.col("shard") - 1).alias("a"), F.get("edges", F.col("shard")).alias("b"))
-    return ends.unionByName(over)
