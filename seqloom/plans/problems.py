@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.operators.intervals import periods_and_gaps
-from seqloom.operators.shred import pivot_group, to_triples
+from seqloom.operators.shred import pivot_group, struct_triples, to_triples
 from seqloom.session import table
 
 
@@ -17,30 +17,32 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods_and_gaps(rows, ["trace_id", "source"], "start_us", "end_us")
 
 
-_OPTION_FIELDS = {"name": "name", "count": "count", "distance_min": "distance_min", "distance_max": "distance_max", "distance_min_norm": "distance_min_norm", "distance_max_norm": "distance_max_norm"}
 _RECORD_FIELDS = {"id": "seq_path", "k": "k", "label": "label", "reason": "reason"}
 _SHAPES = {"": [], "results[]": ["rec_pos"]}  # where a Misclassification may stand in a line
+_AT = [f"{p}." if p else "" for p in _SHAPES]
+_OPTIONS = {f"{p}class_result.options[]": [*o, "opt_pos"] for p, o in zip(_AT, _SHAPES.values())}
 
 
-def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triples of both tables, each record_id once: the struct column as its JSON text, the lines as they are."""
-    rows = table(spark, sf_dir, "misclassifications")
-    rows = rows.select("record_id", F.to_json(F.struct(F.col("seq_path").alias("id"), "k", "label", "reason", "class_result"), {"ignoreNullFields": "false"}).alias("text"))
-    lines = table(spark, sf_dir, "misclass_lines").select("record_id", F.col("raw_line").alias("text"))
-    at = [f"{p}." if p else "" for p in _SHAPES]
-    return to_triples(
-        rows.unionByName(lines).dropDuplicates(),
+def _triples(spark: SparkSession, sf_dir: str, paths: list[str]) -> DataFrame:
+    """Triples of both tables, those of the given paths: the typed columns by Spark's functions, the lines read as text. Repeated rows are left to the pivot."""
+    rows = table(spark, sf_dir, "misclassifications").select("record_id", F.col("seq_path").alias("id"), "k", "label", "reason", "class_result")
+    typed = struct_triples(rows, "record_id", ["id", "k", "label", "reason", "class_result"], paths=paths)
+    lines = table(spark, sf_dir, "misclass_lines").where("raw_line IS NOT NULL")
+    read = to_triples(
+        lines,
         "record_id",
-        "text",
-        embedded=[x for p in at for x in (f"{p}class_result", f"{p}class_result.options")] + ["results", "results[]"],
-        singles=[f"{p}class_result.options" for p in at],
+        "raw_line",
+        embedded=[x for p in _AT for x in (f"{p}class_result", f"{p}class_result.options")] + ["results", "results[]"],
+        singles=[f"{p}class_result.options" for p in _AT],
+        paths=paths,
     )
+    return typed.unionByName(read)
 
 
-def _options(triples: DataFrame) -> DataFrame:
-    """The LabelOption objects of all shapes, with rec_pos and opt_pos."""
-    tables = [pivot_group(triples, (f"{p}." if p else "") + "class_result.options[]", _OPTION_FIELDS, ordinals=[*o, "opt_pos"]) for p, o in _SHAPES.items()]
-    return tables[0].withColumn("rec_pos", F.lit(0)).unionByName(tables[1])
+def _options(spark: SparkSession, sf_dir: str, fields: list[str]) -> DataFrame:
+    """The LabelOption objects of all shapes, with rec_pos and opt_pos and some of their fields."""
+    triples = _triples(spark, sf_dir, [*_OPTIONS, *(f"{p}.{f}" for p in _OPTIONS for f in fields)])
+    return pivot_group(triples, _OPTIONS, {f: f for f in fields})
 
 
 def _digits(value: Column) -> Column:
@@ -51,18 +53,17 @@ def _digits(value: Column) -> Column:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each LabelOption object of both tables with its place in its parents."""
-    out = _options(_triples(spark, sf_dir))
+    out = _options(spark, sf_dir, ["name", "distance_min"])
     name = F.coalesce("name", F.lit(""))
     return out.select(F.col("rec_key").alias("record_id"), "rec_pos", "opt_pos", name.alias("opt_name"), _digits(F.col("distance_min")).alias("distance_min")).distinct()
 
 
 def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parents: one row a Misclassification object, (record_id, rec_pos) being its key."""
-    triples = _triples(spark, sf_dir)
-    tables = [pivot_group(triples, p, _RECORD_FIELDS | {"class_result": "class_result", "results": "results"}, ordinals=o) for p, o in _SHAPES.items()]
+    fields = _RECORD_FIELDS | {"class_result": "class_result", "results": "results"}
+    triples = _triples(spark, sf_dir, [*_SHAPES, *(f"{p}{f}" for p in _AT for f in fields)])
     # an object that only holds results is no Misclassification
-    root = tables[0].where("results_kind IS NULL OR results_kind <> 'array'").withColumn("rec_pos", F.lit(0))
-    out = root.unionByName(tables[1]).where("seq_path IS NOT NULL")
+    out = pivot_group(triples, _SHAPES, fields).where("seq_path IS NOT NULL AND NOT (ancestor = '' AND coalesce(results_kind, '') = 'array')")
     return out.select(F.col("rec_key").alias("record_id"), "rec_pos", "seq_path", F.expr("try_cast(trim(k) AS INT)").alias("k"), "label", "reason", (F.coalesce("class_result_kind", F.lit("null")) == "object").alias("has_result")).distinct()
 
 
