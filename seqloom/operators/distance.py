@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.elements import GAP_INSERT, GAP_SUBSTITUTE, SIZE_INSERT, SIZE_SUBSTITUTE_DIVIDER, SWAP
+from seqloom.operators.order import group_numbers, running_sums
 
 #: What a pair of sequences of very different lengths gets instead of a distance; it stays a candidate.
 FAR = (1 << 63) - 1
@@ -133,22 +134,23 @@ def seq_distance(a: Column, b: Column, *, prefilter: bool = False) -> Column:
 def _block_pairs(queries: DataFrame, rows: DataFrame, blocks: int | None) -> DataFrame:
     """Each pair of a block of queries and a block of rows: q ARRAY<STRUCT<id, c>>, r ARRAY<STRUCT<id, label, c>>."""
     codes = signed(F.col("elems"))
-    q = queries.where("elems IS NOT NULL").select(F.col("query_id").alias("id"), codes.alias("c"))
-    r = rows.where("elems IS NOT NULL").select(F.col("row_id").alias("id"), "label", codes.alias("c"))
+    fold = lambda d: F.col("fold") if "fold" in d.columns else F.lit(None).cast("bigint")
+    q = queries.where("elems IS NOT NULL").select(F.col("query_id").alias("id"), codes.alias("c"), fold(queries).alias("f"))
+    r = rows.where("elems IS NOT NULL").select(F.col("row_id").alias("id"), "label", codes.alias("c"), fold(rows).alias("f"))
     nq, nr = (max(1, -(-d.count() // BLOCK)) if blocks is None else blocks for d in (q, r))
-    qb = q.groupBy(F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int").alias("qb")).agg(F.collect_list(F.struct("id", "c")).alias("q"))
-    rb = r.groupBy(F.pmod(F.xxhash64("id"), F.lit(nr)).cast("int").alias("rb")).agg(F.collect_list(F.struct("id", "label", "c")).alias("r"))
+    qb = q.groupBy(F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int").alias("qb")).agg(F.collect_list(F.struct("id", "c", "f")).alias("q"))
+    rb = r.groupBy(F.pmod(F.xxhash64("id"), F.lit(nr)).cast("int").alias("rb")).agg(F.collect_list(F.struct("id", "label", "c", "f")).alias("r"))
     # each block of rows goes to every block of queries, by the block's number
     rb = rb.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    # pairs of blocks are few but costly: a fixed number of tasks keeps them from being put together
-    return rb.join(qb, "qb").repartition(min(nq * nr, 10_000), "qb", "rb").select("q", "r")
+    # pairs of blocks are few but costly: a number of tasks that follows theirs keeps them from being put together
+    return rb.join(qb, "qb").repartition(max(min(nq * nr, 2000), nq * nr // 8), "qb", "rb").select("q", "r")
 
 
 def neighbours(queries: DataFrame, rows: DataFrame, k: int, *, threshold: float | None = None, blocks: int | None = None) -> DataFrame:
     """For each query sequence its k nearest rows: query_id, rank, row_id, label, distance, norm.
 
-    queries: query_id, elems; rows: row_id, label, elems; a query doesn't meet the row of its own id. Order: distance, norm,
-    label, row_id. threshold: pairs with a greater norm are left out before ranking. The norm is the distance by the longer length, 0 for 0, 999 for a pair
+    queries: query_id, elems; rows: row_id, label, elems; a query doesn't meet the row of its own id, nor, where both tables have a column fold, rows of its own
+    fold. Order: distance, norm, label, row_id. threshold: pairs with a greater norm are left out before ranking. The norm is the distance by the longer length, 0 for 0, 999 for a pair
     of very different lengths.
 
     Both sides are packed into blocks of at most BLOCK sequences; each pair of blocks is one row of an equi-join,
@@ -173,7 +175,7 @@ def neighbours(queries: DataFrame, rows: DataFrame, k: int, *, threshold: float
                     d = library.distances(a)[which]
                     longest = np.maximum(len(a), lr)
                     norm = np.where(d == 0, 0.0, np.where(d == FAR, 999.0, d / np.maximum(longest, 1)))
-                    good = [i for i in order if rs[i]["id"] != x["id"] and (threshold is None or norm[i] <= threshold)]
+                    good = [i for i in order if rs[i]["id"] != x["id"] and (x["f"] is None or rs[i]["f"] != x["f"]) and (threshold is None or norm[i] <= threshold)]
                     good.sort(key=lambda i: (d[i], norm[i]))  # noqa: B023
                     out += [(x["id"], rs[i]["id"], rs[i]["label"], int(d[i]), float(norm[i])) for i in good[:k]]
                 cols = list(zip(*out)) or [()] * 5
@@ -214,8 +216,8 @@ def quality(options: DataFrame, truth: DataFrame, ks: Sequence[int]) -> DataFram
 
 
 def assign_folds(df: DataFrame, label: str, order: str, folds: int = 10) -> DataFrame:
-    """df with fold, the position of the row within its label modulo folds."""
-    return df.withColumn("fold", (F.row_number().over(Window.partitionBy(label).orderBy(order)) - 1) % folds)
+    """df with fold, the position of the row within its label modulo folds; a label may have any number of rows, see group_numbers."""
+    return group_numbers(df, [label], [F.col(order)], "fold").withColumn("fold", F.col("fold") % folds)
 
 
 def _trace_batch(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -340,7 +342,6 @@ def group_distances(queries: DataFrame, rows: DataFrame, *, blocks: int | None =
 
     d = _block_pairs(queries, rows, blocks).mapInArrow(count, "query_id string, label string, d bigint, c bigint")
     d = d.groupBy("query_id", "label", "d").agg(F.sum("c").alias("c"))
-    w = Window.partitionBy("query_id", "label")
-    d = d.withColumn("upto", F.sum("c").over(w.orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("n", F.sum("c").over(w))
+    d = running_sums(d, ["query_id", "label"], ["d"], "c", "upto", "n")
     middle = F.when(F.expr("n div 2 < upto AND n div 2 >= upto - c"), F.col("d"))
     return d.groupBy("query_id", "label").agg(F.sum("c").alias("n"), F.expr("sum(d * c) div sum(c)").alias("mean"), F.max(middle).alias("median"))

@@ -48,6 +48,24 @@ def with_next(df: DataFrame, by: list[str], order: list[Column], columns: dict[s
     return d.select(*df.columns, *(F.when(same, found[c]).alias(n) for c, n in columns.items()))
 
 
+def running_sums(df: DataFrame, by: list[str], order: list[str], value: str, upto: str = "upto", total: str = "total") -> DataFrame:
+    """df with upto, the sum of value over the row and those before it in its group, and total, its group's sum; null keys make a group, null values add nothing.
+
+    A group may be longer than a range: what it has in the ranges before is added by one row for each range that goes on with a group.
+    """
+    part, base, whole = fresh(df.withColumns({upto: F.lit(0), total: F.lit(0)}), "_part", "_base", "_whole")
+    cut = materialize(df.repartitionByRange(*by, *order).withColumn(part, F.spark_partition_id()))  # the ranges must stay as they are
+    group = Window.partitionBy(*by)
+    ends = cut.groupBy(part, *by).agg(F.sum(value).alias("_s")).withColumn("_n", F.count("*").over(group)).where("_n > 1")  # at most two rows a range
+    before = group.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col(part).alias("_p"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias(base), F.sum("_s").over(group).alias(whole))
+    local = Window.partitionBy(part, *by)
+    d = cut.withColumn(upto, F.coalesce(F.sum(value).over(local.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))).withColumn(total, F.coalesce(F.sum(value).over(local), F.lit(0)))
+    same = [d[part] == ends["_p"], *(d[c].eqNullSafe(ends[f"_k{i}"]) for i, c in enumerate(by))]
+    d = d.join(F.broadcast(ends), same, "left")
+    return d.select(*df.columns, (F.col(upto) + F.coalesce(base, F.lit(0))).alias(upto), F.coalesce(whole, total).alias(total))
+
+
 def zip_rows(left: DataFrame, right: DataFrame, order_left: list[Column], order_right: list[Column]) -> DataFrame:
     """The rows of both tables side by side by their position; rows beyond the shorter table are left out. Column names must differ."""
     a, b = numbered(left, order_left, "_at"), numbered(right, order_right, "_at")
@@ -77,25 +95,39 @@ def shard_intervals(index: DataFrame, needles: DataFrame) -> DataFrame:
     """For each needle the shards of a sorted index that may hold it or what begins with it: key, first_shard, last_shard.
 
     index: key (unique), shard BIGINT; needles: key, non-empty. The first shard is that of the greatest key strictly before the needle with its last
-    character lowered by one, 0 if there is none; the last that of the least key strictly after the needle with it raised by one, the greatest shard if there is none.
+    character lowered by one code point, 0 if there is none; the last that of the least key strictly after the needle with it raised by one, the greatest shard if there is
+    none. Any character may be the last: at U+0001 and at the surrogates the step goes to the next code point there is, U+10FFFF is raised by a longer key.
+
+    One range partition of the index with both bounds of each needle answers both.
     """
     n = needles.where("length(key) > 0").select("key").distinct()
-    moved = lambda by: F.concat(F.expr("left(key, length(key) - 1)"), F.char(F.ascii(F.expr("right(key, 1)")) + by))
-    n = n.select("key", moved(-1).alias("low"), moved(1).alias("high"))
-    index = index.select("key", F.col("shard").alias("value"))
-    low = nearest_keys(index, n.select(F.col("low").alias("key"))).toDF("low", "first_shard")
-    high = nearest_keys(index, n.select(F.col("high").alias("key")), forward=True).toDF("high", "last_shard")
-    most = index.agg(F.max("value").alias("most"))
-    d = n.join(low, "low").join(high, "high").withColumn("one", F.lit(1)).join(F.broadcast(most.withColumn("one", F.lit(1))), "one")  # one row
-    return d.select("key", F.coalesce("first_shard", F.lit(0).cast("bigint")).alias("first_shard"), F.coalesce("last_shard", "most").alias("last_shard"))
+    head, last = F.expr("left(key, length(key) - 1)"), F.conv(F.hex(F.encode(F.expr("right(key, 1)"), "UTF-32")), 16, 10).cast("bigint")
+    sign = lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")
+    lower = F.when(last == 0xE000, F.lit(0xD7FF).cast("bigint")).otherwise(last - 1)
+    upper = F.when(last == 0xD7FF, F.lit(0xE000).cast("bigint")).otherwise(last + 1)
+    low = F.when(last > 1, F.concat(head, sign(lower))).otherwise(head)
+    high = F.when(last < 0x10FFFF, F.concat(head, sign(upper))).otherwise(F.concat("key", F.lit("\U0010ffff")))
+    ends = F.explode(F.array(*(F.struct(at.alias("at"), F.lit(up).alias("up")) for at, up in ((low, False), (high, True)))))
+    rows = n.select("key", ends.alias("e")).select(F.col("e.at").alias("at"), F.col("e.up").alias("up"), F.col("key").alias("needle"))
+    rows = index.where("key IS NOT NULL").select(F.col("key").alias("at"), "shard").unionByName(rows, allowMissingColumns=True)
+    cut = materialize(rows.repartitionByRange("at").withColumn("_part", F.spark_partition_id()))
+    # the last key of the ranges before and the first one of those after, a row a range
+    edges = cut.groupBy("_part").agg(F.max_by("shard", F.when(F.col("shard").isNotNull(), F.col("at"))).alias("l"), F.min_by("shard", F.when(F.col("shard").isNotNull(), F.col("at"))).alias("f"))
+    over = lambda o: Window.orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select("_part", F.last("l", ignorenulls=True).over(over(F.asc("_part"))).alias("before"), F.last("f", ignorenulls=True).over(over(F.desc("_part"))).alias("after"))
+    # a bound comes first among equal keys in the direction of its scan, so it meets none of its own key
+    scan = lambda o: F.last("shard", ignorenulls=True).over(Window.partitionBy("_part").orderBy(o, F.col("shard").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = cut.withColumn("down", scan(F.asc("at"))).withColumn("next", scan(F.desc("at"))).where("needle IS NOT NULL").join(F.broadcast(edges), "_part")
+    least, most = F.lit(0).cast("bigint"), index.agg(F.max("shard").alias("most")).withColumn("one", F.lit(1))  # one row
+    d = found.groupBy(F.col("needle").alias("key")).agg(F.max(F.when(~F.col("up"), F.coalesce("down", "before"))).alias("f"), F.max(F.when(F.col("up"), F.coalesce("next", "after"))).alias("l"))
+    d = d.withColumn("one", F.lit(1)).join(F.broadcast(most), "one")
+    return d.select("key", F.coalesce("f", least).alias("first_shard"), F.coalesce("l", "most").alias("last_shard"))
 
 
 def trimmed_counts(df: DataFrame, by: list[str], value: str, *, least: int = 500, part: int = 50) -> DataFrame:
     """Counts of equal values of each group without its greatest n div part values, where it has more than `least`: by, value, n; nulls are no values."""
     c = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*by)
-    upto = F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    c = c.withColumn("_all", F.sum("n").over(w)).withColumn("_upto", upto)
+    c = running_sums(c, by, [value], "n", "_upto", "_all")
     kept = F.when(F.col("_all") > least, F.expr(f"_all - _all div {part}")).otherwise(F.col("_all"))
     return c.withColumn("n", F.least("n", kept - (F.col("_upto") - F.col("n")))).where("n > 0").select(*by, value, "n")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators.distance import QUALITIES
+from seqloom.operators.order import running_sums
 
 
 def options_quality(options: Column, truth: Column) -> Column:
@@ -93,11 +94,21 @@ def entropy(counts: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def spread(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """n, least, most, mean, population variance, median and the 5 and 95 % points (interpolated) of each group."""
+    """n, least, most, mean, population variance, sample deviation, skewness and excess kurtosis, and interpolated points at 5, 20, 50, 80 and 95 % of each group."""
     v = F.col(value)
-    m = df.groupBy(*by).agg(F.count(v).alias("n"), F.min(v).alias("least"), F.max(v).alias("most"), F.avg(v).alias("mean"), F.var_pop(v).alias("variance"), F.percentile(v, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("p"))
     r = lambda c: F.round(c, 6)
-    return m.select(*by, "n", "least", "most", r(F.col("mean")).alias("mean"), r(F.col("variance")).alias("variance"), *(r(F.get("p", F.lit(i))).alias(c) for i, c in enumerate(("p05", "median", "p95"))))
+    m = df.groupBy(*by).agg(F.count(v).alias("n"), F.min(v).alias("least"), F.max(v).alias("most"), r(F.avg(v)).alias("mean"), r(F.var_pop(v)).alias("variance"), r(F.stddev_samp(v)).alias("deviation"), r(F.skewness(v)).alias("skewness"), r(F.kurtosis(v)).alias("kurtosis"))
+    p = exact_percentiles(df, by, value, {"p05": 0.05, "p20": 0.2, "median": 0.5, "p80": 0.8, "p95": 0.95}).toDF(*(f"_k{i}" for i in range(len(by))), "p05", "p20", "median", "p80", "p95")
+    same = [m[c].eqNullSafe(p[f"_k{i}"]) for i, c in enumerate(by)]
+    return m.join(p, same, "left").select(*m.columns, *(r(F.col(c)).alias(c) for c in ("p05", "p20", "median", "p80", "p95")))
+
+
+def median_of_groups(df: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
+    """Over the groups within each key: their number, the median of their means, and their sample deviation."""
+    g = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(*by, group).agg(F.avg(value).alias("_mean"))
+    m = g.groupBy(*by).agg(F.count("*").alias("groups"), F.round(F.stddev_samp("_mean"), 6).alias("deviation"))
+    p = exact_percentiles(g, by, "_mean", {"median": 0.5})
+    return m.join(p, by).withColumn("median", F.round("median", 6))
 
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -109,12 +120,26 @@ def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 def rank_points(df: DataFrame, by: list[str], value: str, percents: Sequence[int]) -> DataFrame:
     """The value at each percent of the sorted values of a group (position n * percent // 100, the last at most), from counts of equal values."""
     c = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = c.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
+    c = running_sums(c, by, [value], "c", "upto", "n")
     c = c.withColumn("percent", F.explode(F.array(*map(F.lit, percents)))).withColumn("at", F.least(F.expr("n * percent div 100"), F.col("n") - 1))
     return c.where("at < upto AND at >= upto - c").select(*by, "percent", value)
 
 
+def exact_percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """by and one DOUBLE column for each name in shares: the value at that share of the sorted values of a group, interpolated between the two nearest; nulls are no values.
+
+    From counts of equal values and their running sums over ranges, so no group's values are gathered in one task.
+    """
+    c = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    c = running_sums(c, by, ["_v"], "_c", "_upto", "_n")
+    place = lambda q: F.lit(q) * (F.col("_n") - 1)
+    at = lambda p: F.max(F.when((p < F.col("_upto")) & (p >= F.col("_upto") - F.col("_c")), F.col("_v")))
+    both = [x for i, q in enumerate(shares.values()) for x in (at(F.floor(place(q))).alias(f"_a{i}"), at(F.ceil(place(q))).alias(f"_b{i}"))]
+    g = c.groupBy(*by).agg(F.max("_n").alias("_n"), *both)
+    between = lambda i, q: F.col(f"_a{i}") + (place(q) - F.floor(place(q))) * (F.col(f"_b{i}") - F.col(f"_a{i}"))
+    return g.select(*by, *(between(i, q).alias(n) for i, (n, q) in enumerate(shares.items())))
+
+
 # The readable names of qualities, and those that count as good.
 READABLE = {"Exact": "Unanimous", "PluralityThenMinDist": "Pseudo-Plurality"}
 GOOD_FROM = "PluralityThenMinDist"

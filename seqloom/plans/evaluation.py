@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from seqloom.operators import distance as D
 from seqloom.operators import stats as S
 from seqloom.operators.order import with_next
-from seqloom.plans.sequences import labelled
-from seqloom.session import table
+from seqloom.plans.sequences import LABELLED_SQL, labelled
+from seqloom.session import materialize, table
 
 KS = (1, 3, 7)
+#: The values of k that cross-validation tests.
+FOLD_KS = (1, 3, 5, 7)
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +105,16 @@ def knn_quality_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.quality(D.votes(found, KS), truth, KS)
 
 
+def cross_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten-fold cross-validation: the sequences searched for, each against all of the other folds; for each k how many were tested, and how many of their labels were found."""
+    s = materialize(D.assign_folds(labelled(spark, sf_dir).where("mapped_domain IS NOT NULL"), "mapped_domain", "seq_id"))
+    q = search_set(s, "seq_id")
+    found = D.neighbours(q.select(F.col("seq_id").alias("query_id"), "elems", "fold"), s.select(F.col("seq_id").alias("row_id"), F.col("mapped_domain").alias("label"), "elems", "fold"), max(FOLD_KS))
+    r = D.quality(D.votes(found, FOLD_KS), q.select(F.col("seq_id").alias("query_id"), F.col("mapped_domain").alias("truth")), FOLD_KS)
+    good = F.count_if(S.is_good(F.col("quality")))
+    return r.groupBy("k").agg(F.count("*").alias("tested"), good.alias("good"), F.round(100 * good / F.count("*"), 6).alias("percent"), F.count_if(F.col("quality") == 6).alias("exact"))
+
+
 def consecutive_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distance of each sequence to the next one of its true_domain, with its norm."""
     from seqloom.functions.elements import normalised
@@ -118,7 +130,7 @@ def folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("mapped_domain", "fold").agg(F.count("*").alias("n"), F.min("seq_id").alias("first_seq"))
 
 
-QUERIES = {f.__name__: f for f in (result_quality, stats_grouping_sets, stats_table, stats_at_least, wrong_vote_distances, threshold_table, confusion_matrix, latest_result, reason_counts, knn_neighbours, knn_quality, knn_quality_threshold, consecutive_distances, folds)}
+QUERIES = {f.__name__: f for f in (result_quality, stats_grouping_sets, stats_table, stats_at_least, wrong_vote_distances, threshold_table, confusion_matrix, latest_result, reason_counts, knn_neighbours, knn_quality, knn_quality_threshold, cross_validated, consecutive_distances, folds)}
 
 _Q = """
 m AS (SELECT DISTINCT ON (record_id) * FROM misclassifications
@@ -136,7 +148,51 @@ m AS (SELECT DISTINCT ON (record_id) * FROM misclassifications
 _NAMES = "(['" + "', '".join(D.QUALITIES) + "'])[quality + 1]"
 _V = ", v AS (SELECT record_id, k, mapped_domain, o.name AS name, o.count AS votes, try_cast(trim(o.distance_min_norm) AS DECIMAL(20, 6)) AS norm FROM (SELECT record_id, k, mapped_domain, unnest(opts) AS o FROM q))"
 
+# The distance as rows of its table: one step of the recursion fills the next row of all pairs, from the left to the right.
+_INS = "CASE WHEN {0} >= 0 THEN 12 ELSE -{0} - 1 END"
+_SUB = f"CASE WHEN x = b[j] THEN 0 WHEN x >= 0 AND b[j] >= 0 THEN 6 WHEN x < 0 AND b[j] < 0 THEN 3 * abs(x - b[j]) ELSE {_INS.format('x')} + cb[j] END"
+DISTANCES_SQL = f"""dp AS (
+  SELECT a, b, cb, 0 AS i, NULL::BIGINT[] AS older, list_reduce(list_prepend([0::BIGINT], list_transform(cb, lambda c: [c])), lambda s, c: list_append(s, s[-1] + c[1])) AS filled
+  FROM (SELECT DISTINCT a, b, list_transform(b, lambda y: ({_INS.format("y")})::BIGINT) AS cb FROM pairs WHERE a <> b)
+  UNION ALL
+  SELECT a, b, cb, i + 1, filled, list_reduce(list_prepend([filled[1] + {_INS.format("x")}], list_transform(range(1, len(b) + 1), lambda j: [least(filled[j + 1] + {_INS.format("x")}, filled[j] + {_SUB},
+    CASE WHEN i > 0 AND j > 1 AND a[i] = b[j] AND x = b[j - 1] THEN older[j - 1] + CASE WHEN x = b[j] THEN 0 ELSE 3 END END), cb[j]])), lambda s, c: list_append(s, least(c[1], s[-1] + c[2])))
+  FROM (SELECT *, a[i + 1] AS x FROM dp WHERE i < len(a))
+), dist AS (SELECT a, b, filled[-1] AS d FROM dp WHERE i = len(a) UNION ALL SELECT DISTINCT a, b, 0 FROM pairs WHERE a = b)"""
+#: s: the sequences as signed codes c.
+CODED_SQL = f"WITH RECURSIVE {LABELLED_SQL}, s AS (SELECT seq_id, true_domain, mapped_domain, list_transform(e, lambda x: CASE WHEN x.k = 'S' THEN x.v ELSE -x.v - 1 END::BIGINT) AS c FROM labelled)"
+#: The shorter one of a pair p, q gives the steps.
+PAIR_SQL = "CASE WHEN len({0}) <= len({1}) THEN {0} ELSE {1} END AS a, CASE WHEN len({0}) <= len({1}) THEN {1} ELSE {0} END AS b"
+SEARCHED_SQL = "('0x' || md5(seq_id)[1:8])::BIGINT % 50 = 0"
+
+
+def _near_sql(k: int, queries: str, rows: str, apart: str, threshold: float | None = None) -> str:
+    return f"""{CODED_SQL}, folded AS (SELECT *, (row_number() OVER (PARTITION BY mapped_domain ORDER BY seq_id) - 1) % 10 AS fold FROM s
+), q AS (SELECT * FROM {queries} WHERE {SEARCHED_SQL}
+), met AS (SELECT q.seq_id AS query_id, r.seq_id AS row_id, r.mapped_domain AS label, greatest(len(q.c), len(r.c)) AS longest, abs(len(q.c) - len(r.c)) > greatest(40, greatest(len(q.c), len(r.c)) // 5) AS far, {PAIR_SQL.format("q.c", "r.c")} FROM q JOIN {rows} r ON q.seq_id <> r.seq_id AND {apart}
+), pairs AS (SELECT a, b FROM met WHERE NOT far), {DISTANCES_SQL}
+, measured AS (SELECT query_id, row_id, label, coalesce(d, 9223372036854775807) AS distance, CASE WHEN d = 0 THEN 0 WHEN far THEN 999 ELSE d / longest END::DOUBLE AS norm FROM met LEFT JOIN dist USING (a, b)
+), found AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY distance, norm, label NULLS LAST, row_id))::INT AS rank, row_id, label, distance, norm FROM measured {"" if threshold is None else f"WHERE norm <= {threshold}"} QUALIFY rank <= {k})"""
+
+
+def _quality_sql(ks: tuple[int, ...]) -> str:
+    return f""", ks AS (SELECT unnest({list(ks)})::INT AS k
+), o AS (SELECT query_id, k, label, count(*) AS n, min(distance) AS dmin FROM found, ks WHERE rank <= k GROUP BY 1, 2, 3
+), j AS (SELECT q.seq_id AS query_id, ks.k, o.n, o.dmin, coalesce(o.label = q.mapped_domain, false) AS mine FROM q CROSS JOIN ks LEFT JOIN o ON o.query_id = q.seq_id AND o.k = ks.k
+), g AS (SELECT query_id, k, count(n) AS labels, coalesce(sum(n), 0) AS total, max(n) FILTER (mine) AS own, max(dmin) FILTER (mine) AS own_min, coalesce(max(n) FILTER (NOT mine), 0) AS best, max((n, -dmin)) FILTER (NOT mine AND n IS NOT NULL) AS rival FROM j GROUP BY 1, 2
+), quality AS (SELECT query_id, k, CASE WHEN labels = 0 THEN 0 WHEN own IS NULL THEN 1 WHEN labels = 1 THEN 6 WHEN own * 2 > total THEN 5 WHEN own > best THEN 4 WHEN rival[1] = own AND -rival[2] > own_min THEN 3 ELSE 2 END AS quality FROM g)"""
+
+
+_NAMED = f"SELECT query_id, k, quality, {_NAMES} AS quality_name FROM quality"
+_NEXT = f"""n AS (SELECT *, lead(c) OVER (PARTITION BY true_domain ORDER BY seq_id) AS o FROM s WHERE true_domain IS NOT NULL
+), p AS (SELECT *, {PAIR_SQL.format("c", "o")} FROM n WHERE o IS NOT NULL), pairs AS (SELECT a, b FROM p), {DISTANCES_SQL}"""
+
 ORACLES = {
+    "knn_neighbours": f"{_near_sql(max(KS), 's', 's', 'true')} SELECT * FROM found",
+    "knn_quality": f"{_near_sql(max(KS), 's', 's', 'true')}{_quality_sql(KS)} {_NAMED}",
+    "knn_quality_threshold": f"{_near_sql(max(KS), 's', 's', 'true', 0.5)}{_quality_sql(KS)} {_NAMED}",
+    "cross_validated": f"{_near_sql(max(FOLD_KS), '(SELECT * FROM folded WHERE mapped_domain IS NOT NULL)', '(SELECT * FROM folded WHERE mapped_domain IS NOT NULL)', 'q.fold <> r.fold')}{_quality_sql(FOLD_KS)} SELECT k, count(*) AS tested, count(*) FILTER (quality >= 3) AS good, round(100 * count(*) FILTER (quality >= 3) / count(*), 6) AS percent, count(*) FILTER (quality = 6) AS exact FROM quality GROUP BY 1",
+    "consecutive_distances": f"{CODED_SQL}, {_NEXT} SELECT seq_id, true_domain, d AS distance, CASE WHEN d = 0 THEN 0 ELSE round(d / len(b), 9) END::DOUBLE AS norm FROM p JOIN dist USING (a, b)",
     "result_quality": f"WITH {_Q} SELECT record_id, true_domain, quality, {_NAMES} AS quality_name FROM q",
     "stats_grouping_sets": f"""
 WITH {_Q}, g AS (SELECT k, quality, reason IS NOT NULL AS has_reason, true_domain, mapped_domain, count(*) AS n, grouping(true_domain) AS gt, grouping(mapped_domain) AS gm FROM q

@@ -22,8 +22,7 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = _mapping(spark, sf_dir).where(F.col("domain").rlike("^[a-z0-9.-]*[a-z0-9]$"))
-    return O.shard_intervals(_index(spark, sf_dir), names.select(N.surt(F.col("domain")).alias("key")))
+    return O.shard_intervals(_index(spark, sf_dir), _mapping(spark, sf_dir).select(N.surt(F.col("domain")).alias("key")))
 
 
 def name_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,8 +69,8 @@ def sizes_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five points of the values of each type of event that is no error."""
     e = table(spark, sf_dir, "events").where("event_type <> 'error'")
-    p = F.percentile("value", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))
-    return e.groupBy("event_type").agg(p.alias("p")).select("event_type", *(F.round(F.get("p", F.lit(i)), 6).alias(c) for i, c in enumerate(("least", "q1", "median", "q3", "most"))))
+    p = S.exact_percentiles(e, ["event_type"], "value", {"least": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "most": 1.0})
+    return p.select("event_type", *(F.round(c, 6).alias(c) for c in p.columns[1:]))
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,8 +132,8 @@ QUERIES = {f.__name__: f for f in _LIST}
 
 _I = rf"""{_M}, i0 AS (SELECT DISTINCT array_to_string(list_reverse(string_split(true_domain, '.')), ',') AS key FROM matched_queries WHERE true_domain IS NOT NULL
 ), i AS (SELECT key, (row_number() OVER (ORDER BY key) - 1) // 10 AS shard FROM i0
-), n AS (SELECT DISTINCT array_to_string(list_reverse(string_split(domain, '.')), ',') AS key FROM m WHERE regexp_full_match(domain, '[a-z0-9.-]*[a-z0-9]')
-), n2 AS (SELECT key, left(key, length(key) - 1) || chr(ascii(right(key, 1)) - 1) AS low, left(key, length(key) - 1) || chr(ascii(right(key, 1)) + 1) AS high FROM n
+), n AS (SELECT DISTINCT array_to_string(list_reverse(string_split(domain, '.')), ',') AS key FROM m
+), n2 AS (SELECT key, left(key, length(key) - 1) || chr(unicode(right(key, 1)) - 1) AS low, left(key, length(key) - 1) || chr(unicode(right(key, 1)) + 1) AS high FROM n
 ), v AS (SELECT n2.key, coalesce(a.shard, 0)::BIGINT AS first_shard, coalesce(b.shard, (SELECT max(shard) FROM i))::BIGINT AS last_shard FROM n2 ASOF LEFT JOIN i a ON n2.low > a.key ASOF LEFT JOIN i b ON n2.high < b.key)"""
 _MSG = "msg AS (" + " UNION ALL ".join(f"SELECT DISTINCT ON (msg_id) msg_id, message_type, query_address, response_address, query_port, {s}_time_ns AS t, {s}_qtype AS qtype, {s}_size AS size FROM {s}_messages" for s in ("query", "response")) + ")"
 _ONE = lambda kind, mark: f"count(*) FILTER (message_type = '{kind}' AND qtype = '{mark}')"

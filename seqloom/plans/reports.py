@@ -11,7 +11,7 @@ from seqloom.operators import distance as D
 from seqloom.operators import graph as G
 from seqloom.operators import order as O
 from seqloom.operators import stats as S
-from seqloom.plans.evaluation import _Q, consecutive_distances, results, search_set, stats_at_least
+from seqloom.plans.evaluation import _Q, CODED_SQL, DISTANCES_SQL, PAIR_SQL, SEARCHED_SQL, consecutive_distances, results, search_set, stats_at_least
 from seqloom.plans.evaluation import ORACLES as EVALUATION_SQL
 from seqloom.plans.names import ORACLES as NAMES_SQL
 from seqloom.plans.names import _lookup_graph
@@ -116,9 +116,14 @@ def run_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = labelled(spark, sf_dir).where("true_domain IS NOT NULL").withColumn("run", _run("seq_id")[0]).where("run IS NOT NULL")
     s = materialize(s.select("seq_id", "true_domain", "run", "elems"))
     q = search_set(s, "seq_id").toDF("query_id", "true_domain", "run0", "a")
-    d = s.join(q, "true_domain").where("run > run0").repartition("seq_id", "query_id")
-    d = d.select("true_domain", (F.col("run") - F.col("run0")).alias("step"), D.seq_distance(F.col("a"), F.col("elems")).alias("d"))
-    g = d.groupBy("true_domain", "step").agg(F.count("*").alias("n"), F.min("d").alias("least"), F.max("d").alias("most"), F.avg("d").alias("mean"), F.percentile("d", F.lit(0.5)).alias("median"))
+    # a domain may hold a tenth of the rows: its sequences are spread over parts, and each of those searched for goes to every part that its domain has
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    r = s.withColumn("part", F.pmod(F.xxhash64("seq_id"), F.lit(parts)))
+    q = r.select("true_domain", "part").distinct().join(q, "true_domain")
+    d = r.join(q, ["true_domain", "part"]).where("run > run0")
+    d = materialize(d.select("true_domain", (F.col("run") - F.col("run0")).alias("step"), D.seq_distance(F.col("a"), F.col("elems")).alias("d")))
+    g = d.groupBy("true_domain", "step").agg(F.count("*").alias("n"), F.min("d").alias("least"), F.max("d").alias("most"), F.avg("d").alias("mean"))
+    g = g.join(S.exact_percentiles(d, ["true_domain", "step"], "d", {"median": 0.5}), ["true_domain", "step"])
     return g.select("true_domain", "step", "n", "least", "most", F.round("mean", 6).alias("mean"), "median")
 
 
@@ -153,6 +158,21 @@ QUERIES = {f.__name__: f for f in _LIST}
 _READABLE = "CASE quality " + " ".join(f"WHEN {i} THEN '{S.READABLE.get(n, n)}'" for i, n in enumerate(D.QUALITIES)) + " END"
 
 ORACLES = {
+    "run_distances": rf"""
+{CODED_SQL}, r AS (SELECT *, try_cast(regexp_extract(seq_id, '-(\d+)-(\d+)$', 1) AS INT) AS run FROM s WHERE true_domain IS NOT NULL
+), met AS (SELECT q.true_domain, r.run - q.run AS step, {PAIR_SQL.format("q.c", "r.c")} FROM (SELECT * FROM r WHERE {SEARCHED_SQL}) q JOIN r USING (true_domain) WHERE r.run > q.run
+), pairs AS (SELECT a, b FROM met), {DISTANCES_SQL}
+SELECT true_domain, step, count(*) AS n, min(d) AS least, max(d) AS most, round(avg(d), 6) AS mean, quantile_cont(d, 0.5)::DOUBLE AS median FROM met JOIN dist USING (a, b) GROUP BY 1, 2
+""",
+    "group_distances": f"""
+{CODED_SQL}, met AS (SELECT q.seq_id AS query_id, r.mapped_domain AS label, {PAIR_SQL.format("q.c", "r.c")} FROM (SELECT * FROM s WHERE {SEARCHED_SQL}) q JOIN s r ON q.seq_id <> r.seq_id
+), pairs AS (SELECT a, b FROM met), {DISTANCES_SQL}
+SELECT query_id, label, count(*) AS n, (sum(d) // count(*))::BIGINT AS mean, list_sort(list(d))[count(*) // 2 + 1] AS median FROM met JOIN dist USING (a, b) GROUP BY 1, 2
+""",
+    "cluster_spread": f"""
+WITH d AS ({EVALUATION_SQL["consecutive_distances"]}), g AS (SELECT true_domain, count(*) AS n, min(norm) AS least, max(norm) AS most FROM d GROUP BY 1)
+SELECT *, row_number() OVER (ORDER BY least, most, true_domain) - 1 AS place FROM g
+""",
     "suffix_quality": rf"""
 WITH {_Q}, c AS (SELECT k, lower(true_domain) AS d, quality >= 3 AS g, reason IS NOT NULL AS w FROM q WHERE true_domain IS NOT NULL
 ), known AS (SELECT DISTINCT regexp_replace(lower(true_domain), '^[^.]*\.', '') AS suffix FROM matched_queries WHERE true_domain LIKE '%.%'

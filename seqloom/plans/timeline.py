@@ -75,6 +75,11 @@ def size_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.spread(lookups(spark, sf_dir).where("qtype IS NOT NULL"), ["qtype"], "response_size")
 
 
+def domain_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each type the median over domains of their mean response size, and how much it varies between them."""
+    return S.median_of_groups(lookups(spark, sf_dir).where("qtype IS NOT NULL"), ["qtype"], "true_domain", "response_size")
+
+
 def size_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entropy of the padded response sizes of each domain."""
     c = lookups(spark, sf_dir).where("true_domain IS NOT NULL AND response_size IS NOT NULL").groupBy("true_domain", F.expr("(response_size + 467) div 468").alias("blocks")).agg(F.count("*").alias("n"))
@@ -155,10 +160,10 @@ def stack_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = daily_filled(spark, sf_dir)
     w = Window.partitionBy("day")
     p = 100 * F.col("n") / F.sum("n").over(w)
-    return c.where("day < 365").withColumn("percent", p).select("day", "event_type", F.round("percent", 6).alias("percent"), F.round(F.coalesce(F.sum("percent").over(w.orderBy("event_type").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), 6).alias("below"))
+    return c.withColumn("percent", p).select("day", "event_type", F.round("percent", 6).alias("percent"), F.round(F.coalesce(F.sum("percent").over(w.orderBy("event_type").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), 6).alias("below"))
 
 
-_LIST = (qr_match, noise_free, marked_windows, gap_histogram, gap_peaks, burst_lengths, direction_features, size_spread, size_entropy, size_cdf, type_seats, daily_filled, smoothed_days, throttled, relative_times, request_counts, trace_request_lists, common_names, overhead, stack_heights)
+_LIST = (qr_match, noise_free, marked_windows, gap_histogram, gap_peaks, burst_lengths, direction_features, size_spread, domain_sizes, size_entropy, size_cdf, type_seats, daily_filled, smoothed_days, throttled, relative_times, request_counts, trace_request_lists, common_names, overhead, stack_heights)
 QUERIES = {f.__name__: f for f in _LIST}
 
 _L = r"""l AS (SELECT DISTINCT ON (query_no) query_no, trace_id, true_domain, source, regexp_replace(lower(qname), '\.$', '') AS qname, qtype, epoch_us(start_time) AS s, epoch_us(end_time) AS t, query_size, response_size FROM matched_queries)"""
@@ -212,7 +217,12 @@ WITH {_L}, ok AS (SELECT * FROM l WHERE trace_id IS NOT NULL AND s IS NOT NULL A
 ), y AS (SELECT trace_id, (sum(bytes) FILTER (dir = 'up'))::BIGINT AS bytes_up, (sum(bytes) FILTER (dir = 'down'))::BIGINT AS bytes_down, count(*) AS moves FROM m GROUP BY 1)
 SELECT * FROM y JOIN x USING (trace_id)
 """,
-    "size_spread": f"WITH {_L} SELECT qtype, count(response_size) AS n, min(response_size) AS least, max(response_size) AS most, round(avg(response_size), 6) AS mean, round(var_pop(response_size), 6) AS variance, round(quantile_cont(response_size, 0.05), 6) AS p05, round(quantile_cont(response_size, 0.5), 6) AS median, round(quantile_cont(response_size, 0.95), 6) AS p95 FROM l WHERE qtype IS NOT NULL GROUP BY 1",
+    "size_spread": f"""
+WITH {_L}, v AS (SELECT qtype, response_size AS v, response_size - avg(response_size) OVER (PARTITION BY qtype) AS d FROM l WHERE qtype IS NOT NULL)
+SELECT qtype, count(v) AS n, min(v) AS least, max(v) AS most, round(avg(v), 6) AS mean, round(var_pop(v), 6) AS variance, round(stddev_samp(v), 6) AS deviation, round(avg(d ** 3) / nullif(avg(d ** 2), 0) ** 1.5, 6) AS skewness, round(avg(d ** 4) / nullif(avg(d ** 2), 0) ** 2 - 3, 6) AS kurtosis,
+  {", ".join(f"round(quantile_cont(v, {p}), 6) AS {c}" for c, p in (("p05", 0.05), ("p20", 0.2), ("median", 0.5), ("p80", 0.8), ("p95", 0.95)))} FROM v GROUP BY 1
+""",
+    "domain_sizes": f"WITH {_L}, g AS (SELECT qtype, true_domain, avg(response_size) AS m FROM l WHERE qtype IS NOT NULL AND true_domain IS NOT NULL AND response_size IS NOT NULL GROUP BY 1, 2) SELECT qtype, count(*) AS groups, round(stddev_samp(m), 6) AS deviation, round(quantile_cont(m, 0.5), 6) AS median FROM g GROUP BY 1",
     "size_entropy": f"""
 WITH {_L}, c AS (SELECT true_domain, (response_size + 467) // 468 AS b, count(*) AS n FROM l WHERE true_domain IS NOT NULL AND response_size IS NOT NULL GROUP BY 1, 2
 ), p AS (SELECT true_domain, n / sum(n) OVER (PARTITION BY true_domain) AS p FROM c)
@@ -249,7 +259,7 @@ SELECT trace_id, string_agg(domains, ' ' ORDER BY domains) AS domains FROM (SELE
     "common_names": f"WITH {_L}, c AS (SELECT true_domain, qname, count(*) AS n FROM l WHERE qname IS NOT NULL AND true_domain IS NOT NULL GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY true_domain ORDER BY n DESC, qname)::INT AS place FROM c QUALIFY place <= 3",
     "overhead": f"WITH {_L}{_TH} SELECT trace_id, count(*) AS n, sum(response_size)::BIGINT AS bytes, max(t) - min(t) AS time_us, max(sent) - min(sent) AS shaped_us, round((max(sent) - min(sent)) / nullif(max(t) - min(t), 0), 6) AS factor FROM th GROUP BY 1",
     "stack_heights": f"""
-WITH {_DAYS}, p AS (SELECT day, event_type, 100 * n / sum(n) OVER (PARTITION BY day) AS percent FROM f WHERE day < 365)
+WITH {_DAYS}, p AS (SELECT day, event_type, 100 * n / sum(n) OVER (PARTITION BY day) AS percent FROM f)
 SELECT day, event_type, round(percent, 6) AS percent, round(coalesce(sum(percent) OVER (PARTITION BY day ORDER BY event_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS below FROM p
 """,
 }
