@@ -155,6 +155,26 @@ def cluster_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LIST = (suffix_quality, quality_by_measure, set_means, at_least_series, dep_merged_nodes, dep_subset_merge, paired_files, merged_type_counts, code_subsets, parsed_numbers, run_distances, group_distances, cost_breakdown, cluster_spread)
 QUERIES = {f.__name__: f for f in _LIST}
 
+# The table of costs with what led to each cell: a cell is [cost, changes ...], a change its number in CHANGES and its cost, or two gaps as 10^12 and both. Among equally
+# cheap ways a swap or a substitution goes before a deletion, and that before an insertion.
+_KIND, _COST = "CASE WHEN {0} >= 0 THEN 1 ELSE 0 END", "CASE WHEN {0} >= 0 THEN 12 ELSE -{0} - 1 END"
+_GO = "list_concat(list_prepend({0}[1] + {1}, {0}[2:]), CASE WHEN {1} > 0 THEN [({2}) * 1000000 + {1}] ELSE [] END)"
+_X, _Y, _C = _COST.format("x"), _COST.format("b[j]"), "CASE WHEN x = b[j] THEN 0 WHEN x >= 0 AND b[j] >= 0 THEN 6 WHEN x < 0 AND b[j] < 0 THEN 3 * abs(x - b[j]) ELSE " + _COST.format("x") + " + " + _COST.format("b[j]") + " END"
+_KINDS = f"2 * {_KIND.format('x')} + {_KIND.format('b[j]')}"
+_SUBSTITUTED = f"list_concat({_GO.format('filled[j]', f'({_C})', f'4 + {_KINDS}')}, CASE WHEN x < 0 AND b[j] < 0 AND x <> b[j] THEN [1000000000000 + (least(-x, -b[j]) - 1) * 1000000 + greatest(-x, -b[j]) - 1] ELSE [] END)"
+_SWAPPED = _GO.format("older[j - 1]", "(CASE WHEN x = b[j] THEN 0 ELSE 3 END)", f"8 + {_KINDS}")
+_TRACE = f"""tr AS (
+  SELECT seq_id, a, b, 0 AS i, NULL::BIGINT[][] AS older, list_reduce(list_prepend([[0::BIGINT]], list_transform(b, lambda y: [[{_COST.format("y")}, {_KIND.format("y")}]])), lambda s, c: list_append(s, {_GO.format("s[-1]", "c[1][1]", "c[1][2]")})) AS filled
+  FROM ends
+  UNION ALL
+  SELECT seq_id, a, b, i + 1, filled, list_reduce(list_prepend([{_GO.format("filled[1]", f"({_X})", f"CASE WHEN len(b) > 0 THEN 2 ELSE 0 END + {_KIND.format('x')}")}], list_transform(range(1, len(b) + 1), lambda j: [
+    CASE WHEN i > 0 AND j > 1 AND a[i] = b[j] AND x = b[j - 1] AND older[j - 1][1] + CASE WHEN x = b[j] THEN 0 ELSE 3 END <= filled[j][1] + {_C} THEN {_SWAPPED} ELSE {_SUBSTITUTED} END,
+    [{_Y}, 2 + {_KIND.format("b[j]")}], {_GO.format("filled[j + 1]", f"({_X})", _KIND.format("x"))}])),
+    lambda s, c: list_append(s, CASE WHEN c[1][1] <= least(c[3][1], s[-1][1] + c[2][1]) THEN c[1] WHEN s[-1][1] + c[2][1] <= c[3][1] THEN {_GO.format("s[-1]", "c[2][1]", "c[2][2]")} ELSE c[3] END))
+  FROM (SELECT *, a[i + 1] AS x FROM tr WHERE i < len(a))
+), changes AS (SELECT seq_id, len(a) AS longest, unnest(filled[-1][2:]) AS e FROM tr WHERE i = len(a)
+), named AS (SELECT seq_id, longest, CASE WHEN e >= 1000000000000 THEN 'gap(' || (e % 1000000000000 // 1000000) || ')_to_gap(' || (e % 1000000) || ')' ELSE ({D.CHANGES})[e // 1000000 + 1] END AS change, CASE WHEN e >= 1000000000000 THEN 1 ELSE e % 1000000 END AS cost FROM changes
+), summed AS (SELECT seq_id, change, sum(cost) / any_value(longest) AS share FROM named GROUP BY 1, 2)"""
 _READABLE = "CASE quality " + " ".join(f"WHEN {i} THEN '{S.READABLE.get(n, n)}'" for i, n in enumerate(D.QUALITIES)) + " END"
 
 ORACLES = {
@@ -168,6 +188,12 @@ SELECT true_domain, step, count(*) AS n, min(d) AS least, max(d) AS most, round(
 {CODED_SQL}, met AS (SELECT q.seq_id AS query_id, r.mapped_domain AS label, {PAIR_SQL.format("q.c", "r.c")} FROM (SELECT * FROM s WHERE {SEARCHED_SQL}) q JOIN s r ON q.seq_id <> r.seq_id
 ), pairs AS (SELECT a, b FROM met), {DISTANCES_SQL}
 SELECT query_id, label, count(*) AS n, (sum(d) // count(*))::BIGINT AS mean, list_sort(list(d))[count(*) // 2 + 1] AS median FROM met JOIN dist USING (a, b) GROUP BY 1, 2
+""",
+    "cost_breakdown": f"""
+{CODED_SQL}, n AS (SELECT *, lead(c) OVER (PARTITION BY true_domain ORDER BY seq_id) AS o FROM s WHERE true_domain IS NOT NULL
+), ends AS (SELECT seq_id, CASE WHEN len(c) >= len(o) THEN c ELSE o END AS a, CASE WHEN len(c) >= len(o) THEN o ELSE c END AS b FROM n WHERE o IS NOT NULL AND len(c) + len(o) > 0
+), {_TRACE}
+SELECT change, count(*) AS n, (SELECT count(*) FROM ends) AS pairs, round(sum(share) / (SELECT count(*) FROM ends), 9) AS mean, round(max(share), 9) AS most FROM summed GROUP BY 1
 """,
     "cluster_spread": f"""
 WITH d AS ({EVALUATION_SQL["consecutive_distances"]}), g AS (SELECT true_domain, count(*) AS n, min(norm) AS least, max(norm) AS most FROM d GROUP BY 1)
