@@ -90,3 +90,24 @@ def public_suffix(df: DataFrame, domain: str, known: DataFrame, name: str = "suf
     known = known.where("suffix IS NOT NULL").select(F.col("suffix").alias("_end")).distinct()
     hit = ends.join(known, "_end").groupBy(domain).agg(F.max_by("_end", F.length("_end")).alias(name))
     return d.join(hit, domain, "left")
+
+
+def host_and_port(address: Column) -> Column:
+    """STRUCT<host, port> of `host:port`, `192.0.2.1:53` or `[2001:db8::1]:53`, by the last colon; null without a port of 0 to 65535, or if colons are left in a host without brackets."""
+    bare, port = F.regexp_extract(address, r"^(.*):(\d{1,5})$", 1), F.regexp_extract(address, r"^(.*):(\d{1,5})$", 2).try_cast("int")
+    host = F.when(bare.rlike(r"^\[[0-9A-Fa-f:.]+\]$"), F.substr(bare, F.lit(2), F.length(bare) - 2)).when(~F.contains(bare, F.lit(":")) & (bare != ""), bare)
+    return F.when(host.isNotNull() & port.between(0, 65535), F.struct(host.alias("host"), port.alias("port")))
+
+
+def fixed_text(value: Column, digits: int = 4) -> Column:
+    """A number as text with so many digits behind the point, as a key for values that are nearly equal."""
+    return F.format_string(f"%.{digits}f", value.cast("double"))
+
+
+# Fields of browser logs that differ from run to run.
+_RUN_IDS, _RUN_TIMES = "targetId|frameId|requestId|scriptId|executionContextId|loaderId", "timestamp|wallTime"
+
+
+def scrubbed(line: Column) -> Column:
+    """A line of a browser log with ids emptied and times set to 0, so that logs of two runs can be compared."""
+    return F.regexp_replace(F.regexp_replace(line, f'"({_RUN_IDS})": "[^"]*"(,?)', '"$1": ""$2'), rf'"({_RUN_TIMES})": \d+(\.\d+)?(,?)', '"$1": 0$3')

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators.distance import QUALITIES
-from seqloom.operators.order import running_sums
+from seqloom.operators.order import numbered, running_sums
 
 
 def options_quality(options: Column, truth: Column) -> Column:
@@ -169,3 +169,26 @@ def merge_counts(tables: Sequence[DataFrame], key: list[str], count: str) -> Dat
 def is_subset(part: Column, whole: Column) -> Column:
     """Whether every element of the first array is in the second; null if either is null."""
     return F.size(F.array_except(part, whole)) == 0
+
+
+def indexed_labels(pairs: DataFrame, truth: str, predicted: str, *, same: dict[str, str] | None = None) -> DataFrame:
+    """pairs with <truth>_no and <predicted>_no, the labels' places in the order of all labels of both columns, and the labels themselves replaced by what `same` says
+    they are the same as. Null labels have none. Labels are numbered over a global order, not by one task."""
+    changes = same or {}
+    known = F.create_map(*(F.lit(x) for kv in changes.items() for x in kv)) if changes else None
+    one = lambda c: F.coalesce(known[F.col(c)], F.col(c)) if known is not None else F.col(c)
+    d = pairs.withColumns({truth: one(truth), predicted: one(predicted)})
+    labels = d.select(F.explode(F.array_distinct(F.array(truth, predicted))).alias("_label")).where("_label IS NOT NULL").distinct()
+    n = numbered(labels, [F.col("_label")], "_no")
+    for c in (truth, predicted):
+        d = d.join(n.select(F.col("_label").alias(c), F.col("_no").alias(f"{c}_no")), c, "left")
+    return d.select(*pairs.columns, f"{truth}_no", f"{predicted}_no")
+
+
+def corrected(features: DataFrame, offsets: dict[str, int], lengths: str | None = None, ones: int = 0) -> DataFrame:
+    """features with fixed amounts taken off some columns, as what marker messages add to a capture, and an array of run lengths without its first `ones` elements equal to 1."""
+    d = features.withColumns({c: F.col(c) - n for c, n in offsets.items()})
+    if lengths is None:
+        return d
+    upto = lambda i: F.size(F.filter(F.slice(lengths, 1, i + 1), lambda x: x == 1))
+    return d.withColumn(lengths, F.filter(lengths, lambda x, i: (x != 1) | (upto(i) > ones)))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 FLAGSHIP = "seq_build_log2"
-_MODULES = ["problems", "sequences", "evaluation", "timeline", "names", "tasks", "ordered", "reports"]
+_MODULES = ["problems", "sequences", "evaluation", "timeline", "names", "tasks", "ordered", "reports", "roundtrips"]
 
 
 def _merged(name: str) -> dict:

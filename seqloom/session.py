@@ -46,12 +46,17 @@ def materialize(df: DataFrame) -> DataFrame:
     This cuts lineage like checkpoint(), survives the loss of executors, and takes far less disk as the
     table is columnar and compressed. Spark deletes the table when its JVM ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/seqloom-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; Spark deletes what lies there when its JVM ends."""
+    path = f"{shared_dir(spark)}/seqloom-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def drop_table(df: DataFrame) -> None:

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import lzma
 import struct
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the frame format: a zero length announces a control frame, whose first word is its kind.
 CONTROL, START, STOP, CONTENT_TYPE_FIELD = 0, 2, 3, 1
 DNSTAP_CONTENT_TYPE = b"protobuf:dnstap.Dnstap"
-# Message types of the event schema, and the record types of DNS that have names here.
+# Message types of the event schema, and the names of DNS record types by their assigned numbers; others are TYPE and the number.
 MESSAGE_TYPES = "AUTH_QUERY AUTH_RESPONSE RESOLVER_QUERY RESOLVER_RESPONSE CLIENT_QUERY CLIENT_RESPONSE FORWARDER_QUERY FORWARDER_RESPONSE STUB_QUERY STUB_RESPONSE TOOL_QUERY TOOL_RESPONSE".split()
-QTYPES = {1: "A", 2: "NS", 5: "CNAME", 6: "SOA", 10: "NULL", 12: "PTR", 15: "MX", 16: "TXT", 28: "AAAA", 33: "SRV", 43: "DS", 48: "DNSKEY", 65: "HTTPS"}
+QTYPES = {
+    1: "A", 2: "NS", 5: "CNAME", 6: "SOA", 10: "NULL", 11: "WKS", 12: "PTR", 13: "HINFO", 14: "MINFO", 15: "MX", 16: "TXT", 17: "RP", 18: "AFSDB", 24: "SIG", 25: "KEY", 28: "AAAA", 29: "LOC", 33: "SRV", 35: "NAPTR", 37: "CERT", 39: "DNAME", 41: "OPT",
+    43: "DS", 44: "SSHFP", 45: "IPSECKEY", 46: "RRSIG", 47: "NSEC", 48: "DNSKEY", 49: "DHCID", 50: "NSEC3", 51: "NSEC3PARAM", 52: "TLSA", 53: "SMIMEA", 59: "CDS", 60: "CDNSKEY", 61: "OPENPGPKEY", 62: "CSYNC", 63: "ZONEMD", 64: "SVCB", 65: "HTTPS", 99: "SPF",
+    249: "TKEY", 250: "TSIG", 251: "IXFR", 252: "AXFR", 255: "ANY", 256: "URI", 257: "CAA",
+}
 TLS_TYPES = {20: "ChangeCipherSpec", 21: "Alert", 22: "Handshake", 23: "ApplicationData"}
 
 EVENT_SCHEMA = """path string, frame_no int, identity string, version string, message_type string, query_address string, response_address string, query_port int, response_port int,
@@ -101,11 +107,21 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 def _name(data: bytes, at: int = 0) -> tuple[str, int]:
-    labels = []
-    while data[at]:
-        labels.append(data[at + 1 : at + 1 + data[at]].decode("ascii", "backslashreplace"))
-        at += 1 + data[at]
-    return "".join(x + "." for x in labels) or ".", at + 1
+    """A name and where it ends; a label may be a pointer to an earlier place, where the name goes on."""
+    labels, end, least = [], None, at
+    while n := data[at]:
+        if n >= 192:
+            end = at + 2 if end is None else end
+            at = struct.unpack_from(">H", data, at)[0] & 0x3FFF
+            if at >= least:  # pointers lead back, so they end
+                raise ValueError("a pointer of a name leads forward")
+            least = at
+            continue
+        if n > 63 or at + 1 + n > len(data):
+            raise ValueError("no label")
+        labels.append(data[at + 1 : at + 1 + n].decode("ascii", "backslashreplace"))
+        at += 1 + n
+    return "".join(x + "." for x in labels) or ".", at + 1 if end is None else end
 
 
 def _question(data: bytes) -> tuple[str, str, int]:
@@ -120,6 +136,66 @@ def _address(data: bytes | None) -> str | None:
     return None if data is None else str(ipaddress.ip_address(data))
 
 
+def _varint(n: int) -> bytes:
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def _field(no: int, value: int | bytes | None) -> bytes:
+    if value is None:
+        return b""
+    return _varint(no << 3 | 2) + _varint(len(value)) + value if isinstance(value, bytes) else _varint(no << 3) + _varint(value)
+
+
+def _wire_name(name: str) -> bytes:
+    return b"".join(bytes([len(x)]) + x.encode() for x in name.split(".") if x) + b"\0"
+
+
+def dns_question(qid: int, name: str, qtype: str, size: int = 0) -> bytes:
+    """A DNS message with one question, filled up with zeros to its size."""
+    number = next((n for n, t in QTYPES.items() if t == qtype), None)
+    body = struct.pack(">HHHHHH", qid, 0, 1, 0, 0, 0) + _wire_name(name) + struct.pack(">HH", int(qtype[4:]) if number is None else number, 1)
+    return body.ljust(size, b"\0")
+
+
+def encode_event(e: dict) -> bytes:
+    """The frame of an event given by the columns of EVENT_SCHEMA; a side without a name, type or id has no message."""
+    import ipaddress
+
+    address = lambda x: None if x is None else ipaddress.ip_address(x).packed
+    m = _field(1, MESSAGE_TYPES.index(e["message_type"]) + 1) + _field(4, address(e.get("query_address"))) + _field(5, address(e.get("response_address"))) + _field(6, e.get("query_port")) + _field(7, e.get("response_port"))
+    for side, sec, nsec, body in (("query", 8, 9, 10), ("response", 12, 13, 14)):
+        t = e.get(f"{side}_time_ns")
+        if t is not None:
+            m += _field(sec, t // 1_000_000_000) + _varint(nsec << 3 | 5) + struct.pack("<I", t % 1_000_000_000)
+        about = [e.get(f"{side}_{x}") for x in ("id", "qname", "qtype")]
+        if None not in about:
+            m += _field(body, dns_question(*about, e.get(f"{side}_size") or 0))
+    zone = e.get("query_zone")
+    return _field(1, (e.get("identity") or "").encode()) + _field(2, (e.get("version") or "").encode()) + _field(14, m + _field(11, None if zone is None else _wire_name(zone))) + _field(15, 1)
+
+
+def frame_stream(frames: list[bytes], content_type: bytes = DNSTAP_CONTENT_TYPE) -> bytes:
+    """Content frames between a start and a stop frame."""
+    control = lambda body: struct.pack(">II", CONTROL, len(body)) + body
+    start = struct.pack(">III", START, CONTENT_TYPE_FIELD, len(content_type)) + content_type
+    return control(start) + b"".join(struct.pack(">I", len(f)) + f for f in frames) + control(struct.pack(">I", STOP))
+
+
+def contents(spark: SparkSession, path: str) -> DataFrame:
+    """path, content of the files below path; those ending in .xz are unpacked. Files are read whole, one a row, so a file must fit a task."""
+
+    def unpack(names: pa.Array, data: pa.Array) -> pa.Array:
+        return pa.array([lzma.decompress(d) if n.endswith(".xz") else d for n, d in zip(names.to_pylist(), data.to_pylist())], pa.binary())
+
+    unpack.__annotations__ = {"names": pa.Array, "data": pa.Array, "return": pa.Array}
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    plain, packed = files.where("NOT endswith(path, '.xz')"), files.where("endswith(path, '.xz')")
+    return plain.unionByName(packed.select("path", F.arrow_udf(unpack, "binary")("path", "content").alias("content")))
+
+
 def decode_event(frame: bytes) -> dict | None:
     """One event as a row, without path and frame_no; None for a frame that isn't a valid event."""
     try:
@@ -138,10 +214,15 @@ def decode_event(frame: bytes) -> dict | None:
 
 
 def read_events(spark: SparkSession, path: str, *, permissive: bool = False) -> DataFrame:
-    """DNS events of frame files below path, in the order of path and frame_no.
+    """DNS events of frame files below path, packed with xz or not, see decode_events."""
+    return decode_events(contents(spark, path), permissive=permissive)
+
 
-    Frames that aren't valid events are left out. A file whose frames break the format fails the query, or with permissive gives the frames before
-    the break. Files are read whole, one a row, so a file must fit a task.
+def decode_events(files: DataFrame, *, permissive: bool = False) -> DataFrame:
+    """DNS events of frame streams given as path, content, in the order of path and frame_no.
+
+    Frames that aren't valid events are left out. A stream whose frames break the format fails the query, or with permissive gives the frames before
+    the break.
     """
     columns = [c.split()[0] for c in EVENT_SCHEMA.replace("\n", " ").split(",")]
 
@@ -156,9 +237,8 @@ def read_events(spark: SparkSession, path: str, *, permissive: bool = False) ->
                 except FrameError:
                     if not permissive:
                         raise
-                yield pd.DataFrame(rows, columns=columns).astype(object).where(lambda x: x.notna(), None)
+                yield pd.DataFrame(rows, columns=columns, dtype=object)  # as objects, so that nulls make no floats of 64-bit numbers
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInPandas(decode, EVENT_SCHEMA)
 
 
@@ -171,7 +251,12 @@ def dns_messages(data: bytes) -> Iterator[bytes]:
 
 
 def read_dns_streams(spark: SparkSession, path: str) -> DataFrame:
-    """path, message_no, size, qname, qtype, qid of the DNS streams below path; the last three are null for what is no message with a question. Files are read whole, one a row."""
+    """The messages of the DNS streams below path, packed with xz or not, see decode_dns_streams."""
+    return decode_dns_streams(contents(spark, path))
+
+
+def decode_dns_streams(files: DataFrame) -> DataFrame:
+    """path, message_no, size, qname, qtype, qid of DNS streams given as path, content; the last three are null for what is no message with a question."""
     columns = ["path", "message_no", "size", "qname", "qtype", "qid"]
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,12 +266,11 @@ def read_dns_streams(spark: SparkSession, path: str) -> DataFrame:
                 for i, m in enumerate(dns_messages(bytes(data))):
                     try:
                         q = _question(m)
-                    except (IndexError, struct.error):
+                    except (IndexError, ValueError, struct.error):
                         q = (None, None, None)
                     rows.append((name, i, len(m), *q))
-                yield pd.DataFrame(rows, columns=columns).astype(object).where(lambda x: x.notna(), None)
+                yield pd.DataFrame(rows, columns=columns, dtype=object)  # as objects, so that nulls make no floats of 64-bit numbers
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInPandas(decode, "path string, message_no int, size int, qname string, qtype string, qid int")
 
 
@@ -213,17 +297,23 @@ def tls_records(data: bytes) -> Iterator[tuple]:
 
     TCP over IPv4 over Ethernet; payloads are put in order by sequence number in each direction, repeated segments dropped, and a
     record gets the time of the packet that completes it. record_no is its place among them, tls13 tells a server's hello that selects this version.
-    Ends at a truncated packet.
+    FrameError for what is no such capture: packets cut off by the capture or by the file's end, other packets than IPv4, fragments.
     """
     order = {b"\xd4\xc3\xb2\xa1": "<", b"\xa1\xb2\xc3\xd4": ">"}.get(data[:4])
     if order is None:
         raise FrameError("no packet capture")
     at, no, count = 24, 0, 0
     flows: dict[tuple, dict] = {}
-    while at + 16 <= len(data):
-        sec, usec, size, _ = struct.unpack_from(order + "IIII", data, at)
+    while at < len(data):
+        if at + 16 > len(data):
+            raise FrameError("the capture ends within a packet")
+        sec, usec, size, whole = struct.unpack_from(order + "IIII", data, at)
         packet, at, no = data[at + 16 : at + 16 + size], at + 16 + size, no + 1
-        if len(packet) < 54 or packet[12:14] != b"\x08\x00" or packet[23] != 6:
+        if size != whole or len(packet) < size:
+            raise FrameError(f"packet {no} is truncated")
+        if len(packet) < 34 or packet[12:14] != b"\x08\x00":
+            raise FrameError(f"packet {no} is no IPv4 packet")
+        if packet[23] != 6 or len(packet) < 54:
             continue
         head = 14 + (packet[14] & 15) * 4
         total = struct.unpack_from(">H", packet, 16)[0]
@@ -235,6 +325,8 @@ def tls_records(data: bytes) -> Iterator[tuple]:
             flow["next"] = (seq + 1) & 0xFFFFFFFF
         if not body:
             continue
+        if packet[20] & 0x20:
+            raise FrameError(f"packet {no} is a fragment")
         flow["next"] = seq if flow["next"] is None else flow["next"]
         if (seq - flow["next"]) & 0xFFFFFFFF < 1 << 31:
             flow["wait"].setdefault(seq, body)
@@ -248,18 +340,29 @@ def tls_records(data: bytes) -> Iterator[tuple]:
             flow["buffer"] = flow["buffer"][5 + n :]
 
 
-def read_tls_records(spark: SparkSession, path: str) -> DataFrame:
-    """TLS records of the packet captures below path, with the capture's path. Files are read whole, one a row."""
+def read_tls_records(spark: SparkSession, path: str, *, permissive: bool = False) -> DataFrame:
+    """TLS records of the packet captures below path, packed with xz or not, see decode_captures."""
+    return decode_captures(contents(spark, path), permissive=permissive)
+
+
+def decode_captures(files: DataFrame, *, permissive: bool = False) -> DataFrame:
+    """TLS records of packet captures given as path, content, with the capture's path. One that breaks the format fails the query, or with permissive gives the records before the break."""
     names = ["packet_no", "sender", "sender_port", "receiver", "receiver_port", "time_us", "message_type", "message_length", "record_no", "tls13"]
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, data in zip(b["path"], b["content"]):
-                d = pd.DataFrame(list(tls_records(bytes(data))), columns=names)
+                rows = []
+                try:
+                    for r in tls_records(bytes(data)):
+                        rows.append(r)
+                except FrameError:
+                    if not permissive:
+                        raise
+                d = pd.DataFrame(rows, columns=names)
                 d.insert(0, "path", name)
                 yield d
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInPandas(decode, "path string, packet_no int, sender string, sender_port int, receiver string, receiver_port int, time_us bigint, message_type string, message_length int, record_no int, tls13 boolean")
 
 

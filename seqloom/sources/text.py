@@ -9,14 +9,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions.elements import codes, parse_codes
-from seqloom.functions.names import ignored_url
+from seqloom.functions.names import ignored_url, stem
 from seqloom.session import materialize
+from seqloom.sources.frames import contents
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """value: the lines of text files, also of packed ones; Spark unpacks all kinds but xz, whose files are read whole, one a task."""
+    if not path.endswith(".xz"):
+        return spark.read.text(path)
+    return contents(spark, path).select(F.explode(F.split(F.regexp_replace(F.col("content").cast("string"), r"\n\z", ""), r"\r?\n")).alias("value"))
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
     """seq_id, elems from lines of JSON objects {id: [code, ...]}; lines that are none are left out."""
-    lines = spark.read.text(path).select(F.from_json("value", "map<string,array<string>>").alias("m")).where("m IS NOT NULL")
-    return lines.select(F.explode("m").alias("seq_id", "c")).select("seq_id", parse_codes(F.array_compact("c")).alias("elems"))
+    d = lines(spark, path).select(F.from_json("value", "map<string,array<string>>").alias("m")).where("m IS NOT NULL")
+    return d.select(F.explode("m").alias("seq_id", "c")).select("seq_id", parse_codes(F.array_compact("c")).alias("elems"))
 
 
 def write_sequences(df: DataFrame, path: str) -> None:
@@ -67,7 +75,76 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_results(df: DataFrame, path: str) -> None:
-    df.write.json(path)
+    """Lines of JSON with the fields that read_results reads: id, k, label, reason, class_result; those and no others, null fields left out."""
+    df.select("id", "k", "label", "reason", "class_result").write.json(path)
+
+
+def write_counters(df: DataFrame, path: str) -> None:
+    """Counters or statistics as CSV with a header, nulls as empty fields."""
+    df.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def read_counters(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Counters or statistics from CSV with a header; the columns go by their order."""
+    return spark.read.option("header", True).schema(schema).csv(path)
+
+
+def quality_series(stats: DataFrame, columns: list[str]) -> DataFrame:
+    """k, position, n from a statistics table as read_counters reads it: for each k the sums of its quality columns, each with its `_w_reason` column that follows, without the
+    first three. columns: the quality columns in order, the second of each pair included. A k with another total than the least one fails the query."""
+    sums = stats.groupBy("k").agg(*(F.sum(c).alias(c) for c in columns))
+    pairs = [F.col(a) + F.col(b) for a, b in zip(columns[::2], columns[1::2])]
+    least = sums.agg(F.min(sum(pairs, F.lit(0))).alias("least")).withColumn("one", F.lit(1))  # one row
+    d = sums.withColumn("one", F.lit(1)).join(F.broadcast(least), "one")
+    same = F.when(sum(pairs, F.lit(0)) == F.col("least"), F.array(*pairs[3:])).otherwise(F.raise_error(F.lit("not as many traces for every k")).cast("array<bigint>"))
+    return d.select("k", F.posexplode(same).alias("position", "n"))
+
+
+# What a log says above each table of results, which of the lines below it hold numbers, and how many a line has.
+LOG_TABLE, LOG_LINES, LOG_WIDTHS = "#Domains with at least x classification results of quality or higher:\n", (3, 7), (11, 21)
+
+
+def read_log_tables(spark: SparkSession, path: str) -> DataFrame:
+    """file, table_no, line_no, quality, counts of the result tables in logs: the lines from the last to the first. A line with another number of counts fails the query."""
+    first, end = LOG_LINES
+    tables = F.slice(F.split("value", LOG_TABLE), 2, 1_000_000)
+    d = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(tables).alias("table_no", "t"))
+    d = d.select("file", "table_no", F.posexplode(F.reverse(F.slice(F.split("t", "\n"), first + 1, end - first))).alias("line_no", "line"))
+    cells = F.transform(F.split("line", "│"), lambda x: F.trim(x))
+    counts = F.transform(F.slice(cells, 2, 1000), lambda x: x.cast("int"))
+    fits = F.when(F.size(counts).isin(*LOG_WIDTHS), counts).otherwise(F.raise_error(F.concat(F.lit("no line of 11 or 21 counts: "), F.col("line"))).cast("array<int>"))
+    return d.select("file", "table_no", "line_no", F.get(cells, F.lit(0)).alias("quality"), fits.alias("counts"))
+
+
+def training_runs(texts: DataFrame) -> DataFrame:
+    """file, stamp, settings, measure, best of CSV files of training runs given as file, value (whole texts, as Hadoop lists no names with colons): of each measure the least value if its name has `loss` in it, else the greatest; NA is none.
+
+    The settings are the mapping in the file's name, as a MAP of texts; `effort` among them is the product of layers, hidden_size and epochs.
+    """
+    rows = F.transform(F.split(F.regexp_replace("value", r"\s+\z", ""), r"\r?\n"), lambda x: F.split(x, ","))
+    d = texts.select("file", rows.alias("rows")).select("file", F.get("rows", F.lit(0)).alias("names"), F.explode(F.slice("rows", 2, 1_000_000)).alias("cells"))
+    d = d.select("file", "names", F.posexplode("cells").alias("i", "text"))
+    value = F.nullif(F.trim("text"), F.lit("NA")).try_cast("double")
+    g = d.select("file", F.get("names", F.col("i")).alias("measure"), value.alias("v")).groupBy("file", "measure").agg(F.min("v").alias("least"), F.max("v").alias("most"))
+    name = F.element_at(F.split("file", "/"), -1)
+    mapping = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_extract(name, r"(\{.*\})\.csv$", 1), "<class |>", ""), "'", '"'), "None", "null")
+    settings = F.from_json(mapping, "map<string,string>")
+    effort = F.create_map(F.lit("effort"), F.aggregate(F.transform(F.array(*map(F.lit, ("layers", "hidden_size", "epochs"))), lambda k: settings[k].cast("bigint")), F.lit(1).cast("bigint"), lambda a, x: a * x).cast("string"))
+    return g.select("file", F.regexp_extract(name, r"^([^{]*)\{", 1).alias("stamp"), F.map_concat(settings, effort).alias("settings"), "measure", F.when(F.contains("measure", F.lit("loss")), F.col("least")).otherwise(F.col("most")).alias("best"))
+
+
+def read_dissections(spark: SparkSession, path: str) -> DataFrame:
+    """file, frame_no, qname of packets that an analyser exported as a JSON array; a packet with another number of questions than one fails the query."""
+    schema = "_source struct<layers:struct<dns:struct<Queries:map<string,struct<`dns.qry.name`:string>>>,frame:struct<`frame.number`:string>>>"
+    d = spark.read.schema(schema).option("multiLine", True).json(path).select(F.input_file_name().alias("file"), F.col("_source.layers").alias("l"))
+    q = F.map_values("l.dns.Queries")
+    one = F.when(F.size(q) == 1, F.get(q, F.lit(0))["dns.qry.name"]).otherwise(F.raise_error(F.lit("not one question")).cast("string"))
+    return d.select("file", F.col("l.frame")["frame.number"].cast("int").alias("frame_no"), one.alias("qname"))
+
+
+def read_ignored(spark: SparkSession, path: str) -> DataFrame:
+    """The distinct stems of the first column of CSV files with a header: files to be left out, for an anti join."""
+    return spark.read.option("header", True).schema("file string, reason string").csv(path).where("file IS NOT NULL").select(stem(F.col("file")).alias("stem")).distinct()
 
 
 def read_crawl_index(spark: SparkSession, path: str) -> DataFrame:
@@ -84,8 +161,14 @@ initiator:struct<type:string,url:string,stack:string>>"""
 
 
 def read_browser_log(spark: SparkSession, path: str) -> DataFrame:
-    """file, message_no, method, params of browser logs, each one JSON array of messages."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", f"array<struct<{_inline(_LOG)}>>").alias("m"))
+    """file, message_no, method, params of browser logs, each one JSON array of messages, packed with xz or not."""
+    texts = contents(spark, path).select(F.col("path").alias("file"), F.col("content").cast("string").alias("value"))
+    return browser_messages(texts)
+
+
+def browser_messages(texts: DataFrame) -> DataFrame:
+    """The same of logs given as file, value."""
+    files = texts.select("file", F.from_json("value", f"array<struct<{_inline(_LOG)}>>").alias("m"))
     return files.select("file", F.posexplode("m").alias("message_no", "m")).select("file", "message_no", "m.method", "m.params")
 
 
@@ -111,7 +194,7 @@ def _frames(stack: Column) -> Column:
     return F.arrow_udf(run, "array<struct<url:string,scriptId:string>>")(stack)
 
 
-def script_urls(log: DataFrame, *, max_rounds: int = 1000) -> DataFrame:
+def script_urls(log: DataFrame) -> DataFrame:
     """file, script, url: the URLs that each parsed script depends on, those of the frames of its stack; a frame without a URL stands for its own script's.
 
     Each round follows one more script without a URL, from the pairs that the round before found.
@@ -121,12 +204,11 @@ def script_urls(log: DataFrame, *, max_rounds: int = 1000) -> DataFrame:
     s = materialize(s.select("file", "script", F.explode("frames").alias("f")).select("file", "script", "f.url", F.col("f.scriptId").alias("via")).distinct())
     links = s.where("url = ''").select("file", F.col("script").alias("user"), F.col("via").alias("script"))
     known = step = materialize(s.where("url <> ''").select("file", "script", "url").distinct())
-    for _ in range(max_rounds):
+    while True:
         step = materialize(links.join(step, ["file", "script"]).select("file", F.col("user").alias("script"), "url").distinct().join(known, ["file", "script", "url"], "left_anti"))
         if step.isEmpty():
             return known
         known = materialize(known.unionByName(step))
-    raise RuntimeError(f"not finished after {max_rounds} rounds")
 
 
 def request_edges(log: DataFrame) -> DataFrame:
@@ -146,7 +228,7 @@ def request_edges(log: DataFrame) -> DataFrame:
 
 
 def log_reason(log: DataFrame) -> DataFrame:
-    """file and the reason why a log is no good: R008 for an error page, R009 without any response, null otherwise."""
+    """file and the reason why a log is no good; both texts are fixed values: R008 for an error page, R009 without any response, null otherwise."""
     error = F.coalesce(F.startswith("params.documentURL", F.lit("chrome-error:")), F.lit(False))
     g = log.groupBy("file").agg(F.bool_or(error).alias("e"), F.bool_or(F.col("method") == "Network.responseReceived").alias("r"), F.bool_or(F.col("method") == "Network.dataReceived").alias("d"))
     bad = F.when(F.col("e"), "R008 Domain did not load properly and Chrome performed a Google search on the error page.").when(~(F.col("r") & F.col("d")), "R009 No network response received.")
