@@ -40,41 +40,54 @@ def queue_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left_semi").groupBy("o_custkey").agg(F.count("*").alias("orders"))
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # as a pattern, the path may be one file as well as a folder of files
-    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+#: A time after all data, for the row that ends a stream.
+_END = "2100-01-01 00:00:00"
 
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events per type and six hours, from a stream."""
-    e = _stream(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
-    w = R.windowed_counts(e, "at", ["event_type"], "6 hours")
-    out = R.run_to_end(w.select("event_type", F.unix_micros("window.start").alias("from_us"), "n"), mode="complete")
-    return out
+    """Events per type and six hours, from a stream of several micro-batches; a window is given out once the watermark has passed it."""
+    e = table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("at"))
+    w = R.windowed_counts(R.arrivals(e, "at", {"at": F.lit(_END)}), "at", ["event_type"], "6 hours", late="5 days")
+    return R.run_to_end(w.select("event_type", F.unix_micros("window.start").alias("from_us"), "n"))
+
+
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a user's events less than a day apart, from a stream of several micro-batches."""
+    e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"))
+    w = R.session_counts(R.arrivals(e, "at", {"at": F.lit(_END), "user_id": F.lit(-1)}), "at", ["user_id"], "1 day", late="5 days")
+    return R.run_to_end(w.select("user_id", F.unix_micros("session_window.start").alias("from_us"), "n"))
 
 
 def stream_throttled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as throttled, from a stream whose repeated rows are dropped within a month."""
-    q = _stream(spark, sf_dir, "matched_queries").withColumn("at", F.col("logged_at"))
-    q = R.recent_distinct(q, "at", ["query_no"], "31 days").select("trace_id", F.unix_micros("end_time").alias("t"), F.col("query_no").alias("id"))
-    out = R.run_to_end(R.throttle_stream(q, "trace_id", 10_000))
+    """The same as throttled, from a stream in the order of logged_at; rows come up to days after their time, and more than once."""
+    q = table(spark, sf_dir, "matched_queries").select("trace_id", F.unix_micros("end_time").alias("t"), F.col("query_no").alias("id"), "logged_at")
+    end = {"trace_id": F.lit(""), "t": F.unix_micros(F.lit(_END).cast("timestamp")), "id": F.lit(-1)}
+    out = R.run_to_end(R.throttle_stream(R.arrivals(q, "logged_at", end), "trace_id", 10_000, late="7 days"))
     t = lookups(spark, sf_dir).select(F.col("query_no").alias("id"), "t")
     return out.join(t, "id").select(F.col("id").alias("query_no"), (F.col("sent") - F.col("t")).alias("delay_us"))
 
 
 def stream_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as qr_match, from streams of both tables."""
+    """The same as qr_match, from a stream of both tables' messages in the order of logged_at; they come up to days after their time, and more than once."""
     sides = []
     for i, side in enumerate(("query", "response")):
-        m = R.recent_distinct(_stream(spark, sf_dir, f"{side}_messages").withColumn("at", F.col("logged_at")), "at", ["msg_id"], "31 days")
         name = F.regexp_replace(F.lower(f"{side}_qname"), r"\.\z", "")
-        sides.append(m.select(F.substring_index("message_type", "_", 1).alias("kind"), name.alias("qname"), F.col(f"{side}_qtype").alias("qtype"), F.col(f"{side}_id").alias("qid"), F.coalesce("query_port", F.lit(0)).alias("port"), F.lit(i).alias("side"), F.col(f"{side}_time_ns").alias("t"), F.col("msg_id").alias("id")))
-    both = sides[0].unionByName(sides[1])
-    out = R.run_to_end(R.match_stream(both, ["kind", "qname", "qtype", "qid", "port"]))
+        m = table(spark, sf_dir, f"{side}_messages")
+        sides.append(m.select(F.substring_index("message_type", "_", 1).alias("kind"), name.alias("qname"), F.col(f"{side}_qtype").alias("qtype"), F.col(f"{side}_id").alias("qid"), F.coalesce("query_port", F.lit(0)).alias("port"), F.lit(i).alias("side"), F.col(f"{side}_time_ns").alias("t"), F.col("msg_id").alias("id"), "logged_at"))
+    end = {"kind": F.lit(""), "qname": F.lit(""), "qtype": F.lit(""), "qid": F.lit(0), "port": F.lit(0), "side": F.lit(2), "t": F.unix_micros(F.lit(_END).cast("timestamp")) * 1000, "id": F.lit(-1)}
+    both = R.arrivals(sides[0].unionByName(sides[1]), "logged_at", end)
+    out = R.run_to_end(R.match_stream(both, ["kind", "qname", "qtype", "qid", "port"], late="7 days"))
     return out.where("kind IN ('CLIENT', 'FORWARDER')").select("kind", "query_id", "response_id", F.col("took").alias("took_ns"))
 
 
-_LIST = (queue_pop, queue_complete, queue_members, queue_next_counters, queue_sample, stream_windows, stream_throttled, stream_match)
+def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups by type, each query_no once within 31 days of arrival, from a stream of several micro-batches, and for real ones only."""
+    q = table(spark, sf_dir, "matched_queries").select("query_no", "qtype", "logged_at", F.lit(False).alias("dummy"))
+    s = R.arrivals(q, "logged_at", {"query_no": F.lit(-1), "qtype": F.lit(""), "logged_at": F.lit(_END), "dummy": F.lit(True)})
+    return R.run_to_end(R.without_dummies(R.recent_distinct(s, "logged_at", ["query_no"], "31 days"), F.col("dummy")).select("query_no", "qtype")).groupBy("qtype").agg(F.count("*").alias("n"))
+
+
+_LIST = (queue_pop, queue_complete, queue_members, queue_next_counters, queue_sample, stream_windows, stream_sessions, stream_throttled, stream_match, stream_distinct)
 QUERIES = {f.__name__: f for f in _LIST}
 
 ORACLES = {
@@ -84,6 +97,12 @@ ORACLES = {
     "queue_next_counters": "SELECT c_custkey, count(o_orderkey) AS next_no FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1",
     "queue_sample": "SELECT o_custkey, count(*) AS orders FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer ORDER BY md5('0:' || c_custkey) LIMIT 400) GROUP BY 1",
     "stream_windows": "SELECT event_type, epoch_us(time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '2000-01-01')) AS from_us, count(*) AS n FROM events GROUP BY 1, 2",
+    "stream_sessions": """
+WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS fresh FROM events
+), n AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM s)
+SELECT user_id, epoch_us(min(ts)) AS from_us, count(*) AS n FROM n GROUP BY user_id, no
+""",
+    "stream_distinct": "SELECT qtype, count(*) AS n FROM (SELECT DISTINCT query_no, qtype FROM matched_queries) GROUP BY 1",
     "stream_throttled": TIMELINE_SQL["throttled"],
     "stream_match": TIMELINE_SQL["qr_match"],
 }

@@ -5,26 +5,40 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from seqloom.session import shared_dir
+from seqloom.session import scratch, shared_dir
 
 
-def run_to_end(stream: DataFrame, *, mode: str = "append") -> DataFrame:
-    """Run a stream over all its input so far and return what it wrote; output and progress lie in the shared folder."""
+def run_to_end(stream: DataFrame) -> DataFrame:
+    """Run a stream over all its input so far, in as many micro-batches as its source's limits ask for, and return what it appended; output and progress lie in the shared folder."""
     spark, base = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
-    if mode == "append":
-        q = stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start(f"{base}/out")
-    else:  # complete results replace those of the batch before
-        write = lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out")
-        q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
+    q = stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start(f"{base}/out")
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def arrivals(df: DataFrame, arrival: str, end: dict[str, Column], *, slices: int = 8) -> DataFrame:
+    """df as a stream that comes in the order of a TIMESTAMP column, one file a micro-batch: written slice by slice, each slice an equal part of the time, rows of no time last.
+
+    end: columns of one more row that comes after all others, the rest of it null. With a time far ahead it moves the watermark over all
+    that waits, so that a stream over a finished table gives its last results too.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    first, last = df.agg(F.min(arrival).cast("double"), F.max(arrival).cast("double")).first()
+    span = ((last or 0) - (first or 0)) / slices or 1.0
+    number = F.coalesce(F.least(F.floor((F.col(arrival).cast("double") - F.lit(float(first or 0))) / span), F.lit(slices - 1)), F.lit(slices - 1))
+    for i in range(slices):
+        df.where(number == i).write.mode("append").parquet(path)
+    kinds = dict(df.dtypes)
+    spark.range(1).select(*(end.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in df.columns)).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def windowed_counts(stream: DataFrame, time: str, by: list[str], length: str, *, slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Counts per event-time window and group; rows later than `late` are dropped."""
     return stream.withWatermark(time, late).groupBy(F.window(time, length, slide or length), *by).agg(F.count("*").alias("n"))
@@ -45,43 +59,95 @@ def without_dummies(stream: DataFrame, is_dummy: Column) -> DataFrame:
     return stream.where(~F.coalesce(is_dummy, F.lit(False)))
 
 
-def match_stream(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, query_id, response_id, took of a stream of both sides: keys, side (0 query, 1 response), t, id BIGINT.
+class _Held:
+    """Rows of a key that wait until the watermark has passed them, as columns of 64-bit numbers; the time comes first."""
+
+    def __init__(self, state: GroupState, width: int) -> None:
+        self.columns = [np.array(x, np.int64) for x in state.get[:width]] if state.exists else [np.empty(0, np.int64)] * width
+
+    def add(self, chunks: Iterator[pd.DataFrame], names: list[str]) -> None:
+        for c in chunks:
+            self.columns = [np.concatenate([have, c[n].to_numpy(np.int64)]) for have, n in zip(self.columns, names)]
 
-    The state of a key is the query that waits: a later query replaces it, a response uses it up. Order within a
-    micro-batch is t, side, id; rows of later batches come after.
+    def ready(self, us: int, unit: int) -> list[np.ndarray]:
+        """The rows with a time up to the watermark, in order; they are held no longer. unit: how many of the time's units a microsecond has."""
+        done = self.columns[0] // unit <= us
+        out, self.columns = [c[done] for c in self.columns], [c[~done] for c in self.columns]
+        order = np.lexsort(out[::-1])
+        return [c[order] for c in out]
+
+
+def _ripe(stream: DataFrame, keys: list[str], time: str, per_us: int, columns: list[str], more: str, schema: str, process, late: str) -> DataFrame:
+    """Rows of each key handed to `process` in the order of their columns, once the watermark has passed them.
+
+    process(key, columns, state values or None) gives the rows to put out, the new state values (of the fields `more`), and until when (in microseconds) they matter, or None. A key without
+    rows that wait and values that matter has no state. Rows that come later than the watermark are dropped.
+    """
+    fields = [f.split()[0] for f in more.split(", ")]
+
+    def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = _Held(state, len(columns))
+        kept, until = (list(state.get[len(columns) : -1]), state.get[-1]) if state.exists else (None, None)
+        if not state.hasTimedOut:
+            held.add(chunks, columns)
+        us = state.getCurrentWatermarkMs() * 1000
+        out, kept, until = process(key, held.ready(us, per_us), kept, until)
+        if until is not None and until <= us:
+            kept = until = None
+        if len(held.columns[0]) or until is not None:
+            state.update((*(c.tolist() for c in held.columns), *(kept or [None] * len(fields)), until))
+            waits = [int(held.columns[0].min()) // per_us] if len(held.columns[0]) else []
+            next_us = min(waits + ([] if until is None else [until]))
+            state.setTimeoutTimestamp(max(next_us // 1000 + 1, us // 1000 + 1))
+        elif state.exists:
+            state.remove()
+        yield out
+
+    held = ", ".join(f"h{i} array<bigint>" for i in range(len(columns)))
+    at = F.timestamp_micros(F.expr(f"{time} div {per_us}"))
+    rows = stream.dropna(subset=[*keys, *columns]).withColumn("_at", at).withWatermark("_at", late)
+    return rows.groupBy(*keys).applyInPandasWithState(run, schema, f"{held}, {more}, until bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def match_stream(stream: DataFrame, keys: list[str], *, late: str = "1 hour", memory_us: int = 31 * 86_400_000_000) -> DataFrame:
+    """keys, query_id, response_id, took of a stream of both sides: keys, side (0 query, 1 response, others are passed over), t (nanoseconds), id BIGINT; rows with a null among them take no part.
+
+    Rows may come in any order up to `late`: they wait until the watermark has passed them, and are taken in the order of t, side, id; later ones are dropped, and so are repeated
+    deliveries of one that waits. The state of a key is what waits and the last query without a response, which a later query replaces, a response uses up, and
+    the watermark ends memory_us behind it.
     """
     kinds = dict(stream.dtypes)
 
-    def match(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        wait = state.get if state.exists else (None, None)
-        out = []
-        for r in pd.concat(chunks).sort_values(["t", "side", "id"]).itertuples():
-            if r.side == 0:
-                wait = (int(r.t), int(r.id))
-            elif wait[0] is not None:
-                out.append((*key, wait[1], int(r.id), int(r.t) - wait[0]))
-                wait = (None, None)
-        state.update(wait)
-        yield pd.DataFrame(out, columns=[*keys, "query_id", "response_id", "took"])
+    def match(key: tuple, rows: list[np.ndarray], kept: list | None, until: int | None):
+        t, side, id_ = ([np.r_[[k], r] if until is not None else r for k, r in zip((kept[0], 0, kept[1]) if until is not None else (0, 0, 0), rows)])
+        fresh = np.r_[True, (t[1:] != t[:-1]) | (side[1:] != side[:-1]) | (id_[1:] != id_[:-1])][: len(t)] & ((side == 0) | (side == 1))
+        t, side, id_ = t[fresh], side[fresh], id_[fresh]
+        at = 1 + np.flatnonzero((side[1:] == 1) & (side[:-1] == 0))
+        out = pd.DataFrame({k: [v] * len(at) for k, v in zip(keys, key)} | {"query_id": id_[at - 1], "response_id": id_[at], "took": t[at] - t[at - 1]})
+        if len(t) and side[-1] == 0:
+            return out, [int(t[-1]), int(id_[-1])], int(t[-1]) // 1000 + memory_us
+        return out, None, None
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", query_id bigint, response_id bigint, took bigint"
-    rows = stream.dropna(subset=[*keys, "side", "t", "id"])
-    return rows.groupBy(*keys).applyInPandasWithState(match, schema, "t bigint, id bigint", "append", GroupStateTimeout.NoTimeout)
+    return _ripe(stream, keys, "t", 1000, ["t", "side", "id"], "wt bigint, wid bigint", schema, match, late)
+
 
+def throttle_stream(stream: DataFrame, key: str, delta: int, *, late: str = "1 hour") -> DataFrame:
+    """key, id, sent of a stream of key, t (microseconds), id: each row goes out at its time or delta after the one before, whichever is later.
 
-def throttle_stream(stream: DataFrame, key: str, delta: int) -> DataFrame:
-    """key, id, sent of a stream of key, t, id: each row goes out at its time or delta after the one before, whichever is later."""
+    Rows may come in any order up to `late`; they wait until the watermark has passed them, and later ones are dropped, as are repeated deliveries of one that waits. The time of the last row is kept only until it can't hold back another.
+    """
     kind = dict(stream.dtypes)[key]
 
-    def send(k: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        out = []
-        for r in pd.concat(chunks).sort_values(["t", "id"]).itertuples():
-            last = int(r.t) if last is None else max(int(r.t), last + delta)
-            out.append((*k, int(r.id), last))
-        state.update((last,))
-        yield pd.DataFrame(out, columns=[key, "id", "sent"])
-
-    rows = stream.dropna(subset=[key, "t", "id"])
-    return rows.groupBy(key).applyInPandasWithState(send, f"{key} {kind}, id bigint, sent bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
+    def send(k: tuple, rows: list[np.ndarray], kept: list | None, until: int | None):
+        t, id_ = rows
+        fresh = np.r_[True, (t[1:] != t[:-1]) | (id_[1:] != id_[:-1])][: len(t)]
+        t, id_ = t[fresh], id_[fresh]
+        i = np.arange(len(t)) * delta
+        least = t if until is None or not len(t) else np.r_[max(t[0], kept[0] + delta), t[1:]]
+        sent = np.maximum.accumulate(least - i) + i
+        out = pd.DataFrame({key: [k[0]] * len(t), "id": id_, "sent": sent})
+        last = int(sent[-1]) if len(sent) else kept[0] if until is not None else None
+        return out, None if last is None else [last], None if last is None else last + delta
+
+    return _ripe(stream, [key], "t", 1, ["t", "id"], "last bigint", f"{key} {kind}, id bigint, sent bigint", send, late)
