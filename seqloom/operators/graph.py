@@ -8,30 +8,29 @@ from pyspark.sql import functions as F
 from seqloom.session import drop_table, materialize
 
 
-def closure(edges: DataFrame, *, max_rounds: int = 1000) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """All pairs (src, dst) with a path of one edge or more; null ends are left out, cycles give pairs (x, x).
 
     Semi-naive: each round extends only the pairs found in the round before, and keeps those that are new. The result is as large as
-    the reachability itself, so it suits graphs of bounded depth such as hierarchies.
+    the reachability itself, so it suits graphs of bounded depth such as hierarchies. It ends when a round finds nothing new, which is after the longest path at the latest.
     """
     edges = materialize(edges.select("src", "dst").dropna().distinct())
     rounds = [edges]
     step = edges.toDF("mid", "dst")
-    for _ in range(max_rounds):
+    while True:
         found = rounds[-1].toDF("src", "mid").join(step, "mid").select("src", "dst").distinct()
         for known in rounds:
             found = found.join(known, ["src", "dst"], "left_anti")
         found = materialize(found)
         if found.isEmpty():
             drop_table(found)
-            break
+            return _union(rounds)
         rounds.append(found)
         if len(rounds) > 8:  # few tables to compare with
             merged = materialize(_union(rounds[:-1]))
+            for r in rounds[1:-1]:  # the first holds the edges, which each round reads
+                drop_table(r)
             rounds = [merged, found]
-    else:
-        raise RuntimeError(f"not finished after {max_rounds} rounds")
-    return _union(rounds)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -53,7 +52,7 @@ def reaching(nodes: DataFrame, reach: DataFrame, root: str) -> DataFrame:
     return nodes.join(reach.where(F.col("dst") == root).select(F.col("src").alias("node")).distinct(), "node", "left_semi").unionByName(nodes.where(F.col("node") == root)).distinct()
 
 
-def merge_equal(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 100) -> DataFrame:
+def merge_equal(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Merge nodes of one domain that have the same successors, until nothing changes: node, merged.
 
     nodes: node (unique), domain. merged is the least node of those that became one. An edge within a merged node goes. Sets of successors are compared by
@@ -61,7 +60,7 @@ def merge_equal(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 100) ->
     """
     state = materialize(nodes.select("node", "domain", F.col("node").alias("merged")))
     base = materialize(edges.select("src", "dst").dropna().distinct())
-    for _ in range(max_rounds):
+    while True:  # each round but the last leaves fewer merged nodes
         to = state.select("node", "merged")
         e = base.join(to.toDF("src", "a"), "src").join(to.toDF("dst", "b"), "dst").where("a <> b").select("a", "b").distinct()
         sums = e.groupBy(F.col("a").alias("merged")).agg(F.count("*").alias("n"), F.sum(F.xxhash64("b").cast("decimal(38,0)")).alias("h1"), F.bit_xor(F.xxhash64("b", F.lit(1))).alias("h2"))
@@ -74,8 +73,8 @@ def merge_equal(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 100) ->
         drop_table(state)
         state = new
         if same:
+            drop_table(base)
             return state.select("node", "merged")
-    raise RuntimeError(f"not finished after {max_rounds} rounds")
 
 
 def resolve_labels(names: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -143,7 +142,7 @@ def _subset_picks(reps: DataFrame, edges: DataFrame) -> DataFrame:
     return inside.unionByName(empty).groupBy("a").agg(F.min(F.struct("n", "b"))["b"].alias("best"))
 
 
-def merge_subsets(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 100) -> DataFrame:
+def merge_subsets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Merge nodes of one domain with equal successors, and nodes into one of their domain whose successors they include, until nothing changes: node, merged.
 
     nodes: node (unique), domain; a null domain has only nodes with equal successors. Edges to a node that was merged lead to what it became, its own
@@ -152,7 +151,7 @@ def merge_subsets(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 100)
     state = materialize(nodes.select("node", F.col("node").alias("merged")))
     live = materialize(edges.select("src", "dst").dropna().where("src <> dst").distinct())
     reps = nodes.select("node", "domain")
-    for _ in range(max_rounds):
+    while True:  # each round but the last leaves fewer nodes
         same = merge_equal(reps, live).toDF("node", "to")
         live = _moved(live, same, keep_out=True)
         reps = materialize(same.where("node = to").select("node").join(nodes.select("node", "domain"), "node"))
@@ -164,7 +163,6 @@ def merge_subsets(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 100)
         if into.where("node <> to").isEmpty():
             return state
         reps = materialize(into.where("node = to").select("node").join(nodes.select("node", "domain"), "node"))
-    raise RuntimeError(f"not finished after {max_rounds} rounds")
 
 
 def _moved(edges: DataFrame, to: DataFrame, *, keep_out: bool) -> DataFrame:

@@ -35,13 +35,23 @@ def group_numbers(df: DataFrame, by: list[str], order: list[Column], name: str =
 
 def with_next(df: DataFrame, by: list[str], order: list[Column], columns: dict[str, str]) -> DataFrame:
     """df with columns of the row that follows in its group, under new names: columns maps a column to its new name. The last row of a group gets nulls; null keys make a group."""
-    part, here, after, *keys = fresh(df, "_part", "_here", "_after", *(f"_o{i}" for i in range(len(by) + len(order))))
+    return _with_neighbour(df, by, order, columns, prior=False)
+
+
+def with_prior(df: DataFrame, by: list[str], order: list[Column], columns: dict[str, str]) -> DataFrame:
+    """The same with columns of the row that comes before."""
+    return _with_neighbour(df, by, order, columns, prior=True)
+
+
+def _with_neighbour(df: DataFrame, by: list[str], order: list[Column], columns: dict[str, str], *, prior: bool) -> DataFrame:
+    part, here, over, *keys = fresh(df, "_part", "_here", "_over", *(f"_o{i}" for i in range(len(by) + len(order))))
     d = df.select("*", *(o.alias(k) for o, k in zip([*map(F.col, by), *order], keys)))
     cut = materialize(d.repartitionByRange(*keys).withColumn(part, F.spark_partition_id())).withColumn(here, F.struct(*by, *columns))
-    first = cut.groupBy(part).agg(F.min_by(here, F.struct(*keys)).alias(here))
-    first = first.select(part, F.lead(here).over(Window.orderBy(part)).alias(after))  # a row a range
-    d = cut.withColumn("_next", F.lead(here).over(Window.partitionBy(part).orderBy(*keys))).join(F.broadcast(first), part)
-    found = F.coalesce("_next", after)
+    edge, step = (F.max_by, F.lag) if prior else (F.min_by, F.lead)
+    edges = cut.groupBy(part).agg(edge(here, F.struct(*keys)).alias(here))
+    edges = edges.select(part, step(here).over(Window.orderBy(part)).alias(over))  # a row a range
+    d = cut.withColumn("_near", step(here).over(Window.partitionBy(part).orderBy(*keys))).join(F.broadcast(edges), part)
+    found = F.coalesce("_near", over)
     same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(found[c])
@@ -66,6 +76,22 @@ def running_sums(df: DataFrame, by: list[str], order: list[str], value: str, upt
     return d.select(*df.columns, (F.col(upto) + F.coalesce(base, F.lit(0))).alias(upto), F.coalesce(whole, total).alias(total))
 
 
+def running(df: DataFrame, by: list[str], order: list[str], value: Column, name: str, *, how: str = "sum") -> DataFrame:
+    """df with name, the sum or (how='max') the greatest of a value over the row and those before it in its group; null keys make a group, null values add nothing. As running_sums it works for groups longer than a range."""
+    part, own, base = fresh(df.withColumn(name, F.lit(0)), "_part", "_own", "_base")
+    fold = F.sum if how == "sum" else F.max
+    cut = materialize(df.withColumn(own, value).repartitionByRange(*by, *order).withColumn(part, F.spark_partition_id()))  # the ranges must stay as they are
+    group = Window.partitionBy(*by)
+    ends = cut.groupBy(part, *by).agg(fold(own).alias("_s")).withColumn("_n", F.count("*").over(group)).where("_n > 1")  # at most two rows a range
+    before = fold("_s").over(group.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(F.col(part).alias("_p"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), before.alias(base))
+    local = fold(own).over(Window.partitionBy(part, *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    d = cut.withColumn(name, local)
+    d = d.join(F.broadcast(ends), [d[part] == ends["_p"], *(d[c].eqNullSafe(ends[f"_k{i}"]) for i, c in enumerate(by))], "left")
+    both = F.coalesce(name, F.lit(0)) + F.coalesce(base, F.lit(0)) if how == "sum" else F.greatest(name, base)
+    return d.select(*df.columns, both.alias(name))
+
+
 def zip_rows(left: DataFrame, right: DataFrame, order_left: list[Column], order_right: list[Column]) -> DataFrame:
     """The rows of both tables side by side by their position; rows beyond the shorter table are left out. Column names must differ."""
     a, b = numbered(left, order_left, "_at"), numbered(right, order_right, "_at")

@@ -1,18 +1,22 @@
-"""Ordered analytics over events: matching, marked windows, gaps, bursts, peaks, directions."""
+"""Ordered analytics over events: matching, marked windows, gaps, bursts, peaks, directions.
+
+What goes by the order of a group's rows is built on `order`, so a group may have any number of rows. Windows that take histograms or days have few rows a group.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.operators.order import running, with_next, with_prior
+
 
 def between_markers(df: DataFrame, by: list[str], order: list[str], is_start: Column, is_end: Column) -> DataFrame:
-    """The rows of each group after the first start marker and before the first end marker that follows it; null flags are no markers."""
-    s, e = F.coalesce(is_start, F.lit(False)), F.coalesce(is_end, F.lit(False))
-    w = Window.partitionBy(*by).orderBy(*order)
-    d = df.withColumn("_in", F.max(s).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    d = d.where("_in").withColumn("_out", F.max(e).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return d.where("NOT _out").drop("_in", "_out")
+    """The rows of each group after the first start marker and before the first end marker that follows it; null flags are no markers. The order should be total."""
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    d = running(df.withColumn("_s", flag(is_start)), by, order, F.col("_s"), "_in")
+    d = d.where("_in > _s")
+    return running(d, by, order, flag(is_end), "_out").where("_out = 0").drop("_s", "_in", "_out")
 
 
 def match_responses(queries: DataFrame, responses: DataFrame, key: list[str]) -> DataFrame:
@@ -22,28 +26,29 @@ def match_responses(queries: DataFrame, responses: DataFrame, key: list[str]) ->
     response matches if the event just before it, queries before responses at one time, is a query.
     """
     both = queries.select(*key, "t", "id", F.lit(0).alias("side")).unionByName(responses.select(*key, "t", "id", F.lit(1).alias("side"))).dropna()
-    w = Window.partitionBy(*key).orderBy("t", "side", "id")
-    both = both.withColumn("q", F.lag(F.struct("side", "t", "id")).over(w)).where("side = 1 AND q.side = 0")
-    return both.select(*key, F.col("q.id").alias("query_id"), F.col("id").alias("response_id"), F.col("q.t").alias("start"), F.col("t").alias("end"))
+    both = with_next(both, key, [F.col("t"), F.col("side"), F.col("id")], {"side": "_side", "t": "end", "id": "response_id"}).where("side = 0 AND _side = 1")
+    return both.select(*key, F.col("id").alias("query_id"), "response_id", F.col("t").alias("start"), "end")
 
 
 def gaps(df: DataFrame, by: list[str], time: str, tie: str) -> DataFrame:
     """df with gap, the time since the row before in its group; null for the first."""
-    return df.withColumn("gap", F.col(time) - F.lag(time).over(Window.partitionBy(*by).orderBy(time, tie)))
+    d = with_prior(df, by, [F.col(time), F.col(tie)], {time: "_prior"})
+    return d.withColumn("gap", F.col(time) - F.col("_prior")).drop("_prior")
 
 
 def bursts(df: DataFrame, by: list[str], time: str, tie: str, within: int) -> DataFrame:
     """Runs of events at most `within` apart: by, burst (from 0), n, start, end."""
-    w = Window.partitionBy(*by).orderBy(time, tie)
-    d = gaps(df, by, time, tie).withColumn("burst", F.sum(F.when(F.col("gap") <= within, 0).otherwise(1)).over(w) - 1)
+    d = gaps(df.select(*by, time, tie), by, time, tie)
+    d = running(d, by, [time, tie], F.when(F.col("gap") <= within, 0).otherwise(1), "burst").withColumn("burst", F.col("burst") - 1)
     return d.groupBy(*by, "burst").agg(F.count("*").alias("n"), F.min(time).alias("start"), F.max(time).alias("end"))
 
 
 def direction_runs(df: DataFrame, by: list[str], order: list[str], direction: str) -> DataFrame:
     """Runs of rows of one direction: by, run (from 1), direction, n."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    d = df.withColumn("run", F.lag(direction).over(w)).withColumn("run", F.when(F.col("run").eqNullSafe(F.col(direction)), 0).otherwise(1))
-    return d.withColumn("run", F.sum("run").over(w)).groupBy(*by, "run", direction).agg(F.count("*").alias("n"))
+    columns = list(dict.fromkeys([*by, *order, direction]))
+    d = with_prior(df.select(*columns), by, [F.col(c) for c in order], {direction: "_prior"})
+    d = running(d, by, order, F.when(F.col("_prior").eqNullSafe(F.col(direction)), 0).otherwise(1), "run")
+    return d.groupBy(*by, "run", direction).agg(F.count("*").alias("n"))
 
 
 def peaks(histogram: DataFrame, by: list[str], value: str, count: str, reach: int = 50) -> DataFrame:
@@ -70,9 +75,9 @@ def trimmed_smooth(df: DataFrame, by: list[str], order: str, value: str, n: int,
 
 def throttle(df: DataFrame, by: list[str], time: str, tie: str, delta: int) -> DataFrame:
     """df with sent: the earliest time, at or after its own, at least delta after the row before was sent."""
-    w = Window.partitionBy(*by).orderBy(time, tie)
-    d = df.withColumn("_i", F.row_number().over(w))
-    return d.withColumn("sent", F.max(F.col(time) - F.col("_i") * delta).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("_i") * delta).drop("_i")
+    d = running(df, by, [time, tie], F.lit(1), "_i")
+    d = running(d, by, [time, tie], F.col(time) - F.col("_i") * delta, "_late", how="max")
+    return d.withColumn("sent", F.col("_late") + F.col("_i") * delta).drop("_i", "_late")
 
 
 def log_bucket(value: Column) -> Column:

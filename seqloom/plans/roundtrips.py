@@ -150,19 +150,26 @@ def source_crawl_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _log_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file, value: one browser log a trace. Its lookups are requests, every third one by the page itself, the parser, or a script whose caller has an inline script as its parent."""
+    """file, value: one browser log a trace. First come its page and two scripts; then each lookup is a request, with a referrer, by the parser, or by a script whose caller has an inline script as its parent."""
     q = lookups(spark, sf_dir).where("trace_id IS NOT NULL AND qname IS NOT NULL AND qname <> '' AND true_domain IS NOT NULL")
-    page = F.concat(F.lit("https://"), F.lower("true_domain"), F.lit("/"))
-    kind = F.get(F.array(F.lit("other"), F.lit("parser"), F.lit("script")), (F.col("query_no") % 3).cast("int"))
+    pages = q.groupBy("trace_id").agg(F.min(F.concat(F.lit("https://"), F.lower("true_domain"), F.lit("/"))).alias("page"))
+    page, kind = F.col("page"), F.get(F.array(F.lit("other"), F.lit("parser"), F.lit("script")), (F.col("query_no") % 3).cast("int"))
     frame = lambda url, script: F.struct(url.alias("url"), F.lit(script).alias("scriptId"))
-    stack = F.struct(F.array(frame(F.concat(page, F.lit("a.js")), "1")).alias("callFrames"), F.struct(F.array(frame(F.lit(""), "7")).alias("callFrames")).alias("parent"))
+    at = lambda name: F.concat(page, F.lit(name))
+
+    def sent(url: Column, initiator: Column, referrer: Column | None = None) -> Column:
+        asked = F.struct(url.alias("url"), *([] if referrer is None else [F.struct(referrer.alias("Referer")).alias("headers")]))
+        return F.to_json(F.struct(F.lit("Network.requestWillBeSent").alias("method"), F.struct(page.alias("documentURL"), asked.alias("request"), initiator.alias("initiator")).alias("params")))
+
+    stack = F.struct(F.array(frame(at("a.js"), "1")).alias("callFrames"), F.struct(F.array(frame(F.lit(""), "7")).alias("callFrames")).alias("parent"))
     initiator = F.struct(kind.alias("type"), F.when(kind == "parser", page).alias("url"), F.when(kind == "script", stack).alias("stack"))
-    sent = F.struct(F.lit("Network.requestWillBeSent").alias("method"), F.struct(page.alias("documentURL"), F.struct(F.concat(F.lit("https://"), F.col("qname"), F.lit("/")).alias("url")).alias("request"), initiator.alias("initiator")).alias("params"))
-    got = F.when(F.col("source") == "Forwarder", F.concat(F.lit(',{"method":"Network.responseReceived","params":{}},{"method":"Network.dataReceived","params":{}}'))).otherwise("")
-    rows = q.select("trace_id", F.concat(F.to_json(sent), got).alias("m"), page.alias("page"))
-    script = F.to_json(F.struct(F.lit("Debugger.scriptParsed").alias("method"), F.struct(F.lit("7").alias("scriptId"), F.lit("").alias("url"), F.struct(F.array(frame(F.concat(F.min("page"), F.lit("b.js")), "2")).alias("callFrames")).alias("stackTrace")).alias("params")))
-    g = rows.groupBy(F.col("trace_id").alias("file")).agg(F.collect_list("m").alias("l"), script.alias("s"))
-    return g.select("file", F.concat(F.lit("["), F.array_join(F.concat(F.array("s"), "l"), ","), F.lit("]")).alias("value"))
+    got = F.when(F.col("source") == "Forwarder", F.lit(',{"method":"Network.responseReceived","params":{}},{"method":"Network.dataReceived","params":{}}')).otherwise("")
+    rows = q.join(pages, "trace_id").select("trace_id", F.concat(sent(F.concat(F.lit("https://"), F.col("qname"), F.lit("/")), initiator, F.when(kind == "other", page)), got).alias("m"))
+    by = lambda k, url=None: F.struct(F.lit(k).alias("type"), *([] if url is None else [url.alias("url")]))
+    script = F.to_json(F.struct(F.lit("Debugger.scriptParsed").alias("method"), F.struct(F.lit("7").alias("scriptId"), F.lit("").alias("url"), F.struct(F.array(frame(at("b.js"), "2")).alias("callFrames")).alias("stackTrace")).alias("params")))
+    head = pages.select("trace_id", F.array(sent(page, by("other")), sent(at("a.js"), by("parser", page)), sent(at("b.js"), by("parser", page)), script).alias("head"))
+    g = rows.groupBy("trace_id").agg(F.collect_list("m").alias("l")).join(head, "trace_id")
+    return g.select(F.col("trace_id").alias("file"), F.concat(F.lit("["), F.array_join(F.concat("head", "l"), ","), F.lit("]")).alias("value"))
 
 
 def source_request_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,7 +239,7 @@ def _event_sql(side: str) -> str:
     return f"SELECT DISTINCT ON (msg_id) msg_id, nullif(tap_identity, '') AS identity, nullif(tap_version, '') AS version, message_type, query_address, response_address, query_port, {_WIRE.format('query_zone')} AS query_zone, {own}, {other} FROM {side}_messages WHERE msg_id IS NOT NULL AND message_type IS NOT NULL"
 
 
-_EDGE = """q AS (SELECT trace_id AS file, query_no % 3 AS kind, source, 'https://' || qname || '/' AS src, 'https://' || lower(true_domain) || '/' AS page FROM l WHERE trace_id IS NOT NULL AND qname IS NOT NULL AND qname <> '' AND true_domain IS NOT NULL)"""
+_EDGE = """q AS (SELECT trace_id AS file, query_no % 3 AS kind, source, 'https://' || qname || '/' AS src, min('https://' || lower(true_domain) || '/') OVER (PARTITION BY trace_id) AS page FROM l WHERE trace_id IS NOT NULL AND qname IS NOT NULL AND qname <> '' AND true_domain IS NOT NULL)"""
 
 ORACLES = {
     "source_events": f"SELECT row_number() OVER (ORDER BY msg_id) - 1 AS place, * EXCLUDE (msg_id) FROM ({_event_sql('query')} UNION ALL BY NAME {_event_sql('response')})",
@@ -258,9 +265,9 @@ WITH {_L}, q AS (SELECT qname, min(s) AS s FROM l WHERE qname LIKE '%.%' AND s I
 SELECT string_split(qname, '.')[-1] AS tld, count(*) AS pages, strftime(make_timestamp(min(s)), '%Y%m%d%H%M%S') AS first_stamp, min('https://' || qname || '/') AS first_url FROM q GROUP BY 1
 """,
     "source_request_edges": f"""
-WITH {_L}, {_EDGE}, p AS (SELECT file, min(page) AS page FROM q GROUP BY 1), e AS (
-  SELECT file, src, page AS dst FROM q WHERE kind < 2 UNION SELECT file, src, page || 'a.js' FROM q WHERE kind = 2 UNION SELECT file, src, p.page || 'b.js' FROM q JOIN p USING (file) WHERE kind = 2
-) SELECT file, src, dst FROM e WHERE src <> dst
+WITH {_L}, {_EDGE}, e AS (
+  SELECT file, page AS src, 'other' AS dst FROM q UNION SELECT file, page || unnest(['a.js', 'b.js']), page FROM q UNION SELECT file, src, CASE WHEN kind = 0 AND src = page THEN 'other' ELSE page END FROM q WHERE kind < 2 UNION SELECT file, src, page || unnest(['a.js', 'b.js']) FROM q WHERE kind = 2
+) SELECT DISTINCT file, src, dst FROM e WHERE src <> dst
 """,
     "source_log_reasons": f"WITH {_L}, {_EDGE} SELECT file, CASE WHEN NOT coalesce(bool_or(source = 'Forwarder'), false) THEN 'R009 No network response received.' END AS reason FROM q GROUP BY 1",
     "sink_graphml": f"""

@@ -156,7 +156,7 @@ def read_crawl_index(spark: SparkSession, path: str) -> DataFrame:
 
 # stacks stay JSON text, as their parents nest to any depth
 _LOG = """method string, params struct<requestId:string,documentURL:string,wallTime:double,scriptId:string,url:string,stackTrace:string,
-request:struct<url:string,headers:struct<Referer:string>>,redirectResponse:struct<url:string>,
+request:struct<url:string,headers:struct<Referer:string>>,redirectResponse:struct<url:string>,targetInfo:struct<type:string,url:string>,
 initiator:struct<type:string,url:string,stack:string>>"""
 
 
@@ -211,20 +211,38 @@ def script_urls(log: DataFrame) -> DataFrame:
         known = materialize(known.unionByName(step))
 
 
+#: The node that pages depend on.
+ROOT = "other"
+
+
 def request_edges(log: DataFrame) -> DataFrame:
-    """file, src, dst: requests and what they depend on: the page, a referrer, the parser's document, the scripts of the call stack and of all its parents, redirects.
+    """file, src, dst: what the requests, web sockets and pages of browser logs depend on.
 
-    A frame without a URL gives the URLs that its script depends on, see script_urls.
+    A page target and a request for the document itself depend on ROOT; another request without an initiator on the document, if it has a referrer; one by the parser
+    or a module script on the initiator's URL; one by a script on the frames of its stack and of all the stack's parents; and a redirected one on where it came from. A URL counts
+    if the log named it as a node up to that message. Where a frame's URL doesn't, as that of inline scripts, the URLs that its script depends on count instead, see script_urls.
     """
-    r = log.where("method = 'Network.requestWillBeSent'").select("file", F.col("params.request.url").alias("url"), F.col("params.initiator").alias("i"), F.col("params.documentURL").alias("page"), F.col("params.request.headers.Referer").alias("ref"), F.col("params.redirectResponse.url").alias("redirect"))
-    r = r.where("url IS NOT NULL").where(~ignored_url(F.col("url"))).withColumn("frames", _frames(F.when(F.col("i.type") == "script", F.col("i.stack"))))
-    r = materialize(r)
-    by_kind = F.when(F.col("i.type") == "script", F.col("frames.url")).when(F.col("i.type") == "parser", F.array("i.url")).otherwise(F.array(F.coalesce("ref", "page")))
-    dst = F.explode(F.array_distinct(F.array_compact(F.concat(by_kind, F.array("redirect")))))
-    e = r.select("file", F.col("url").alias("src"), dst.alias("dst"))
-    inline = r.select("file", F.col("url").alias("src"), F.explode("frames").alias("f")).where("f.url = ''").select("file", "src", F.col("f.scriptId").alias("script")).distinct()
-    e = e.unionByName(inline.join(script_urls(log), ["file", "script"]).select("file", "src", F.col("url").alias("dst")))
-    return e.where("dst <> '' AND src <> dst").where(~ignored_url(F.col("dst"))).distinct()
+    p, method = F.col("params"), F.col("method")
+    request, socket = method == "Network.requestWillBeSent", method == "Network.webSocketCreated"
+    page = (method == "Target.targetInfoChanged") & (p["targetInfo"]["type"] == "page")
+    url = F.when(request, p["request"]["url"]).when(socket, p["url"]).when(page, p["targetInfo"]["url"])
+    to = lambda u, script=None: F.struct(u.alias("url"), F.lit(script).cast("string").alias("script"))
+    kind, document = p["initiator"]["type"], p["documentURL"]
+    r = log.select("file", F.col("message_no").alias("no"), url.alias("url"), page.alias("page"), request.alias("request"), kind.alias("kind"), document.alias("document"), p["request"]["headers"]["Referer"].alias("referrer"), p["redirectResponse"]["url"].alias("redirect"), p["initiator"]["url"].alias("by"), p["initiator"]["stack"].alias("stack"))
+    r = r.where("url IS NOT NULL").where(~ignored_url(F.col("url"))).withColumn("frames", _frames(F.when(F.col("kind") == "script", F.col("stack"))))
+    alone = F.when(F.col("request") & (F.col("url") == F.col("document")), F.lit(ROOT)).when(F.col("request") & F.col("referrer").isNotNull(), F.col("document"))
+    one = F.when(F.col("page"), F.lit(ROOT)).when(F.col("kind") == "other", alone).when((F.col("kind") == "parser") | F.col("stack").isNull(), F.col("by"))
+    needs = F.concat(F.array(to(one), to(F.col("redirect"))), F.coalesce(F.transform("frames", lambda f: F.struct(f["url"].alias("url"), f["scriptId"].alias("script"))), F.array().cast("array<struct<url:string,script:string>>")))
+    r = materialize(r.select("file", "no", "url", F.filter(needs, lambda n: n["url"].isNotNull()).alias("needs")))
+    nodes = r.groupBy("file", F.col("url").alias("dst")).agg(F.min("no").alias("first"))
+    nodes = nodes.unionByName(r.select("file", F.lit(ROOT).alias("dst"), F.lit(-1).alias("first")).distinct())
+    d = r.select("file", "no", F.col("url").alias("src"), F.explode("needs").alias("n")).select("file", "no", "src", F.col("n.url").alias("dst"), "n.script").where(~ignored_url(F.col("dst")))
+    d = d.groupBy("file", "src", "dst", "script").agg(F.max("no").alias("no")).join(nodes, ["file", "dst"], "left").withColumn("known", F.coalesce(F.col("first") <= F.col("no"), F.lit(False)))
+    d = materialize(d)
+    by_script = d.where("NOT known AND script IS NOT NULL").select("file", "src", "script", "no").join(script_urls(log), ["file", "script"]).select("file", "src", "no", F.col("url").alias("dst"))
+    by_script = by_script.join(nodes, ["file", "dst"]).where("first <= no")
+    e = d.where("known").select("file", "src", "dst").unionByName(by_script.select("file", "src", "dst"))
+    return e.where("src <> dst").distinct()
 
 
 def log_reason(log: DataFrame) -> DataFrame:

@@ -104,14 +104,20 @@ def test_text(spark, tmp_path):
     assert [r.domain for r in X.read_ranked(spark, p("rank.csv"), 2).collect()] == ["a", "b"]
     Path(p("cdx")).write_text('com,a)/ 2018 {"url": "http://a.com/", "status": "200"}\nbroken\n')
     assert [tuple(r) for r in X.read_crawl_index(spark, p("cdx")).collect()] == [("com,a)/", "2018", "http://a.com/", 200)]
+    ask = lambda url, initiator, **more: {"method": "Network.requestWillBeSent", "params": {"documentURL": "http://p/", "request": {"url": url} | more, "initiator": initiator}}
     log = [
+        {"method": "Target.targetInfoChanged", "params": {"targetInfo": {"type": "page", "url": "http://t/"}}}, {"method": "Target.targetInfoChanged", "params": {"targetInfo": {"type": "worker", "url": "http://w/"}}},
+        ask("http://p/", {"type": "other"}), ask("http://p/early", {"type": "parser", "url": "http://p/a.js"}), ask("http://r/", {"type": "other"}), ask("http://p/icon", {"type": "other"}, headers={"Referer": "http://x/"}),
         {"method": "Network.requestWillBeSent", "params": {"documentURL": "http://p/", "request": {"url": "http://p/a.js"}, "initiator": {"type": "parser", "url": "http://p/"}}},
+        ask("http://p/c.js", {"type": "script", "url": "http://p/a.js"}), {"method": "Network.webSocketCreated", "params": {"url": "wss://s/", "initiator": {"type": "script", "stack": {"callFrames": [{"url": "http://p/a.js"}]}}}},
+        {"method": "Network.webSocketCreated", "params": {"url": "wss://o/", "initiator": {"type": "other"}}},
         {"method": "Network.requestWillBeSent", "params": {"documentURL": "http://p/", "request": {"url": "http://q/b"}, "redirectResponse": {"url": "http://r/"}, "initiator": {"type": "script", "stack": {"callFrames": [{"url": "http://p/a.js"}, {"url": ""}], "parent": {"callFrames": [{"url": "http://p/c.js"}]}}}}},
         {"method": "Network.requestWillBeSent", "params": {"request": {"url": "data:x"}, "initiator": {"type": "other"}}},
     ]
     Path(p("log.json")).write_text(json.dumps(log))
     d = X.read_browser_log(spark, p("log.json"))
-    assert {(r.src, r.dst) for r in X.request_edges(d).collect()} == {("http://p/a.js", "http://p/"), ("http://q/b", "http://p/a.js"), ("http://q/b", "http://p/c.js"), ("http://q/b", "http://r/")}
+    want = {("http://p/a.js", "http://p/"), ("http://q/b", "http://p/a.js"), ("http://q/b", "http://p/c.js"), ("http://q/b", "http://r/"), ("http://t/", "other"), ("http://p/", "other"), ("http://p/icon", "http://p/"), ("http://p/c.js", "http://p/a.js"), ("wss://s/", "http://p/a.js")}
+    assert {(r.src, r.dst) for r in X.request_edges(d).collect()} == want  # http://p/early names a URL that comes later, http://r/ has no referrer
     assert X.log_reason(d).collect()[0].reason.startswith("R009")
     nodes = spark.createDataFrame([("a&b", "x<y"), ("c", None)], "node string, domain string")
     X.write_graphml(nodes, spark.createDataFrame([("a&b", "c")], "src string, dst string"), p("g"))
@@ -124,15 +130,16 @@ def test_edges_of_deep_stacks_and_inline_scripts(spark, tmp_path):
     stack = lambda *levels: {"callFrames": [frame(*x) for x in levels[0]]} | ({"parent": stack(*levels[1:])} if levels[1:] else {})
     parsed = lambda script, url, s, kind="scriptParsed": {"method": f"Debugger.{kind}", "params": {"scriptId": script, "url": url} | ({"stackTrace": s} if s else {})}
     request = lambda url, s: {"method": "Network.requestWillBeSent", "params": {"documentURL": "http://p/", "request": {"url": url}, "initiator": {"type": "script", "stack": s}}}
-    log = [
+    seen = lambda *urls: [{"method": "Target.targetInfoChanged", "params": {"targetInfo": {"type": "page", "url": u}}} for u in urls]
+    log = seen(*(f"http://p/{x}.js" for x in (1, 2, 3, 5, *(f"d{i}" for i in range(5))))) + [
         parsed("1", "", stack([("http://p/1.js", "9")], [], [("http://p/2.js", "8")])), parsed("2", "", stack([("", "1")], [("http://p/3.js", "7")]), "scriptFailedToParse"),
         parsed("3", "", stack([("", "2"), ("", "3")])), parsed("4", "", None), parsed("5", "extensions::x", stack([("http://p/5.js", "6")])),
         request("http://q/deep", stack(*[[(f"http://p/d{i}.js", "9")] for i in range(5)])), request("http://q/inline", stack([("", "3")])), request("http://q/none", stack([("", "4"), ("", "5"), ("", "77")])), request("http://q/late", stack([], [], [("", "1")])),
     ]
     (tmp_path / "a.json").write_text(json.dumps(log))
     # ids of scripts count within their own log
-    (tmp_path / "b.json").write_text(json.dumps([parsed("3", "", stack([("http://o/", "1")])), request("http://q/other", stack([("", "3")]))]))
-    got = {(r.src[9:], r.dst) for r in X.request_edges(X.read_browser_log(spark, str(tmp_path))).collect()}
+    (tmp_path / "b.json").write_text(json.dumps(seen("http://o/") + [parsed("3", "", stack([("http://o/", "1")])), request("http://q/other", stack([("", "3")]))]))
+    got = {(r.src[9:], r.dst) for r in X.request_edges(X.read_browser_log(spark, str(tmp_path))).collect() if r.dst != "other"}
     want = {("deep", f"http://p/d{i}.js") for i in range(5)} | {("inline", f"http://p/{i}.js") for i in (1, 2, 3)} | {("late", "http://p/1.js"), ("late", "http://p/2.js"), ("other", "http://o/")}
     assert got == want
 
