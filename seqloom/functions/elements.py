@@ -143,3 +143,9 @@ def normalised(distance: Column, a: Column, b: Column) -> Column:
 def ngrams(elements: Column, n: int) -> Column:
     """All runs of n neighbouring elements."""
     return F.when(F.size(elements) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(elements) - n + 1, F.lit(1))), lambda i: F.slice(elements, i, n))).otherwise(F.array().cast(f"array<{ELEMENTS}>"))
+
+
+def padded_vectors(elements: Column, length: int) -> Column:
+    """vectors cut to, or filled up behind with (0, 0) to, a length."""
+    rest = F.greatest(F.lit(length) - F.size(elements), F.lit(0))
+    return F.concat(F.slice(vectors(elements), 1, length), F.array_repeat(F.array(F.lit(0), F.lit(0)), rest))

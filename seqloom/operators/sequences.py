@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.functions.elements import gap_element, gap_value, size_element
+from seqloom.functions.elements import gap_element, gap_value, padded_vectors, size_element
+from seqloom.operators.order import numbered
 
 
 def build_sequences(events: DataFrame, key: str, time_us: str, size: str, tie: str, *, base_us: int = 1000, mode: str = "log2", simulate: str = "none", block: int = 468) -> DataFrame:
@@ -28,3 +29,14 @@ def build_sequences(events: DataFrame, key: str, time_us: str, size: str, tie: s
     rows = rows.select(key, "t", "o", F.array_compact(F.array(*(made[p] for p in parts))).alias("e"))
     out = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("t", "o", "e"))).alias("l"))
     return out.select(key, F.flatten("l.e").alias("elems")).where("size(elems) > 0")
+
+
+def training_rows(df: DataFrame, label: str, shard: str, first_validation: int, *, length: int) -> DataFrame:
+    """df with vectors, label_no and is_validation: what a model is trained on.
+
+    df: elems, label, shard INT. vectors has `length` pairs (size, gap), filled up with (0, 0); label_no is the label's place in the order of all labels, which are numbered
+    by ranges, not by one task; rows of shards from first_validation on are for validation. Rows with a null label, shard or elems are left out.
+    """
+    d = df.where(F.col(label).isNotNull() & F.col(shard).isNotNull() & F.col("elems").isNotNull())
+    labels = numbered(d.select(label).distinct(), [F.col(label)], "label_no")
+    return d.withColumn("vectors", padded_vectors(F.col("elems"), length)).withColumn("is_validation", F.col(shard) >= first_validation).join(labels, label)

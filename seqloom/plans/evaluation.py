@@ -78,6 +78,22 @@ def reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("k", "reason").agg(F.count("*").alias("n"), F.count_if(F.col("quality") >= 3).alias("good"), F.round(100 * F.count_if(F.col("quality") >= 3) / F.count("*"), 6).alias("percent"))
 
 
+def threshold_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results that thresholds are drawn from: of k = 1 and 7, neither right nor with a known reason, and not of the labels that most wrong votes name; by k and label, with their least distance."""
+    wrong = _votes(spark, sf_dir).where("name <> mapped_domain").groupBy("name").agg(F.count("*").alias("n"))
+    denied = wrong.orderBy(F.desc("n"), "name").limit(5).select(F.col("name").alias("mapped_domain"))
+    r = results(spark, sf_dir).where("k IN (1, 7) AND reason IS NULL").where(~S.is_good(F.col("quality"))).join(F.broadcast(denied), "mapped_domain", "left_anti")  # five rows
+    least = F.array_min(F.transform("options", lambda o: F.trim(o["distance_min_norm"]).try_cast("decimal(20,6)")))
+    return r.select("k", "mapped_domain", least.alias("d")).groupBy("k", "mapped_domain").agg(F.count("*").alias("n"), F.min("d").cast("double").alias("least"))
+
+
+def confusion_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The confusion matrix by the labels' numbers; `www.` names count as the name without."""
+    m = confusion_matrix(spark, sf_dir).select(F.regexp_replace("mapped_domain", r"^www\.", "").alias("truth"), F.regexp_replace("predicted", r"^www\.", "").alias("predicted"), "n")
+    d = S.indexed_labels(m, "truth", "predicted")
+    return d.groupBy("truth_no", "predicted_no").agg(F.sum("n").alias("n"), F.min("truth").alias("truth"))
+
+
 def search_set(df: DataFrame, key: str) -> DataFrame:
     """The rows that are searched for: those whose number, from the first digits of the key's MD5, is divisible by 50."""
     return df.where(F.conv(F.substring(F.md5(F.col(key)), 1, 8), 16, 10).cast("bigint") % 50 == 0)
@@ -130,7 +146,7 @@ def folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("mapped_domain", "fold").agg(F.count("*").alias("n"), F.min("seq_id").alias("first_seq"))
 
 
-QUERIES = {f.__name__: f for f in (result_quality, stats_grouping_sets, stats_table, stats_at_least, wrong_vote_distances, threshold_table, confusion_matrix, latest_result, reason_counts, knn_neighbours, knn_quality, knn_quality_threshold, cross_validated, consecutive_distances, folds)}
+QUERIES = {f.__name__: f for f in (result_quality, stats_grouping_sets, stats_table, stats_at_least, wrong_vote_distances, threshold_table, confusion_matrix, confusion_indexed, threshold_candidates, latest_result, reason_counts, knn_neighbours, knn_quality, knn_quality_threshold, cross_validated, consecutive_distances, folds)}
 
 _Q = """
 m AS (SELECT DISTINCT ON (record_id) * FROM misclassifications
@@ -215,6 +231,17 @@ SELECT k, p::INT AS percent, norm FROM r, range(0, 101, 5) t(p) WHERE i = least(
 WITH {_Q}{_V}, b AS (SELECT record_id, mapped_domain, arg_min(name, (-votes, name)) AS predicted FROM v WHERE name IS NOT NULL AND mapped_domain IS NOT NULL AND votes IS NOT NULL GROUP BY 1, 2
 ), c AS (SELECT mapped_domain, predicted, count(*) AS n FROM b GROUP BY 1, 2)
 SELECT *, round(100 * n / sum(n) OVER (PARTITION BY mapped_domain), 6) AS percent FROM c
+""",
+    "threshold_candidates": f"""
+WITH {_Q}{_V}, w AS (SELECT name FROM v WHERE name <> mapped_domain GROUP BY 1 ORDER BY count(*) DESC, name LIMIT 5
+), r AS (SELECT k, mapped_domain, list_min(list_transform(opts, lambda o: try_cast(trim(o.distance_min_norm) AS DECIMAL(20, 6)))) AS d FROM q WHERE k IN (1, 7) AND reason IS NULL AND quality < 3 AND (mapped_domain IS NULL OR mapped_domain NOT IN (SELECT name FROM w)))
+SELECT k, mapped_domain, count(*) AS n, min(d)::DOUBLE AS least FROM r GROUP BY 1, 2
+""",
+    "confusion_indexed": f"""
+WITH {_Q}{_V}, b AS (SELECT record_id, mapped_domain, arg_min(name, (-votes, name)) AS predicted FROM v WHERE name IS NOT NULL AND mapped_domain IS NOT NULL AND votes IS NOT NULL GROUP BY 1, 2
+), c AS (SELECT regexp_replace(mapped_domain, '^www\\.', '') AS truth, regexp_replace(predicted, '^www\\.', '') AS predicted FROM b
+), n AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS no FROM (SELECT truth AS label FROM c UNION SELECT predicted FROM c))
+SELECT a.no AS truth_no, b.no AS predicted_no, count(*) AS n, min(truth) AS truth FROM c JOIN n a ON a.label = truth JOIN n b ON b.label = c.predicted GROUP BY 1, 2
 """,
     "latest_result": "SELECT seq_path, max(record_id) AS record_id, arg_max(label, record_id) AS label, coalesce(arg_max_null(reason, record_id), 'none') AS reason FROM misclassifications WHERE k = 1 AND seq_path IS NOT NULL GROUP BY seq_path",
     "reason_counts": f"WITH {_Q} SELECT k, reason, count(*) AS n, count(*) FILTER (quality >= 3) AS good, round(100 * count(*) FILTER (quality >= 3) / count(*), 6) AS percent FROM q WHERE reason IS NOT NULL GROUP BY 1, 2",

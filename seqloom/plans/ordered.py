@@ -102,6 +102,20 @@ def flow_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("msg_id", "query_address", "day", W.dns_payload(F.col("message_length")).alias("payload"))
 
 
+def flow_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The server's answers in one connection a trace: both sides change the cipher, markers frame the trace's lookups, each lookup a client's record and the server's; sizes of the messages in them. Traces whose id has an even length are of the newer version."""
+    q = lookups(spark, sf_dir).where("trace_id IS NOT NULL AND t IS NOT NULL AND response_size IS NOT NULL")
+    record = lambda no, sub, kind, size, srv: F.struct(no.cast("bigint").alias("no"), F.lit(sub).alias("sub"), F.lit(kind).alias("message_type"), size.cast("int").alias("message_length"), F.lit(srv).alias("srv"))
+    data, change = "ApplicationData", "ChangeCipherSpec"
+    first, last = F.lit(-(1 << 62)), F.lit(1 << 62)
+    frame = F.array(record(first, 0, change, F.lit(1), True), record(first, 1, change, F.lit(1), False), record(first, 2, data, F.lit(500), True), record(first, 3, data, F.lit(200), False), record(first, 4, data, F.lit(508), True), record(last, 0, data, F.lit(508), True), record(last, 1, data, F.lit(400), False), record(last, 2, data, F.lit(508), True))
+    own = F.array(record(F.col("t"), 0, data, F.lit(128), False), record(F.col("t"), 1, data, F.col("response_size") + W.RECORD_OVERHEAD, True))
+    marks = q.select("trace_id").distinct().select("trace_id", F.lit(-1).cast("bigint").alias("query_no"), F.explode(frame).alias("r"))
+    rows = marks.unionByName(q.select("trace_id", "query_no", F.explode(own).alias("r"))).select("trace_id", "query_no", "r.*")
+    d = W.resolver_answers(rows, ["trace_id"], ["no", "query_no", "sub"], F.col("srv"), tls13=F.length("trace_id") % 2 == 0)
+    return d.select("trace_id", "query_no", W.dns_payload(F.col("message_length")).alias("payload"))
+
+
 def tap_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each client's capture lacks, with DS and DNSKEY messages as its markers."""
     m = _messages(spark, sf_dir).where("query_address IS NOT NULL")
@@ -127,7 +141,7 @@ def first_seen_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.groupBy("qname").agg(F.min(F.struct("s", "query_no")).alias("f")).select("qname", F.col("f.s").alias("first_us"), F.col("f.query_no").alias("query_no"))
 
 
-_LIST = (name_shards, shard_names, next_group_ids, zipped_records, trimmed_sizes, largest_responses, sizes_p95, event_boxes, flow_servers, flow_answers, tap_problems, trace_problems, stale_traces, first_seen_names)
+_LIST = (name_shards, shard_names, next_group_ids, zipped_records, trimmed_sizes, largest_responses, sizes_p95, event_boxes, flow_servers, flow_answers, flow_sessions, tap_problems, trace_problems, stale_traces, first_seen_names)
 QUERIES = {f.__name__: f for f in _LIST}
 
 _I = rf"""{_M}, i0 AS (SELECT DISTINCT array_to_string(list_reverse(string_split(true_domain, '.')), ',') AS key FROM matched_queries WHERE true_domain IS NOT NULL
@@ -176,6 +190,7 @@ WITH {_MSG}, r AS (SELECT query_address AS f, t // 86400000000000 AS day, t, msg
 ), g AS (SELECT *, row_number() OVER (PARTITION BY f, day ORDER BY t DESC, msg_id DESC) AS j FROM e WHERE i > 1 AND (NOT starts_with(f, '2001:') OR size >= 128))
 SELECT msg_id, f AS query_address, day, greatest(size - 40, 0) AS payload FROM g WHERE k5 IS NULL OR j > 1
 """,
+    "flow_sessions": f"WITH {_L} SELECT trace_id, query_no, response_size AS payload FROM l WHERE trace_id IS NOT NULL AND t IS NOT NULL AND response_size IS NOT NULL AND (length(trace_id) % 2 = 1 OR response_size + 40 >= 128)",
     "tap_problems": f"""
 WITH {_MSG}, g AS (SELECT query_address, {_ONE('CLIENT_QUERY', 'DS')} AS qs, {_ONE('CLIENT_QUERY', 'DNSKEY')} AS qe, {_ONE('CLIENT_RESPONSE', 'DS')} AS rs, {_ONE('CLIENT_RESPONSE', 'DNSKEY')} AS re FROM msg WHERE query_address IS NOT NULL GROUP BY 1)
 SELECT query_address, CASE WHEN qs = 0 THEN '0 start queries' WHEN qe <> 1 THEN qe || ' end queries' WHEN rs <> 1 THEN rs || ' start responses' WHEN re <> 1 THEN re || ' end responses' END AS problem FROM g

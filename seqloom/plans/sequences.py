@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import elements as E
 from seqloom.operators.order import with_next
-from seqloom.operators.sequences import build_sequences
+from seqloom.operators.sequences import build_sequences, training_rows
 from seqloom.session import table
 
 TEXT = lambda c: F.array_join(E.codes(c), " ")
@@ -53,6 +53,17 @@ def seq_tail_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("seq_id", E.tail_distance(F.col("elems"), F.col("other")).cast("bigint").alias("tail_distance"), E.substitute_cost(a, b).cast("bigint").alias("substitute"), E.insert_cost(a).cast("bigint").alias("inserted"))
 
 
+#: The length that training rows are filled up to, and the first shard for validation.
+ROW_LENGTH, FIRST_VALIDATION = 24, 8
+
+
+def seq_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences as rows for training: padded vectors as text, the label's number, and whether they are for validation, by the last digit of their run."""
+    shard = F.regexp_extract("seq_id", r"(\d)-\d+$", 1).try_cast("int")
+    d = training_rows(labelled(spark, sf_dir).withColumn("shard", shard), "mapped_domain", "shard", FIRST_VALIDATION, length=ROW_LENGTH)
+    return d.select("seq_id", F.array_join(F.transform("vectors", lambda v: F.array_join(v.cast("array<string>"), ":")), " ").alias("vectors"), "label_no", "is_validation")
+
+
 def ngram_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each sequence the mean corpus-wide probability of its elements, pairs and triples."""
     s = labelled(spark, sf_dir)
@@ -79,7 +90,7 @@ def pad_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "seq_build_log2": _build(), "seq_build_ident": _build(mode="ident"), "seq_perfect_padding": _build(simulate="perfect_padding"), "seq_perfect_timing": _build(simulate="perfect_timing"), "seq_build_wide_gap": _build(base_us=50_000),
-    "seq_features": seq_features, "seq_vectors": seq_vectors, "seq_tail_distance": seq_tail_distance, "ngram_probability": ngram_probability, "pad_sizes": pad_sizes,
+    "seq_features": seq_features, "seq_vectors": seq_vectors, "seq_training_rows": seq_training_rows, "seq_tail_distance": seq_tail_distance, "ngram_probability": ngram_probability, "pad_sizes": pad_sizes,
 }
 
 
@@ -122,6 +133,11 @@ WITH {LABELLED_SQL}
 SELECT seq_id, array_to_string(list_transform(e, lambda x: CASE WHEN x.k = 'S' THEN x.v || ':0' ELSE '0:' || x.v END), ' ') AS vectors,
   CASE WHEN len(list_filter(e, lambda x: x.k = 'S' AND x.v >= 16)) = 0 THEN array_to_string(list_transform(e, lambda x: CASE WHEN x.k = 'G' THEN x.v || repeat('0', 15) ELSE repeat('0', x.v) || '1' || repeat('0', 15 - x.v) END), '') END AS one_hot
 FROM labelled
+""",
+    "seq_training_rows": rf"""
+WITH {LABELLED_SQL}, d AS (SELECT *, try_cast(regexp_extract(seq_id, '(\d)-\d+$', 1) AS INT) AS shard FROM labelled WHERE mapped_domain IS NOT NULL
+), n AS (SELECT mapped_domain, row_number() OVER (ORDER BY mapped_domain) - 1 AS label_no FROM (SELECT DISTINCT mapped_domain FROM d WHERE shard IS NOT NULL))
+SELECT seq_id, array_to_string(list_transform(range(1, {ROW_LENGTH + 1}), lambda i: CASE WHEN i > len(e) THEN '0:0' WHEN e[i].k = 'S' THEN e[i].v || ':0' ELSE '0:' || e[i].v END), ' ') AS vectors, label_no, shard >= {FIRST_VALIDATION} AS is_validation FROM d JOIN n USING (mapped_domain) WHERE shard IS NOT NULL
 """,
     "seq_tail_distance": f"""
 WITH {LABELLED_SQL}, p AS (SELECT seq_id, e, lead(e) OVER (PARTITION BY true_domain ORDER BY seq_id) AS o FROM labelled WHERE true_domain IS NOT NULL)

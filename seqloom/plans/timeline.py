@@ -47,6 +47,20 @@ def gap_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.groupBy("ms", "log2", "root2").agg(F.count("*").alias("n"))
 
 
+def gap_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By type, how many lookups took 27 to 29 and 67 to 108 ms."""
+    q = lookups(spark, sf_dir).where("s IS NOT NULL AND t IS NOT NULL").withColumn("took", F.col("t") - F.col("s"))
+    short, long_ = F.col("took").between(27_000, 29_000), F.col("took").between(67_000, 108_000)
+    return q.where(short | long_).groupBy("qtype").agg(F.count_if(short).alias("short"), F.count_if(long_).alias("long"))
+
+
+def port_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of a tap by direction, up for queries and down for responses, of those with a registered port, and their sizes."""
+    sides = [table(spark, sf_dir, f"{s}_messages").dropDuplicates(["msg_id"]).select("tap_identity", "query_port", F.lit(d).alias("direction"), F.col(f"{s}_size").alias("size")) for s, d in (("query", "up"), ("response", "down"))]
+    m = sides[0].unionByName(sides[1]).where("query_port BETWEEN 1024 AND 49151 AND size > 0")
+    return m.groupBy("tap_identity", "direction").agg(F.count("*").alias("n"), F.sum("size").cast("bigint").alias("bytes"))
+
+
 def gap_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peaks of the histogram of the hours between a user's events."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
@@ -163,7 +177,7 @@ def stack_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("percent", p).select("day", "event_type", F.round("percent", 6).alias("percent"), F.round(F.coalesce(F.sum("percent").over(w.orderBy("event_type").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), 6).alias("below"))
 
 
-_LIST = (qr_match, noise_free, marked_windows, gap_histogram, gap_peaks, burst_lengths, direction_features, size_spread, domain_sizes, size_entropy, size_cdf, type_seats, daily_filled, smoothed_days, throttled, relative_times, request_counts, trace_request_lists, common_names, overhead, stack_heights)
+_LIST = (qr_match, noise_free, marked_windows, gap_histogram, gap_ranges, port_directions, gap_peaks, burst_lengths, direction_features, size_spread, domain_sizes, size_entropy, size_cdf, type_seats, daily_filled, smoothed_days, throttled, relative_times, request_counts, trace_request_lists, common_names, overhead, stack_heights)
 QUERIES = {f.__name__: f for f in _LIST}
 
 _L = r"""l AS (SELECT DISTINCT ON (query_no) query_no, trace_id, true_domain, source, regexp_replace(lower(qname), '\.$', '') AS qname, qtype, epoch_us(start_time) AS s, epoch_us(end_time) AS t, query_size, response_size FROM matched_queries)"""
@@ -195,6 +209,8 @@ WITH {_L}, g AS (SELECT t - lag(t) OVER (PARTITION BY trace_id ORDER BY t, query
 SELECT gap // 1000 * 1000 AS ms, CASE WHEN gap > 0 THEN length(bin(gap)) ELSE 0 END::INT AS log2, CASE WHEN gap > 0 THEN 2 * (length(bin(gap)) - 1) + CASE WHEN gap::HUGEINT * gap >= (1::HUGEINT << (2 * length(bin(gap)) - 1)::INT) THEN 1 ELSE 0 END ELSE 0 END::INT AS root2, count(*) AS n
 FROM g WHERE gap IS NOT NULL GROUP BY 1, 2, 3
 """,
+    "gap_ranges": f"WITH {_L} SELECT qtype, count(*) FILTER (t - s BETWEEN 27000 AND 29000) AS short, count(*) FILTER (t - s BETWEEN 67000 AND 108000) AS long FROM l WHERE t - s BETWEEN 27000 AND 29000 OR t - s BETWEEN 67000 AND 108000 GROUP BY 1",
+    "port_directions": "SELECT tap_identity, direction, count(*) AS n, sum(size)::BIGINT AS bytes FROM (SELECT DISTINCT ON (msg_id) tap_identity, query_port, 'up' AS direction, query_size AS size FROM query_messages UNION ALL SELECT DISTINCT ON (msg_id) tap_identity, query_port, 'down', response_size FROM response_messages) WHERE query_port BETWEEN 1024 AND 49151 AND size > 0 GROUP BY 1, 2",
     "gap_peaks": """
 WITH g AS (SELECT event_type, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events
 ), h AS (SELECT event_type, gap // 900000000 AS quarter, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY 1, 2
