@@ -73,10 +73,9 @@ def reverse_cumulative(df: DataFrame, by: list[str], order: str, value: str) ->
 
 
 def cumulative_share(counts: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
-    """df with running, the sum up to each row, and share, its part of the group's sum."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
-    return counts.withColumn("running", F.sum(value).over(w)).withColumn("share", F.round(F.col("running") / F.sum(value).over(whole), 9))
+    """df with running, the sum up to each row, and share, its part of the group's sum; a group may have any number of rows."""
+    d = running_sums(counts, by, [order], value, "running", "_total")
+    return d.withColumn("share", F.round(F.col("running") / F.col("_total"), 9)).drop("_total")
 
 
 def seats(counts: DataFrame, by: list[str], party: str, votes: str, n: int) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.operators.order import running, with_next, with_prior
+from seqloom.operators.order import running, running_sums, with_next, with_prior
 
 
 def between_markers(df: DataFrame, by: list[str], order: list[str], is_start: Column, is_end: Column) -> DataFrame:
@@ -61,8 +61,8 @@ def peaks(histogram: DataFrame, by: list[str], value: str, count: str, reach: in
 
 def sampled_points(cumulative: DataFrame, by: list[str], order: str, steps: int) -> DataFrame:
     """About `steps` rows of each group at even distances, and its last row."""
-    d = cumulative.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
-    return d.where((F.col("_i") % F.greatest(F.lit(1), F.expr(f"_n div {steps - 1}")) == 0) | (F.col("_i") == F.col("_n") - 1)).drop("_i", "_n")
+    d = running_sums(cumulative.withColumn("_one", F.lit(1)), by, [order], "_one", "_i", "_n")
+    return d.where(((F.col("_i") - 1) % F.greatest(F.lit(1), F.expr(f"_n div {steps - 1}")) == 0) | (F.col("_i") == F.col("_n"))).drop("_one", "_i", "_n")
 
 
 def trimmed_smooth(df: DataFrame, by: list[str], order: str, value: str, n: int, drop: int = 2) -> DataFrame:

@@ -223,6 +223,12 @@ SELECT {_READABLE} AS quality, round((a + b) / 2, 6) AS mean, round(abs(a - b) /
     "dep_merged_nodes": f"""
 WITH a AS ({NAMES_SQL['dep_merge']}), {_L}, s AS (SELECT qname AS node, min(s) AS s, count(*) AS c FROM l WHERE qname IS NOT NULL AND qname <> '' AND true_domain IS NOT NULL GROUP BY 1)
 SELECT merged, min(s) AS first_us, coalesce(sum(c), 0)::BIGINT AS lookups, count(*) AS nodes FROM a LEFT JOIN s USING (node) GROUP BY 1
+""",
+    "dep_subset_merge": f"""
+WITH {_L}, g AS (SELECT DISTINCT qname AS src, true_domain AS site FROM l WHERE qname IS NOT NULL AND qname <> '' AND true_domain IS NOT NULL
+), sets AS (SELECT src, any_value(CASE WHEN len(string_split(src, '.')) > 1 THEN array_to_string(string_split(src, '.')[-2:], '.') ELSE src END) AS domain, list(site) AS s, count(*) AS n FROM g GROUP BY 1)
+SELECT a.src AS node, arg_min(b.src, (b.n, b.src)) AS merged FROM sets a JOIN sets b USING (domain) WHERE list_has_all(a.s, b.s) GROUP BY 1
+UNION ALL SELECT DISTINCT 'site:' || site, 'site:' || site FROM g
 """,
     "paired_files": r"""
 WITH p AS (SELECT DISTINCT seq_path, regexp_replace(split_part(seq_path, '/', -1), '(\.dnstap)?(\.json)?(\.xz)?$', '') AS stem FROM misclassifications WHERE seq_path IS NOT NULL)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seqloom.operators import order as O
 from seqloom.operators import stats as S
 from seqloom.operators import timeline as T
-from seqloom.session import table
+from seqloom.session import materialize, table
 
 
 def lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,11 +134,13 @@ def throttled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def relative_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each lookup the time since its trace began, since the lookup before it ended, and its name's number by first sight."""
-    q = lookups(spark, sf_dir).where("trace_id IS NOT NULL AND s IS NOT NULL AND t IS NOT NULL AND qname IS NOT NULL")
-    w = Window.partitionBy("trace_id")
-    first = F.min(F.struct("s", "query_no")).over(Window.partitionBy("trace_id", "qname"))
-    q = q.withColumn("first", first)
-    return q.select("query_no", (F.col("s") - F.min("s").over(w)).alias("since_start"), (F.col("s") - F.lag("t").over(w.orderBy("s", "query_no"))).alias("since_prior"), (-F.dense_rank().over(w.orderBy("first"))).alias("name_no"))
+    q = lookups(spark, sf_dir).where("trace_id IS NOT NULL AND s IS NOT NULL AND t IS NOT NULL AND qname IS NOT NULL").select("query_no", "trace_id", "qname", "s", "t")
+    q = materialize(O.with_prior(q, ["trace_id"], [F.col("s"), F.col("query_no")], {"t": "prior"}))
+    names = q.groupBy("trace_id", "qname").agg(F.min(F.struct("s", "query_no")).alias("first"))
+    names = O.group_numbers(names, ["trace_id"], [F.col("first")], "no").select("trace_id", "qname", "no")
+    began = q.groupBy("trace_id").agg(F.min("s").alias("began"))
+    d = q.join(names, ["trace_id", "qname"]).join(began, "trace_id")
+    return d.select("query_no", (F.col("s") - F.col("began")).alias("since_start"), (F.col("s") - F.col("prior")).alias("since_prior"), (-F.col("no") - 1).cast("int").alias("name_no"))
 
 
 def request_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.operators.order import group_numbers
+
 # Fixed values of the frame format: a zero length announces a control frame, whose first word is its kind.
 CONTROL, START, STOP, CONTENT_TYPE_FIELD = 0, 2, 3, 1
 DNSTAP_CONTENT_TYPE = b"protobuf:dnstap.Dnstap"
@@ -368,8 +370,6 @@ def decode_captures(files: DataFrame, *, permissive: bool = False) -> DataFrame:
 
 def labelled_files(spark: SparkSession, path: str, ending: str) -> DataFrame:
     """path, label, ordinal of the files below path with the ending: the label is the file's folder, the ordinal its position there."""
-    from pyspark.sql import Window
-
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{ending}").load(path).select("path")
     d = files.withColumn("label", F.element_at(F.split("path", "/"), -2))
-    return d.withColumn("ordinal", F.row_number().over(Window.partitionBy("label").orderBy("path")) - 1)
+    return group_numbers(d, ["label"], [F.col("path")], "ordinal").withColumn("ordinal", F.col("ordinal").cast("int"))
