@@ -136,7 +136,7 @@ def label_documents(df: DataFrame, doc_id: str, text: str, cells: str, common: l
     words = frozenset(w.lower() for w in common if w)
     kept = df.where(F.col(f"`{cells}`").isNotNull() & F.col(f"`{doc_id}`").isNotNull())
     part = min(1.0, rows / max(kept.count(), 1))
-    kept = kept.where(F.pmod(F.xxhash64(F.col(f"`{doc_id}`")), F.lit(1 << 30)) < int(part * (1 << 30)) + 1).limit(2 * rows)
+    kept = kept.where(F.pmod(F.xxhash64(F.col(f"`{doc_id}`")), F.lit(1 << 30)) < int(part * (1 << 30)) + 1).limit(2 * rows).repartition(16)  # limit leaves one task
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
