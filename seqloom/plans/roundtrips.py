@@ -13,13 +13,16 @@ from seqloom.functions import names as N
 from seqloom.operators import order as O
 from seqloom.plans.evaluation import _Q, stats_table
 from seqloom.plans.evaluation import ORACLES as EVALUATION_SQL
-from seqloom.plans.sequences import _TXT, LABELLED_SQL, labelled
+from seqloom.operators.sequences import build_sequences
+from seqloom.plans.sequences import _TXT, LABELLED_SQL, labelled, sequence_sql, traces
+from seqloom.plans.sequences import ORACLES as SEQUENCES_SQL
 from seqloom.plans.timeline import _L, lookups
 from seqloom.plans.timeline import ORACLES as TIMELINE_SQL
 from seqloom.plans.timeline import gap_histogram
 from seqloom.session import scratch, table
 from seqloom.sources import frames as B
 from seqloom.sources import text as X
+from seqloom.sources.load import load_sequences, timed_messages
 
 #: Messages that one packed file holds.
 FILE_ROWS = 1000
@@ -182,6 +185,53 @@ def source_log_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.log_reason(X.browser_messages(_log_texts(spark, sf_dir)))
 
 
+def _folders(spark: SparkSession, sf_dir: str) -> str:
+    """A folder for each domain with a packed file of timed messages for each of its traces."""
+    t = traces(spark, sf_dir).where("response_size >= 1 AND t IS NOT NULL AND trace_id IS NOT NULL")
+    labels = t.groupBy("trace_id").agg(F.coalesce(F.min("true_domain"), F.lit("_")).alias("label"))
+    d = X.timed_texts(t, "trace_id", "t", "response_size", "query_no").join(labels, "trace_id")
+    path = scratch(spark)
+    B.write_files(d.select(F.concat_ws("/", "label", F.concat("trace_id", F.lit(".json.xz"))).alias("path"), F.encode("value", "UTF-8").alias("content")), path)
+    return path
+
+
+def source_timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences built from packed files of timed messages, one a trace."""
+    m = timed_messages(spark, _folders(spark, sf_dir), "json").withColumn("trace_id", F.regexp_extract("path", r"([^/]*)\.json\.xz$", 1))
+    s = build_sequences(m, "trace_id", "time_us", "size", "tie")
+    return s.select("trace_id", F.array_join(E.codes(F.col("elems")), " ").alias("sequence"))
+
+
+def source_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of such folders by label, with their place in it."""
+    d = B.labelled_files(spark, _folders(spark, sf_dir), ".json.xz")
+    return d.select("label", F.regexp_extract("path", r"([^/]*)\.json\.xz$", 1).alias("trace_id"), "ordinal")
+
+
+def source_event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages as event files, one a tap and day of arrival, and the forwarder's sequences loaded from them."""
+    m = []
+    for side in _SIDES:
+        t = table(spark, sf_dir, f"{side}_messages").dropDuplicates(["msg_id"]).where(f"{side}_id IS NOT NULL AND {side}_qname IS NOT NULL AND {side}_qtype IS NOT NULL AND {side}_time_ns IS NOT NULL AND tap_identity IS NOT NULL AND message_type LIKE 'FORWARDER%'")
+        m.append(t.select("tap_identity", F.col("logged_at").cast("date").alias("day"), "msg_id", "message_type", "query_port", *(f"{side}_{c}" for c in ("time_ns", "qname", "qtype", "id", "size"))))
+    rows = m[0].unionByName(m[1], allowMissingColumns=True)
+
+    def make(t: pa.Table) -> pa.Table:
+        r = sorted(t.to_pylist(), key=lambda x: x["msg_id"])
+        return pa.table({"path": [f"{r[0]['tap_identity']}/{r[0]['day']}.dnstap"], "content": pa.array([B.frame_stream([B.encode_event(x) for x in r])], pa.binary())})
+
+    path = scratch(spark)
+    B.write_files(rows.groupBy("tap_identity", "day").applyInArrow(make, "path string, content binary"), path)
+    s = load_sequences(spark, path, "dnstap")
+    return s.select(F.regexp_extract("seq_id", r"([^/]*/[^/]*)\.dnstap$", 1).alias("file"), F.array_join(E.codes(F.col("elems")), " ").alias("sequence"))
+
+
+def event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each message in the order of its response's or else its query's time."""
+    e = _events(spark, sf_dir).select("msg_id", F.coalesce("response_time_ns", "query_time_ns").alias("t")).where("t IS NOT NULL")
+    return O.numbered(e, [F.col("t"), F.col("msg_id")], "place").select("msg_id", "place")
+
+
 def sink_graphml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graph of names and sites as a GraphML document, and its nodes and edges read from the lines."""
     q = lookups(spark, sf_dir).where("qname IS NOT NULL AND qname <> '' AND true_domain IS NOT NULL").select("qname", F.concat(F.lit("site:"), "true_domain").alias("site")).distinct()
@@ -224,7 +274,7 @@ def fixed_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where("value IS NOT NULL").groupBy(N.fixed_text(F.col("value") / 7).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-_LIST = (source_events, source_dns_streams, source_captures, source_sequences, source_labelled, source_label_lists, source_results, source_ranked, source_crawl_index, source_request_edges, source_log_reasons, sink_graphml, sink_counters, sink_statistics, host_ports, fixed_buckets)
+_LIST = (source_events, source_dns_streams, source_captures, source_sequences, source_labelled, source_label_lists, source_results, source_ranked, source_crawl_index, source_request_edges, source_log_reasons, source_timed, source_folders, source_event_files, event_order, sink_graphml, sink_counters, sink_statistics, host_ports, fixed_buckets)
 QUERIES = {f.__name__: f for f in _LIST}
 
 _WIRE = "CASE WHEN {0} IS NULL THEN NULL WHEN rtrim(lower({0}), '.') = '' THEN '.' ELSE array_to_string(list_filter(string_split(lower({0}), '.'), lambda x: x <> ''), '.') || '.' END"
@@ -270,6 +320,19 @@ WITH {_L}, {_EDGE}, e AS (
 ) SELECT DISTINCT file, src, dst FROM e WHERE src <> dst
 """,
     "source_log_reasons": f"WITH {_L}, {_EDGE} SELECT file, CASE WHEN NOT coalesce(bool_or(source = 'Forwarder'), false) THEN 'R009 No network response received.' END AS reason FROM q GROUP BY 1",
+    "source_timed": SEQUENCES_SQL["seq_build_log2"],
+    "source_folders": """
+WITH e AS (SELECT DISTINCT ON (query_no) trace_id, true_domain FROM matched_queries WHERE source = 'Forwarder' AND trace_id IS NOT NULL AND end_time IS NOT NULL AND response_size >= 1
+), t AS (SELECT trace_id, coalesce(min(true_domain), '_') AS label FROM e GROUP BY 1)
+SELECT label, trace_id, (row_number() OVER (PARTITION BY label ORDER BY trace_id || '.json.xz') - 1)::INT AS ordinal FROM t
+""",
+    "source_event_files": f"""
+WITH m AS ({" UNION ALL ".join(f"SELECT DISTINCT ON (msg_id) tap_identity || '/' || logged_at::DATE AS file, msg_id AS id, {_WIRE.format(f'{s}_qname')} AS n, {s}_qtype AS ty, {s}_id AS qid, coalesce(query_port, 0) AS port, {s}_time_ns AS ns, {i} AS side, greatest({_LEAST.format(f'{s}_qname')}, coalesce({s}_size, 0)) AS s FROM {s}_messages WHERE tap_identity IS NOT NULL AND message_type LIKE 'FORWARDER%' AND {s}_id IS NOT NULL AND {s}_qname IS NOT NULL AND {s}_qtype IS NOT NULL AND {s}_time_ns IS NOT NULL AND message_type LIKE '%{s.upper()}'" for i, s in enumerate(_SIDES))}
+), w AS (SELECT *, lag(side) OVER (PARTITION BY file, n, ty, qid, port ORDER BY ns, side, id) AS before FROM m
+), e AS (SELECT file, ns // 1000 AS t, s, id AS query_no FROM w WHERE side = 1 AND before = 0)
+{sequence_sql("e", "file")}
+""",
+    "event_order": "SELECT msg_id, row_number() OVER (ORDER BY t, msg_id) - 1 AS place FROM (SELECT DISTINCT ON (msg_id) msg_id, query_time_ns AS t FROM query_messages WHERE message_type IS NOT NULL UNION ALL SELECT DISTINCT ON (msg_id) msg_id, response_time_ns FROM response_messages WHERE message_type IS NOT NULL) WHERE t IS NOT NULL AND msg_id IS NOT NULL",
     "sink_graphml": f"""
 WITH {_L}, q AS (SELECT DISTINCT qname, 'site:' || true_domain AS site FROM l WHERE qname IS NOT NULL AND qname <> '' AND true_domain IS NOT NULL)
 SELECT DISTINCT qname AS node, 'name' AS what FROM q UNION ALL SELECT DISTINCT site, 'site' FROM q UNION ALL SELECT qname, site FROM q

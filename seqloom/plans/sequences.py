@@ -94,21 +94,26 @@ QUERIES = {
 }
 
 
-def _build_sql(base: int = 1000, mode: str = "log2", simulate: str = "none") -> str:
+def sequence_sql(events: str, key: str, base: int = 1000, mode: str = "log2", simulate: str = "none") -> str:
+    """The rest of a WITH clause, behind a table of events (key, query_no, t, s), and the query for the sequences of each key."""
     value = "length(bin(n)) - 1" if mode == "log2" else "n % 65536"
     gap = "CASE WHEN gap IS NULL THEN NULL ELSE printf('G%02d', coalesce(v, 0)) END" if simulate == "perfect_padding" else "printf('G%02d', v)"
     size = "printf('S%02d', ((s + 467) // 468) % 256)"
     part = {"none": f"concat_ws(' ', CASE WHEN v IS NOT NULL THEN {gap} END, {size})", "perfect_padding": gap, "perfect_timing": size}[simulate]
-    return f"""
-WITH e AS (SELECT DISTINCT trace_id, query_no, epoch_us(end_time) AS t, response_size AS s FROM matched_queries WHERE source = 'Forwarder' AND trace_id IS NOT NULL AND end_time IS NOT NULL AND response_size >= 1
-), g AS (SELECT *, t - lag(t) OVER (PARTITION BY trace_id ORDER BY t, query_no) AS gap FROM e
+    return f""", g AS (SELECT *, t - lag(t) OVER (PARTITION BY {key} ORDER BY t, query_no) AS gap FROM {events}
 ), n AS (SELECT *, CASE WHEN gap > {base} THEN (gap + {base - 1}) // {base} - 1 END AS n FROM g
 ), v AS (SELECT *, nullif({value}, 0)::INT AS v FROM n
-), p AS (SELECT trace_id, string_agg({part}, ' ' ORDER BY t, query_no) AS sequence FROM v GROUP BY 1)
+), p AS (SELECT {key}, string_agg({part}, ' ' ORDER BY t, query_no) AS sequence FROM v GROUP BY 1)
 SELECT * FROM p WHERE sequence IS NOT NULL AND sequence <> ''
 """
 
 
+def _build_sql(base: int = 1000, mode: str = "log2", simulate: str = "none") -> str:
+    return f"""
+WITH e AS (SELECT DISTINCT trace_id, query_no, epoch_us(end_time) AS t, response_size AS s FROM matched_queries WHERE source = 'Forwarder' AND trace_id IS NOT NULL AND end_time IS NOT NULL AND response_size >= 1)
+{sequence_sql("e", "trace_id", base, mode, simulate)}"""
+
+
 LABELLED_SQL = r"""
 raw AS (SELECT DISTINCT ON (seq_id) seq_id, true_domain, mapped_domain, list_transform(list_filter(codes, lambda c: c IS NOT NULL), lambda c: upper(trim(c))) AS c FROM labelled_sequences WHERE seq_id IS NOT NULL AND codes IS NOT NULL
 ), labelled AS (

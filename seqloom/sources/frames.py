@@ -215,6 +215,29 @@ def decode_event(frame: bytes) -> dict | None:
         return None
 
 
+def write_files(files: DataFrame, base: str) -> int:
+    """Write rows of path (relative), content BINARY as files below base, a folder that all executors share, and return how many; content for a path ending in .xz is packed.
+
+    Each task writes its own rows; one that runs again writes the same files again.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(base)
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                folder, _, _ = f"{root}/{name}".rpartition("/")
+                system.create_dir(folder, recursive=True)
+                with system.open_output_stream(f"{root}/{name}", compression=None) as out:
+                    out.write(lzma.compress(data) if name.endswith(".xz") else data)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    uri = base if "://" in base else f"file://{base}"
+    base = uri
+    return files.select("path", "content").where("path IS NOT NULL AND content IS NOT NULL").mapInArrow(write, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def read_events(spark: SparkSession, path: str, *, permissive: bool = False) -> DataFrame:
     """DNS events of frame files below path, packed with xz or not, see decode_events."""
     return decode_events(contents(spark, path), permissive=permissive)

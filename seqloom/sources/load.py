@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from seqloom.operators.flows import dns_payload, resolver_answers, server_endpoint
 from seqloom.operators.sequences import build_sequences
 from seqloom.operators.timeline import match_responses
-from seqloom.sources.frames import read_events, read_tls_records
-from seqloom.sources.text import read_sequences
+from seqloom.session import materialize
+from seqloom.sources.frames import contents, read_events, read_tls_records
+from seqloom.sources.text import read_sequences, timed_rows
 
 KINDS = ("dnstap", "pcap", "json")
 
@@ -22,10 +23,10 @@ def kind_of(path: str) -> str:
 
 
 def timed_messages(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """path, time_us, size, tie: the forwarder's answers in event logs, or the resolver's answers in packet captures."""
+    """path, time_us, size, tie: the forwarder's answers in event logs, the resolver's answers in packet captures, or what JSON of timed messages holds."""
     kind = kind or kind_of(path)
     if kind == "dnstap":
-        e = read_events(spark, path, permissive=True).where("message_type LIKE 'FORWARDER%'")
+        e = materialize(read_events(spark, path, permissive=True).where("message_type LIKE 'FORWARDER%'"))  # three look-ups follow
         sides = [e.where(F.col("message_type").endswith(s.upper())).select("path", F.lower(f"{s}_qname").alias("qname"), F.col(f"{s}_qtype").alias("qtype"), F.col(f"{s}_id").alias("qid"), F.coalesce("query_port", F.lit(0)).alias("port"), F.col(f"{s}_time_ns").alias("t"), F.col("frame_no").alias("id")) for s in ("query", "response")]
         sizes = e.where("response_size IS NOT NULL").select("path", F.col("frame_no").alias("response_id"), F.col("response_size").alias("size"))
         m = match_responses(*sides, ["path", "qname", "qtype", "qid", "port"]).join(sizes, ["path", "response_id"])
@@ -37,6 +38,8 @@ def timed_messages(spark: SparkSession, path: str, kind: str | None = None) -> D
         d = d.withColumn("flow", F.when(F.col("srv"), F.concat_ws(":", "receiver", "receiver_port")).otherwise(F.concat_ws(":", "sender", "sender_port")))
         a = resolver_answers(d, ["path", "flow"], ["record_no"], F.col("srv"), tls13=F.col("tls13"))
         return a.select("path", "time_us", dns_payload(F.col("message_length")).alias("size"), F.col("record_no").alias("tie"))
+    if kind == "json":
+        return timed_rows(contents(spark, path)).where("NOT is_dummy").select("path", "time_us", "size", "tie")
     raise ValueError(f"{kind} files hold no timed messages")
 
 

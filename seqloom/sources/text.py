@@ -32,6 +32,25 @@ def write_sequences(df: DataFrame, path: str) -> None:
     df.where("seq_id IS NOT NULL AND elems IS NOT NULL").select(F.to_json(F.create_map("seq_id", codes(F.col("elems")))).alias("value")).write.text(path)
 
 
+_TIMED = "array<struct<time:string,size:int,is_dummy_event:boolean>>"
+
+
+def timed_texts(df: DataFrame, key: str, time_us: str, size: str, tie: str) -> DataFrame:
+    """key, value: the JSON text `[[{time, size, is_dummy_event}, ...], id]` of each key's messages in the order of time and tie; rows with a null among them are left out."""
+    at = F.date_format(F.timestamp_micros(F.col(time_us)), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    d = df.dropna(subset=[key, time_us, size]).select(key, F.struct(F.col(time_us).alias("t"), F.col(tie).alias("o"), F.struct(at.alias("time"), F.col(size).cast("int").alias("size"), F.lit(False).alias("is_dummy_event")).alias("e")).alias("m"))
+    g = d.groupBy(key).agg(F.sort_array(F.collect_list("m")).alias("l"))
+    name = F.substr(F.to_json(F.array(key)), F.lit(2))  # a text in JSON, with the bracket behind it
+    return g.select(key, F.concat(F.lit("["), F.to_json(F.col("l.e")), F.lit(","), name).alias("value"))
+
+
+def timed_rows(texts: DataFrame) -> DataFrame:
+    """path, seq_id, time_us, size, tie, is_dummy of such texts given as path, content; tie is a message's place in its text."""
+    parts = F.from_json(F.col("content").cast("string"), "array<string>")
+    d = texts.select("path", F.get(parts, F.lit(1)).alias("seq_id"), F.posexplode(F.from_json(F.get(parts, F.lit(0)), _TIMED)).alias("tie", "e"))
+    return d.select("path", "seq_id", F.unix_micros(F.col("e.time").try_cast("timestamp_ntz").cast("timestamp")).alias("time_us"), F.col("e.size").alias("size"), "tie", F.coalesce("e.is_dummy_event", F.lit(False)).alias("is_dummy"))
+
+
 def write_labelled(df: DataFrame, path: str) -> None:
     """Lines of JSON objects {true_domain, mapped_domain, sequences: {id: [code, ...]}}, one a sequence, from seq_id, true_domain, mapped_domain, elems."""
     d = df.where("seq_id IS NOT NULL AND elems IS NOT NULL")
