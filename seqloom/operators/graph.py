@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from seqloom.session import drop_table, materialize
 
 
-def closure(edges: DataFrame) -> DataFrame:
+def closure(edges: DataFrame, *, most: int | None = None) -> DataFrame:
     """All pairs (src, dst) with a path of one edge or more; null ends are left out, cycles give pairs (x, x).
 
     Semi-naive: each round extends only the pairs found in the round before, and keeps those that are new. The result is as large as
     the reachability itself, so it suits graphs of bounded depth such as hierarchies. It ends when a round finds nothing new, which is after the longest path at the latest.
+    most: if given, a closure of more pairs ends in an error as soon as a round shows it, before it fills the disk.
     """
     edges = materialize(edges.select("src", "dst").dropna().distinct())
     rounds = [edges]
@@ -26,6 +27,8 @@ def closure(edges: DataFrame) -> DataFrame:
             drop_table(found)
             return _union(rounds)
         rounds.append(found)
+        if most is not None and sum(r.count() for r in rounds) > most:
+            raise ValueError(f"more than {most} pairs are reachable")
         if len(rounds) > 8:  # few tables to compare with
             merged = materialize(_union(rounds[:-1]))
             for r in rounds[1:-1]:  # the first holds the edges, which each round reads

@@ -21,6 +21,12 @@ def queue_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.complete_groups(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linenumber")
 
 
+def queue_complete_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of orders that are complete, and how many they are."""
+    g = Q.complete_groups(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linenumber")
+    return table(spark, sf_dir, "lineitem").join(g, "l_orderkey").select("l_orderkey", "l_linenumber", F.col("n").alias("lines"))
+
+
 def queue_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each line that an order's greatest line number calls for, with rising priorities over all orders."""
     g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("size"))
@@ -87,12 +93,13 @@ def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.run_to_end(R.without_dummies(R.recent_distinct(s, "logged_at", ["query_no"], "31 days"), F.col("dummy")).select("query_no", "qtype")).groupBy("qtype").agg(F.count("*").alias("n"))
 
 
-_LIST = (queue_pop, queue_complete, queue_members, queue_next_counters, queue_sample, stream_windows, stream_sessions, stream_throttled, stream_match, stream_distinct)
+_LIST = (queue_pop, queue_complete, queue_complete_tasks, queue_members, queue_next_counters, queue_sample, stream_windows, stream_sessions, stream_throttled, stream_match, stream_distinct)
 QUERIES = {f.__name__: f for f in _LIST}
 
 ORACLES = {
     "queue_pop": "SELECT o_custkey, arg_min(o_orderkey, (o_orderpriority, o_orderkey)) AS o_orderkey, min(o_orderpriority) AS o_orderpriority FROM orders GROUP BY 1",
     "queue_complete": "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) = max(l_linenumber)",
+    "queue_complete_tasks": "SELECT l_orderkey, l_linenumber, g.n AS lines FROM lineitem JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) = max(l_linenumber)) g USING (l_orderkey)",
     "queue_members": "WITH g AS (SELECT l_orderkey, max(l_linenumber) AS size FROM lineitem GROUP BY 1), s AS (SELECT *, coalesce(sum(size) OVER (ORDER BY l_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM g) SELECT l_orderkey, m::INT AS member, (b + m)::BIGINT AS priority FROM (SELECT *, unnest(range(0, size)) AS m FROM s)",
     "queue_next_counters": "SELECT c_custkey, count(o_orderkey) AS next_no FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1",
     "queue_sample": "SELECT o_custkey, count(*) AS orders FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer ORDER BY md5('0:' || c_custkey) LIMIT 400) GROUP BY 1",

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import elements as E
@@ -73,7 +74,9 @@ def test_graph(spark):
     assert {(int(r.src), int(r.dst)) for r in G.closure(df).collect()} == reach
     assert G.closure(df.limit(0)).collect() == []
     chain = spark.createDataFrame([(f"{i:02d}", f"{i + 1:02d}") for i in range(14)], "src string, dst string")
-    assert G.closure(chain).count() == 14 * 15 // 2
+    assert G.closure(chain).count() == G.closure(chain, most=105).count() == 14 * 15 // 2
+    with pytest.raises(ValueError, match="more than 50"):
+        G.closure(chain, most=50)
     dag = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("a", "d")], "src string, dst string")
     assert {tuple(r) for r in G.reduction(dag, G.closure(dag)).collect()} == {("a", "b"), ("b", "c"), ("c", "d")}
     nodes = spark.createDataFrame([("a", "d"), ("b", "d"), ("c", "e"), ("p", "q"), ("r", "q")], "node string, domain string")
