@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from seqloom.session import drop_table, materialize
 
+#: A mixture has no more sources than this; the plan, a row a source, is broadcast.
+MOST_SOURCES = 100_000
 #: Rows of a range, of which each source sorts one.
 BUCKET_ROWS = 50_000
 
@@ -48,7 +50,9 @@ def mix_sources(items: DataFrame, targets: DataFrame, *, total: int | None = Non
     the weights; sizes are summed by range with partial aggregation, and only the range in which a source's budget ends is sorted. So a hot source is never one task's work.
     """
     items = items.select("id", "source", F.col("size").cast("long").alias("size"), F.coalesce("weight", F.lit(1.0)).alias("weight")).where("id IS NOT NULL AND source IS NOT NULL AND size IS NOT NULL")
-    listed = [r for r in targets.select("source", "target_share", "max_repeats").where("source IS NOT NULL").dropDuplicates(["source"]).collect()]
+    listed = targets.select("source", "target_share", "max_repeats").where("source IS NOT NULL").dropDuplicates(["source"]).limit(MOST_SOURCES + 1).collect()
+    if len(listed) > MOST_SOURCES:  # the driver allots the total to the sources
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     names = [r.source for r in listed]
     spark = items.sparkSession
     items = items.join(F.broadcast(spark.createDataFrame([(s,) for s in names], "source string")), "source")  # a row a source

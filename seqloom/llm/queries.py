@@ -128,9 +128,14 @@ def p8_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The list of common words is a fixed table; a longer one is an error.
+MOST_WORDS = 100_000
+
+
 def _statistics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    # the list of common words is a fixed table
-    common = [r.word for r in table(spark, sf_dir, "common_words").select("word").where("word IS NOT NULL").distinct().collect()]
+    common = [r.word for r in table(spark, sf_dir, "common_words").select("word").where("word IS NOT NULL").distinct().limit(MOST_WORDS + 1).collect()]
+    if len(common) > MOST_WORDS:  # every task gets the list
+        raise ValueError(f"more than {MOST_WORDS} common words")
     return quality_statistics(table(spark, sf_dir, "documents"), "doc_id", "text", common), common
 
 
