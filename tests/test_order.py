@@ -1,3 +1,4 @@
+import pytest
 import random
 
 from pyspark.sql import functions as F
@@ -114,3 +115,44 @@ def test_group_distances(spark):
                 want.add((i, label, len(d), sum(d) // len(d), d[len(d) // 2]))
     assert {tuple(r) for r in group_distances(q, df, blocks=3).collect()} == want
     assert group_distances(q.limit(0), df).collect() == []
+
+
+def test_running_and_neighbours_of_hot_groups(spark):
+    """One group longer than all ranges, ties, nulls in keys and values."""
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot"] * 9 + ["a", "b", None]), i // 3, i, rng.choice([None, rng.randrange(-5, 9)])) for i in range(900)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, o int, i int, v int")
+    by = {}
+    for r in sorted(rows, key=lambda r: (r[1], r[2])):
+        by.setdefault(r[0], []).append(r)
+    sums, most, prior, totals = {}, {}, {}, {}
+    for k, rs in by.items():
+        for n, r in enumerate(rs):
+            seen = [x[3] for x in rs[: n + 1] if x[3] is not None]
+            sums[r[2]], most[r[2]], prior[r[2]] = sum(seen), max(seen, default=None), rs[n - 1][2] if n else None
+            totals[r[2]] = sum(x[3] for x in rs if x[3] is not None)
+    assert {r.i: r.s for r in O.running(df, ["k"], ["o", "i"], F.col("v"), "s").collect()} == sums
+    assert {r.i: r.s for r in O.running(df, ["k"], ["o", "i"], F.col("v"), "s", how="max").collect()} == most
+    assert {r.i: r.p for r in O.with_prior(df, ["k"], [F.col("o"), F.col("i")], {"i": "p"}).collect()} == prior
+    assert {r.i: (r.upto, r.total) for r in O.running_sums(df, ["k"], ["o", "i"], "v").collect()} == {i: (sums[i], totals[i]) for i in sums}
+    got = {r.k: (r.low, r.mid, r.high) for r in S.exact_percentiles(df, ["k"], "v", {"low": 0.0, "mid": 0.4, "high": 1.0}).collect()}
+    for k, rs in by.items():
+        v = sorted(r[3] for r in rs if r[3] is not None)
+        at = 0.4 * (len(v) - 1)
+        assert got[k] == (v[0], pytest.approx(v[int(at)] + (at - int(at)) * (v[min(int(at) + 1, len(v) - 1)] - v[int(at)])), v[-1])
+    for f in (lambda d: O.running(d, ["k"], ["o"], F.col("v"), "s"), lambda d: O.with_prior(d, ["k"], [F.col("o")], {"i": "p"}), lambda d: S.exact_percentiles(d, ["k"], "v", {"x": 0.5})):
+        assert f(df.limit(0)).collect() == []
+
+
+def test_bounds_with_any_last_character(spark):
+    index = spark.createDataFrame([(k, i) for i, k in enumerate(["a", "a_", "aé", "b", "z\ue000"])], "key string, shard bigint")
+    needles = ["a_", "aé", "b", "a\U0001f600", "z\ue000", "z\ud7ff", "a\x01", "\U0010ffff", ""]
+    got = {r.key: (r.first_shard, r.last_shard) for r in O.shard_intervals(index, spark.createDataFrame([(k,) for k in needles], "key string")).collect()}
+    keys = ["a", "a_", "aé", "b", "z\ue000"]
+    for n in needles[:-1]:
+        c = ord(n[-1])
+        low = n[:-1] + (chr(0xD7FF if c == 0xE000 else c - 1) if c > 1 else "")
+        high = n[:-1] + chr(0xE000 if c == 0xD7FF else c + 1) if c < 0x10FFFF else n + "\U0010ffff"
+        assert got[n] == (max([i for i, k in enumerate(keys) if k < low], default=0), min([i for i, k in enumerate(keys) if k > high], default=4)), n
+    assert "" not in got
