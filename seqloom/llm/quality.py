@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -63,15 +64,18 @@ def _sums(texts: pa.Array, common: pa.Array) -> dict[str, np.ndarray]:
     at, word = at[some.to_numpy(zero_copy_only=False)], word.filter(some)
     flag = lambda x: x.to_numpy(zero_copy_only=False).astype(bool)
     of_line = lambda x: np.bincount(at, x, len(line))
-    found = lambda pattern: pc.count_substring_regex(line, pattern).to_numpy(zero_copy_only=False)
-    lower = pc.utf8_lower(word)
-    is_common = flag(pc.is_in(pc.utf8_trim(lower, characters=".,;:!?()\"'"), value_set=common))
-    capital, ends = flag(pc.match_substring_regex(word, r"^\p{Lu}")), flag(pc.match_substring_regex(word, _END))
-    size, count, ideographs = of_line(pc.utf8_length(word).to_numpy()), of_line(None), found("[぀-ヿ㐀-鿿]")
+    # what is in a word is counted once for each distinct one
+    coded = word.dictionary_encode()
+    kinds, code = coded.dictionary, coded.indices.to_numpy()
+    found = lambda pattern: of_line(pc.count_substring_regex(kinds, pattern).to_numpy(zero_copy_only=False)[code])
+    lower = pc.utf8_lower(kinds)
+    is_common = flag(pc.is_in(pc.utf8_trim(lower, characters=".,;:!?()\"'"), value_set=common))[code]
+    capital, ends, comma = (flag(x)[code] for x in (pc.match_substring_regex(kinds, r"^\p{Lu}"), pc.match_substring_regex(kinds, _END), pc.ends_with(kinds, ",")))
+    size, count, ideographs = of_line(pc.utf8_length(kinds).to_numpy(zero_copy_only=False)[code]), of_line(None), found("[぀-ヿ㐀-鿿]")
     stops = found("[。！？]")
     per_line = {
         "n_lines": (count > 0).astype(float), "n_words": count, "n_solid": size, "n_signs": found(r"[^\p{L}\p{N}\s]"), "n_digits": found(r"\d"), "n_common": of_line(is_common), "n_capitals": of_line(capital),
-        "n_commas": of_line(flag(pc.ends_with(word, ","))), "n_sentences": np.maximum(of_line(ends), stops), "n_ideographs": ideographs,
+        "n_commas": of_line(comma), "n_sentences": np.maximum(of_line(ends), stops), "n_ideographs": ideographs,
     }
     last = np.zeros(len(line), bool)
     last[at[ends & np.r_[at[1:] != at[:-1], True][: len(at)]]] = True
@@ -81,9 +85,8 @@ def _sums(texts: pa.Array, common: pa.Array) -> dict[str, np.ndarray]:
     body = ~np.logical_or.reduce(list(form.values()))
     form |= {"long": count >= LONG, "punct": last, "common": ~form["marked"] & (per_line["n_common"] >= 2)}
     # distinct words of each text, and of its body
-    code = lower.dictionary_encode().indices.to_numpy().astype(np.int64) if len(lower) else np.empty(0, np.int64)
-    pairs = doc[at].astype(np.int64) << 32 | code
-    distinct = lambda p: np.bincount((np.unique(p) >> 32).astype(np.int64), minlength=n)
+    pairs = doc[at].astype(np.int64) << 32 | lower.dictionary_encode().indices.to_numpy()[code].astype(np.int64)
+    distinct = lambda p: np.bincount(pd.unique(p) >> 32, minlength=n)
     of_doc = lambda x: np.bincount(doc, x, n)
     out = {c: of_doc(v) for c, v in per_line.items()} | {"n_distinct": distinct(pairs)} | {f"{c}_chars": of_doc(size * f) for c, f in form.items()}
     return out | {f"body_{c}": of_doc(per_line[c] * body) for c in _BODY if c in per_line} | {"body_n_distinct": distinct(pairs[body[at]])}
