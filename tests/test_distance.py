@@ -1,11 +1,12 @@
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import elements as E
-from seqloom.operators.distance import FAR, distances, neighbours, quality, seq_distance, seq_distance_details, signed, trace_all, trace_costs, votes
+from seqloom.operators.distance import FAR, cross_distances, distances, neighbours, quality, seq_distance, seq_distance_details, signed, trace_all, trace_costs, votes
 from seqloom.plans.reports import cost_breakdown
 from seqloom.plans.sequences import labelled
 
@@ -32,6 +33,38 @@ def test_random_batches_and_symmetry():
     assert distances([np.ones(100, int)], [np.ones(50, int)], prefilter=True).tolist() == [FAR]
 
 
+def cross(a, b, **options):
+    out = np.full((len(a), len(b)), -1)
+    for members, d in cross_distances(a, b, **options):
+        out[members] = d
+    return out.tolist()
+
+
+def test_all_pairs_as_one_by_one():
+    rng = random.Random(5)
+    one = lambda n: np.array([rng.choice([1, 1, 1, 2, 3, 200, -1, -2, -3, -9]) for _ in range(n)], np.int64)
+    some = [one(rng.choice([0, 1, 2, 5, 9, 30, 60, 61])) for _ in range(60)]
+    # savings beyond 16 and 32 bits, elements that the other side hasn't, repeated sequences
+    some += [np.tile(np.array(x, np.int64), n) for x, n in (([-65536, 4], 40), ([-(1 << 29), 4], 3), ([4, -65536], 41), ([4, -(1 << 29)], 3))] + some[:5] + [np.array([77, -8, 77], np.int64)]
+    for prefilter in (False, True):
+        assert cross(some, some, prefilter=prefilter) == [distances([x] * len(some), some, prefilter=prefilter).tolist() for x in some]
+    many = [np.array([1 + i % 4, -1 - i // 4 % 7, 1 + i // 28], np.int64) for i in range(5000)]  # more than lie side by side
+    assert cross(many[:3], many) == [distances([x] * len(many), many).tolist() for x in many[:3]]
+    assert cross([], many) == [] and cross(many[:1], []) == [[]]
+
+
+def test_all_pairs_take_a_fraction_of_the_time():
+    rng = random.Random(6)
+    one = lambda: np.array([rng.choice([1, 1, 1, 2, 3, -1, -2, -3, -9]) for _ in range(rng.randrange(15, 30))], np.int64)
+    a, b = [one() for _ in range(40)], [one() for _ in range(3000)]
+    times = []
+    for f in (lambda: cross(a, b), lambda: [distances([x] * len(b), b).tolist() for x in a[:4]]):
+        began = time.process_time()
+        f()
+        times.append(time.process_time() - began)
+    assert times[0] * 3 < times[1] * len(a) / 4
+
+
 def test_neighbours_and_quality(spark):
     rng = random.Random(2)
     rows = [(f"r{i}", rng.choice("abc"), " ".join(rng.choice(["S01", "S02", "G03", "G09"]) for _ in range(rng.randrange(8)))) for i in range(60)]
