@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -23,7 +24,7 @@ def run_to_end(stream: DataFrame) -> DataFrame:
 
 
 def arrivals(df: DataFrame, arrival: str, end: dict[str, Column], *, slices: int = 8) -> DataFrame:
-    """df as a stream that comes in the order of a TIMESTAMP column, one file a micro-batch: written slice by slice, each slice an equal part of the time, rows of no time last.
+    """df as a stream that comes in the order of a TIMESTAMP column, about a slice a micro-batch: written slice by slice, each slice an equal part of the time, rows of no time last.
 
     end: columns of one more row that comes after all others, the rest of it null. With a time far ahead it moves the watermark over all
     that waits, so that a stream over a finished table gives its last results too.
@@ -32,11 +33,14 @@ def arrivals(df: DataFrame, arrival: str, end: dict[str, Column], *, slices: int
     first, last = df.agg(F.min(arrival).cast("double"), F.max(arrival).cast("double")).first()
     span = ((last or 0) - (first or 0)) / slices or 1.0
     number = F.coalesce(F.least(F.floor((F.col(arrival).cast("double") - F.lit(float(first or 0))) / span), F.lit(slices - 1)), F.lit(slices - 1))
+    files, most = 0, 1
     for i in range(slices):
         df.where(number == i).write.mode("append").parquet(path)
+        before, files = files, len(spark.read.schema(df.schema).parquet(path).inputFiles())
+        most = max(most, files - before)  # of a slice; a micro-batch takes as many, so that their number doesn't grow with the table
     kinds = dict(df.dtypes)
     spark.range(1).select(*(end.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in df.columns)).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", most).parquet(path)
 
 
 def windowed_counts(stream: DataFrame, time: str, by: list[str], length: str, *, slide: str | None = None, late: str = "1 hour") -> DataFrame:
@@ -109,27 +113,53 @@ def _ripe(stream: DataFrame, keys: list[str], time: str, per_us: int, columns: l
     return rows.groupBy(*keys).applyInPandasWithState(run, schema, f"{held}, {more}, until bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def match_stream(stream: DataFrame, keys: list[str], *, late: str = "1 hour", memory_us: int = 31 * 86_400_000_000) -> DataFrame:
+def match_stream(stream: DataFrame, keys: list[str], *, late: str = "1 hour", memory_us: int = 31 * 86_400_000_000, buckets: int | None = None) -> DataFrame:
     """keys, query_id, response_id, took of a stream of both sides: keys, side (0 query, 1 response, others are passed over), t (nanoseconds), id BIGINT; rows with a null among them take no part.
 
     Rows may come in any order up to `late`: they wait until the watermark has passed them, and are taken in the order of t, side, id; later ones are dropped, and so are repeated
-    deliveries of one that waits. The state of a key is what waits and the last query without a response, which a later query replaces, a response uses up, and
+    deliveries of one that waits. What is kept of a key is what waits and the last query without a response, which a later query replaces, a response uses up, and
     the watermark ends memory_us behind it.
+
+    Keys are many and have few rows each, so the state is that of a bucket of keys, a table of their rows, and all keys of a bucket are matched at once. buckets: by default four for each shuffle partition.
     """
-    kinds = dict(stream.dtypes)
-
-    def match(key: tuple, rows: list[np.ndarray], kept: list | None, until: int | None):
-        t, side, id_ = ([np.r_[[k], r] if until is not None else r for k, r in zip((kept[0], 0, kept[1]) if until is not None else (0, 0, 0), rows)])
-        fresh = np.r_[True, (t[1:] != t[:-1]) | (side[1:] != side[:-1]) | (id_[1:] != id_[:-1])][: len(t)] & ((side == 0) | (side == 1))
-        t, side, id_ = t[fresh], side[fresh], id_[fresh]
-        at = 1 + np.flatnonzero((side[1:] == 1) & (side[:-1] == 0))
-        out = pd.DataFrame({k: [v] * len(at) for k, v in zip(keys, key)} | {"query_id": id_[at - 1], "response_id": id_[at], "took": t[at] - t[at - 1]})
-        if len(t) and side[-1] == 0:
-            return out, [int(t[-1]), int(id_[-1])], int(t[-1]) // 1000 + memory_us
-        return out, None, None
+    kinds, columns = dict(stream.dtypes), [*keys, "t", "side", "id"]
+    buckets = buckets or 4 * int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(_: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        parts = [pa.ipc.open_stream(state.get[0]).read_pandas()] if state.exists else []
+        if not state.hasTimedOut:
+            parts += [c[columns] for c in chunks]
+        rows, us = pd.concat(parts, ignore_index=True), state.getCurrentWatermarkMs() * 1000
+        # a query that is kept is before the watermark and goes in with the rows that have become ready
+        due = rows["t"].to_numpy() // 1000 <= us
+        ready, waiting = rows[due], rows[~due]
+        key = ready.groupby(keys, sort=False).ngroup().to_numpy()
+        t, side, id_ = (ready[c].to_numpy(np.int64) for c in ("t", "side", "id"))
+        order = np.lexsort((id_, side, t, key))
+        key, t, side, id_ = (x[order] for x in (key, t, side, id_))
+        same = key[1:] == key[:-1]
+        fresh = np.r_[True, ~same | (t[1:] != t[:-1]) | (side[1:] != side[:-1]) | (id_[1:] != id_[:-1])][: len(t)] & ((side == 0) | (side == 1))
+        order, key, t, side, id_ = (x[fresh] for x in (order, key, t, side, id_))
+        at = 1 + np.flatnonzero((key[1:] == key[:-1]) & (side[1:] == 1) & (side[:-1] == 0))
+        out = ready.iloc[order[at]][keys].reset_index(drop=True).assign(query_id=id_[at - 1], response_id=id_[at], took=t[at] - t[at - 1])
+        until = t // 1000 + memory_us
+        kept = np.r_[key[1:] != key[:-1], True][: len(t)] & (side == 0) & (until > us)
+        if len(waiting) or kept.any():
+            held = pa.Table.from_pandas(pd.concat([ready.iloc[order[kept]], waiting], ignore_index=True), preserve_index=False)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held.schema) as writer:
+                writer.write_table(held)
+            state.update((sink.getvalue().to_pybytes(),))
+            next_us = min([*until[kept].tolist(), *(waiting["t"].to_numpy() // 1000).tolist()])
+            state.setTimeoutTimestamp(max(next_us // 1000 + 1, us // 1000 + 1))
+        elif state.exists:
+            state.remove()
+        yield out
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", query_id bigint, response_id bigint, took bigint"
-    return _ripe(stream, keys, "t", 1000, ["t", "side", "id"], "wt bigint, wid bigint", schema, match, late)
+    rows = stream.dropna(subset=columns).withColumn("_at", F.timestamp_micros(F.expr("t div 1000"))).withWatermark("_at", late)
+    rows = rows.select(F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket"), *columns, "_at")
+    return rows.groupBy("_bucket").applyInPandasWithState(run, schema, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def throttle_stream(stream: DataFrame, key: str, delta: int, *, late: str = "1 hour") -> DataFrame:

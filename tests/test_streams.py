@@ -47,3 +47,13 @@ def test_throttle_is_the_same_in_one_and_many_batches(spark):
 
 def test_empty(spark):
     assert matched(spark, [("k", 0, None, 1, 0.0)]) == set()
+
+
+def test_keys_share_their_state_and_batches_dont_grow_with_files(spark):
+    rows = [(f"k{i}", side, 1 + i / 100 + side / 1000, 2 * i + side, 1 + i / 100 + side / 2) for i in range(900) for side in (0, 1)]
+    for buckets in (1, 5):
+        out = matched(spark, rows, late="1 day", memory_us=2 * DAY, buckets=buckets)
+        assert {r[:3] for r in out} == {(f"k{i}", 2 * i, 2 * i + 1) for i in range(900)}
+    df = spark.range(0, 400, 1, 8).withColumn("at", F.timestamp_micros(F.col("id") % 50 * DAY))
+    batches = R.run_to_end(R.arrivals(df, "at", {"id": F.lit(-1)}, slices=4).withColumn("batch", F.expr("date_format(current_timestamp(), 'yyyy-MM-dd HH:mm:ss.SSSSSS')")))
+    assert batches.count() == 401 and batches.select("batch").distinct().count() <= 5
