@@ -117,6 +117,21 @@ def test_group_distances(spark):
     assert group_distances(q.limit(0), df).collect() == []
 
 
+def test_group_distances_of_whole_and_split_labels(spark):
+    from seqloom.functions import elements as E
+    from seqloom.operators.distance import group_distances
+
+    rng = random.Random(9)
+    rows = [(f"r{i}", rng.choice(["a", "a", "a", "b", None]), " ".join(rng.choice(["S01", "S02", "G03"]) for _ in range(rng.randrange(6)))) for i in range(80)]
+    df = spark.createDataFrame(rows, "row_id string, label string, t string").withColumn("elems", E.parse_codes(F.split("t", " ")))
+    q = df.where("row_id < 'r3'").selectExpr("row_id AS query_id", "elems")
+    whole, some, none = (group_distances(q, df, blocks=2, most=most) for most in (1000, 30, 1))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, some.collect())) == sorted(map(str, none.collect()))
+    # where labels lie in one block, the tasks that compare them give the results: nothing is counted or moved afterwards
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("MapInArrow")
+
+
 def test_running_and_neighbours_of_hot_groups(spark):
     """One group longer than all ranges, ties, nulls in keys and values."""
     rng = random.Random(6)
