@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -35,7 +36,7 @@ def arrivals(df: DataFrame, arrival: str, end: dict[str, Column], *, slices: int
     number = F.coalesce(F.least(F.floor((F.col(arrival).cast("double") - F.lit(float(first or 0))) / span), F.lit(slices - 1)), F.lit(slices - 1))
     files, most = 0, 1
     for i in range(slices):
-        df.where(number == i).write.mode("append").parquet(path)
+        df.where(number == i).write.mode("append").option("compression", "zstd").parquet(path)
         before, files = files, len(spark.read.schema(df.schema).parquet(path).inputFiles())
         most = max(most, files - before)  # of a slice; a micro-batch takes as many, so that their number doesn't grow with the table
     kinds = dict(df.dtypes)
@@ -126,7 +127,7 @@ def match_stream(stream: DataFrame, keys: list[str], *, late: str = "1 hour", me
     buckets = buckets or 4 * int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(_: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        parts = [pa.ipc.open_stream(state.get[0]).read_pandas()] if state.exists else []
+        parts = [pq.read_table(pa.BufferReader(state.get[0])).to_pandas()] if state.exists else []
         if not state.hasTimedOut:
             parts += [c[columns] for c in chunks]
         rows, us = pd.concat(parts, ignore_index=True), state.getCurrentWatermarkMs() * 1000
@@ -145,10 +146,10 @@ def match_stream(stream: DataFrame, keys: list[str], *, late: str = "1 hour", me
         until = t // 1000 + memory_us
         kept = np.r_[key[1:] != key[:-1], True][: len(t)] & (side == 0) & (until > us)
         if len(waiting) or kept.any():
-            held = pa.Table.from_pandas(pd.concat([ready.iloc[order[kept]], waiting], ignore_index=True), preserve_index=False)
+            # the state is written anew with each micro-batch: as Parquet, by time, it takes little disk
+            held = pa.Table.from_pandas(pd.concat([ready.iloc[order[kept]], waiting], ignore_index=True).sort_values("t"), preserve_index=False)
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held.schema) as writer:
-                writer.write_table(held)
+            pq.write_table(held, sink, compression="zstd", use_dictionary=keys, column_encoding={"t": "DELTA_BINARY_PACKED", "id": "DELTA_BINARY_PACKED"})
             state.update((sink.getvalue().to_pybytes(),))
             next_us = min([*until[kept].tolist(), *(waiting["t"].to_numpy() // 1000).tolist()])
             state.setTimeoutTimestamp(max(next_us // 1000 + 1, us // 1000 + 1))
