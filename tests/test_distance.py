@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import elements as E
+from seqloom.operators import distance as D
 from seqloom.operators.distance import FAR, cross_distances, distances, neighbours, quality, seq_distance, seq_distance_details, signed, trace_all, trace_costs, votes
 from seqloom.plans.reports import cost_breakdown
 from seqloom.plans.sequences import labelled
@@ -147,3 +148,60 @@ def test_cost_breakdown_of_all_pairs(spark):
     assert any("_to_gap" in w for w in shares)
     got = {r.change: (r.n, r.pairs, r.mean, r.most) for r in cost_breakdown(spark, where).collect()}
     assert len(pairs) > 10 and got == {w: (len(v), len(pairs), pytest.approx(sum(v) / len(pairs), abs=1e-8), pytest.approx(max(v), abs=1e-8)) for w, v in shares.items()}
+
+
+def likely_sequences(n, seed=5):
+    """Sequences in families of near ones, with equal ones and some of very different lengths among them."""
+    rng = random.Random(seed)
+    heads = [[rng.choice([1, 1, 1, 2, 3, 140, -2, -3, -4, -18, -40]) for _ in range(rng.choice([0, 1, 3, 12, 20, 33, 90]))] for _ in range(n // 12)]
+    out = []
+    for _ in range(n):
+        x = list(rng.choice(heads))
+        for _ in range(rng.randrange(4)):
+            if x:
+                x[rng.randrange(len(x))] = rng.choice([1, 2, 5, -2, -9])
+        out.append(np.array(x, np.int64))
+    return out
+
+
+def test_nearest_leaves_out_by_bounds(monkeypatch):
+    lists = likely_sequences(1200)
+    asked, computed = lists[:60] + [np.array([7, -1, -70_000]), np.array([], np.int64)], []
+    real = D._Lanes.distances
+    monkeypatch.setattr(D._Lanes, "distances", lambda self, a: computed.append(self.shape[2]) or real(self, a))
+    corpus = D.Corpus(lists)
+    for k, threshold, fit in ((1, None, None), (7, None, None), (7, 0.5, None), (3, None, np.arange(len(corpus.sizes)) % 3 > 0)):
+        for a in asked:
+            want = distances([a] * len(lists), lists, prefilter=True)
+            assert (corpus.bounds(a)[corpus.of] <= want).all()
+            which, d, far = corpus.nearest(a, k, fit, threshold)
+            rows, place = corpus.rows(which)
+            got = dict(zip(rows.tolist(), d[place].tolist()))
+            assert all(want[i] == x for i, x in got.items()) and set(np.flatnonzero(want == D.FAR)) == set(np.flatnonzero(far[corpus.of]))
+            open_ = want < D.FAR if fit is None else (want < D.FAR) & fit[corpus.of]
+            if threshold is not None:
+                open_ &= want / np.maximum([len(x) for x in lists], max(1, len(a))) <= threshold
+            one = {corpus.of[i]: want[i] for i in np.flatnonzero(open_)}
+            most = sorted(one.values())[k - 1] if len(one) >= k else D.FAR
+            assert set(np.flatnonzero(open_ & (want <= most))) <= set(got)
+    assert sum(computed) < 0.4 * 4 * len(asked) * len(corpus.sizes)
+
+
+def test_neighbours_are_those_of_all_pairs(spark):
+    lists = likely_sequences(400, 6) + [np.array([1] * n, np.int64) for n in (300, 301, 900)]
+    elems = lambda x: [(0, int(v)) if v >= 0 else (1, int(-v - 1)) for v in x]
+    rows = [(f"r{i}", None if i % 11 == 0 else f"l{i % 7}", elems(x), i % 3) for i, x in enumerate(lists)]
+    df = spark.createDataFrame(rows, "row_id string, label string, elems array<struct<kind:tinyint,val:int>>, fold bigint")
+    some = df.where("row_id RLIKE '^r(.?1|40.)$'").withColumnRenamed("row_id", "query_id")
+    for fold, threshold, k in ((True, None, 5), (False, None, 5), (False, 0.5, 5), (False, 1000.0, 402), (True, None, 402)):
+        columns = ["elems", "fold"] if fold else ["elems"]
+        got = D.neighbours(some.select("query_id", *columns), df.select("row_id", "label", *columns), k, threshold=threshold, blocks=2).collect()
+        for i in {int(r.query_id[1:]) for r in some.collect()}:
+            d = distances([lists[i]] * len(lists), lists, prefilter=True).tolist()
+            want = []
+            for j, x in enumerate(lists):
+                norm = 0.0 if d[j] == 0 else 999.0 if d[j] == D.FAR else d[j] / max(len(x), len(lists[i]))
+                if j != i and not (fold and i % 3 == j % 3) and not (threshold is not None and norm > threshold):
+                    want.append((d[j], norm, rows[j][1] is None, rows[j][1] or "", f"r{j}"))
+            mine = sorted((r for r in got if r.query_id == f"r{i}"), key=lambda r: r.rank)
+            assert [(r.distance, r.norm, r.label is None, r.label or "", r.row_id) for r in mine] == sorted(want)[:k]
