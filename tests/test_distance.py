@@ -54,6 +54,28 @@ def test_all_pairs_as_one_by_one():
     assert cross([], many) == [] and cross(many[:1], []) == [[]]
 
 
+def test_all_pairs_compute_equal_beginnings_once(monkeypatch):
+    lists, _ = D._distinct(likely_sequences(1500, 8))
+    tree = D._Tree(lists)
+    with monkeypatch.context() as m:
+        m.setattr(D, "_FEW", 0)
+        assert len(D._Tree(lists).place) < 0.95 * sum(map(len, lists))
+    asked = sorted(lists[:12], key=lambda x: x.tolist()) + [np.array(x, np.int64) for x in ([], [7, -1, -70_000], [1, -2, 1, -3, 2, 1], [-(1 << 29), 1], [250, 250])]
+    for a in asked:
+        assert tree.distances(a).tolist() == distances([a] * len(lists), lists).tolist()
+    # trees, and sequences side by side for those of lengths that few have; sums beyond 16 and 32 bits on both sides
+    some = lists + [np.tile(np.array(x, np.int64), n) for n in (1, 60) for x in ([-65536, 4], [3, -(1 << 29)], [1, 1])]
+    assert cross(some[-4:], some) == [distances([x] * len(some), some).tolist() for x in some[-4:]]
+
+
+def test_all_pairs_in_several_trees(monkeypatch):
+    lists = likely_sequences(900, 9)
+    monkeypatch.setattr(D, "_TREE_CELLS", 3000)
+    monkeypatch.setattr(D, "_FEW", 20)
+    monkeypatch.setattr(D, "_KEPT_BYTES", 50_000)
+    assert cross(lists[:8], lists, prefilter=True) == [distances([x] * len(lists), lists, prefilter=True).tolist() for x in lists[:8]]
+
+
 def test_all_pairs_take_a_fraction_of_the_time():
     rng = random.Random(6)
     one = lambda: np.array([rng.choice([1, 1, 1, 2, 3, -1, -2, -3, -9]) for _ in range(rng.randrange(15, 30))], np.int64)
