@@ -227,3 +227,9 @@ def test_neighbours_are_those_of_all_pairs(spark):
                     want.append((d[j], norm, rows[j][1] is None, rows[j][1] or "", f"r{j}"))
             mine = sorted((r for r in got if r.query_id == f"r{i}"), key=lambda r: r.rank)
             assert [(r.distance, r.norm, r.label is None, r.label or "", r.row_id) for r in mine] == sorted(want)[:k]
+
+
+def test_codes_are_parsed_by_many_tasks(spark):
+    plan = labelled(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    parsed, exchanged = (next(i for i, line in enumerate(plan) if word in line) for word in ("RLIKE", "Aggregate"))
+    assert parsed <= exchanged  # in the plan's order, what is later comes first
