@@ -209,6 +209,47 @@ def test_nearest_leaves_out_by_bounds(monkeypatch):
     assert sum(computed) < 0.4 * 4 * len(asked) * len(corpus.sizes)
 
 
+def test_nearest_leaves_out_by_sizes_and_gaps_in_order(monkeypatch):
+    """Rows of the same counts as the query, in another order: counts can't tell them apart, so that nearly all were compared in full before."""
+    rng, head = random.Random(7), [1, 1, 2, -2, 3, 1, -4, 1, 2, 5, -3, 1, 1, 2, 3, -9, 2, 2, 7, 1]
+    lists = [np.array(rng.sample(head, len(head)) + [1] * (i % 3), np.int64) for i in range(6000)]
+    corpus, compared = D.Corpus(lists), []
+    real = D.Corpus.distances
+    monkeypatch.setattr(D.Corpus, "distances", lambda self, a, some: compared.append(len(some)) or real(self, a, some))
+    for a in lists[:6]:
+        want = np.array(cross([a], lists)[0])
+        which, d, _ = corpus.nearest(a, 7)
+        assert (want[corpus.rows(which)[0]] == d[corpus.rows(which)[1]]).all()
+        assert set(np.flatnonzero(want <= np.sort(want)[6])) <= set(corpus.rows(which)[0].tolist())
+    assert sum(compared) < 0.25 * 6 * len(corpus.sizes)
+
+
+def test_bounds_by_sizes_and_by_gaps():
+    lists = likely_sequences(900, 11) + [np.array(x, np.int64) for x in ([], [-1, -1], [-5, 1], [7] * 120, [-3] * 120, [1, -9000], [2, -400, 2])]
+    corpus = D.Corpus(lists)
+    distinct = [lists[i] for i in corpus.rows(np.arange(len(corpus.sizes)))[0][np.unique(corpus.rows(np.arange(len(corpus.sizes)))[1], return_index=True)[1]]]
+    for a in (*lists[:25], *lists[-7:], np.array([7, -70, 9, 9, 1, -2, -3, 140], np.int64)):
+        if (a >= 0).sum() <= D._PLACES:
+            some = np.flatnonzero(corpus.many <= D._PLACES)
+            want = distances([a[a >= 0]] * len(some), [distinct[i][distinct[i] >= 0] for i in some])
+            for most in (60, 400, 1 << 40):
+                near = 12 * np.abs(corpus.many[some] - (a >= 0).sum()) <= most
+                if near.any():
+                    got = corpus.size_distances(a, some[near], np.full(near.sum(), most))
+                    assert ((got == want[near]) | (want[near] > most)).all() and (got[want[near] > most] > most).all()
+        if D._costs(a).sum() <= D._Near.MOST:
+            some = np.flatnonzero((corpus.many_gaps <= D._PLACES) & (corpus.costs <= D._Near.MOST))
+            assert corpus.gap_distances(a, some).tolist() == distances([a[a < -1]] * len(some), [distinct[i][distinct[i] < -1] for i in some]).tolist()
+
+
+def test_side_by_side_in_16_bits_as_one_by_one():
+    lists = likely_sequences(500, 12) + [np.array(x, np.int64) for x in ([], [-1], [1, -2, 1, -3], [-7990, 1], [-4001, 1, 250, 2, 250], [-70_000], [-70_000, -69_990, 4])]
+    corpus = D.Corpus(lists)
+    every = np.arange(len(corpus.sizes))
+    for a in (*lists[:12], *lists[-7:], np.array([2**31 - 1, -2, 250, 250, -4, -1, 1], np.int64)):
+        assert corpus.distances(a, every)[corpus.of].tolist() == distances([a] * len(lists), lists).tolist()
+
+
 def test_neighbours_are_those_of_all_pairs(spark):
     lists = likely_sequences(400, 6) + [np.array([1] * n, np.int64) for n in (300, 301, 900)]
     elems = lambda x: [(0, int(v)) if v >= 0 else (1, int(-v - 1)) for v in x]
